@@ -22,21 +22,16 @@ def parse_number(c: Column) -> Column:
 
 
 def parse_timestamp(c: Column, formats: list[str] | None = None) -> Column:
-    """Text to timestamp by the first matching format; no match becomes NULL."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats or DATETIME_FORMATS])
+    """Text to timestamp by the first matching format; no match becomes NULL. Without a time zone."""
+    found = F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats or DATETIME_FORMATS])
+    return found.cast("timestamp_ntz")
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over complete pairs; NULL for a constant side."""
-    spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
-    return F.try_divide(F.regr_sxy(a, b), spread)
-
-
-def adjusted_skew(c: Column) -> Column:
-    """Sample-adjusted skewness (n >= 3); 0 for a constant column."""
-    n = F.count(c).cast("double")
-    g1 = F.when(F.max(c) == F.min(c), F.lit(0.0)).otherwise(F.skewness(c))
-    return F.when(F.count(c) >= 3, g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
+def adjusted_skew(v: str) -> str:
+    """SQL text of the sample-adjusted skewness (n >= 3); 0 for a constant column."""
+    n = f"cast(count({v}) as double)"
+    return (f"if(count({v}) >= 3, if(max({v}) = min({v}), 0D, skewness({v})) * sqrt({n} * ({n} - 1))"
+            f" / nullif({n} - 2, 0D), null)")
 
 
 def percent(c: Column, digits: int = 0) -> Column:

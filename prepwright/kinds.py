@@ -9,7 +9,29 @@ from pyspark.sql import types as T
 
 def col(name: str) -> Column:
     """Column by exact name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(q(name))
+
+
+def q(name: str) -> str:
+    """Quoted name for SQL text. Fits over many columns are written as SQL text: building
+    hundreds of Column objects costs far more round trips than parsing one list."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def num(name: str) -> str:
+    return f"cast({q(name)} as double)"
+
+
+def lit(value: float | None) -> str:
+    """SQL text of a double."""
+    if value is None:
+        return "cast(null as double)"
+    value = float(value)
+    return f"double('{value}')" if value in (float("inf"), float("-inf")) else f"{value!r}D"
+
+
+def text_lit(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _pick(schema: T.StructType, *types: type) -> list[str]:
@@ -52,8 +74,9 @@ def require(df: DataFrame, *names: str) -> None:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN and NULL both mean missing; keep one marker so aggregates skip it."""
-    floats = _pick(df.schema, T.FloatType, T.DoubleType)
-    return df.withColumns({c: F.nanvl(col(c), F.lit(None)) for c in floats}) if floats else df
+    floats = set(_pick(df.schema, T.FloatType, T.DoubleType))
+    return df.selectExpr(*[f"nanvl({q(c)}, null) as {q(c)}" if c in floats else q(c) for c in df.columns]) \
+        if floats else df
 
 
 def as_double(name: str) -> Column:

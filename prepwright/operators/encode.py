@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prepwright import kinds
-from prepwright.kinds import as_double, col
+from prepwright.kinds import as_double, col, num
 from prepwright.session import attach, cut_lineage
 
 MAX_LEVELS = 2_000
@@ -79,11 +79,10 @@ def sorted_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def _moments(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    row = df.agg(*[a for i, c in enumerate(columns) for a in (
-        F.avg(as_double(c)).alias(f"mean{i}"), F.stddev_pop(as_double(c)).alias(f"sd{i}"),
-        F.var_pop(as_double(c)).alias(f"var{i}"), F.min(as_double(c)).alias(f"min{i}"),
-        F.max(as_double(c)).alias(f"max{i}"))]).first() if columns else {}
-    return {c: {m: row[f"{m}{i}"] for m in ("mean", "sd", "var", "min", "max")} for i, c in enumerate(columns)}
+    stats = {"mean": "avg", "sd": "stddev_pop", "var": "var_pop", "min": "min", "max": "max"}
+    row = df.selectExpr(*[f"{fn}({num(c)}) as {m}{i}" for i, c in enumerate(columns)
+                          for m, fn in stats.items()]).first() if columns else {}
+    return {c: {m: row[f"{m}{i}"] for m in stats} for i, c in enumerate(columns)}
 
 
 def standard_scale(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

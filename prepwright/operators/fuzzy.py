@@ -306,14 +306,15 @@ def _cell_text(df: DataFrame, name: str) -> Column:
     return F.coalesce(c.cast("string"), F.lit("nan"))
 
 
-def drop_fuzzy_rows(df: DataFrame, order_by: list[str], threshold: float = 95) -> DataFrame:
+def drop_fuzzy_rows(df: DataFrame, order_by: list[str], threshold: float = 95,
+                    columns: list[str] | None = None) -> DataFrame:
     """Rows in order, without those whose text is more than ``threshold`` similar to a kept one.
 
-    A row's text is all its cells joined by ``||``.
+    A row's text is its cells, of all columns unless some are named, joined by ``||``.
     """
-    kinds.require(df, *order_by)
+    kinds.require(df, *order_by, *(columns or []))
     names = order_by + [c for c in df.columns if c not in order_by]
-    keyed = df.select(F.concat_ws("||", *[_cell_text(df, c) for c in df.columns]).alias("value"),
+    keyed = df.select(F.concat_ws("||", *[_cell_text(df, c) for c in columns or df.columns]).alias("value"),
                       F.struct(*[col(c) for c in names]).alias("_row"))
     first = cut_lineage(keyed.groupBy("value").agg(F.min("_row").alias("_row")))
     nodes = number_nodes(first.select(F.lit("").alias("grp"), "value", F.col("value").alias("txt"),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepwright import kinds
-from prepwright.functions.numbers import adjusted_skew, safe_corr
-from prepwright.kinds import as_double, col, rows_of
+from prepwright.functions.numbers import adjusted_skew
+from prepwright.kinds import as_double, col, lit, num, q, rows_of, text_lit
 from prepwright.operators.quantiles import fit_quantiles
 
 # Aggregates are split so one generated method never covers a very wide frame.
@@ -33,23 +33,26 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def per_column(df: DataFrame, columns: list[str], measures: dict, schema: str) -> DataFrame:
-    """Aggregate ``measures`` (name -> column name -> Column) for each column, as rows."""
+    """Aggregate ``measures`` (name -> column name -> SQL text) for each column, as rows."""
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
     frames = []
     for batch in _batches(columns, COLUMNS_PER_PASS):
-        row = df.agg(*[make(c).alias(f"{m}{i}") for i, c in enumerate(batch)
-                       for m, make in measures.items()])
-        frames.append(rows_of(row, [
-            F.struct(F.lit(c).alias("column"), *[F.col(f"{m}{i}").alias(m) for m in measures])
-            for i, c in enumerate(batch)]))
+        row = df.selectExpr(*[f"{make(c)} as {m}{i}" for i, c in enumerate(batch) for m, make in measures.items()])
+        cells = ", ".join("struct({} as column, {})".format(
+            text_lit(c), ", ".join(f"{m}{i} as `{m}`" for m in measures)) for i, c in enumerate(batch))
+        frames.append(row.selectExpr(f"inline(array({cells}))"))
     return _union(frames)
 
 
-def epoch_seconds(df: DataFrame, name: str) -> Column:
+def seconds_text(df: DataFrame, name: str) -> str:
     if isinstance(df.schema[name].dataType, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.expr(NTZ_EPOCH), col(name)) / F.lit(1e6)
-    return F.unix_micros(col(name).cast("timestamp")) / F.lit(1e6)
+        return f"timestampdiff(MICROSECOND, {NTZ_EPOCH}, {q(name)}) / 1e6D"
+    return f"unix_micros(cast({q(name)} as timestamp)) / 1e6D"
+
+
+def epoch_seconds(df: DataFrame, name: str) -> Column:
+    return F.expr(seconds_text(df, name))
 
 
 # ---- shape and missing values ------------------------------------------------------
@@ -58,12 +61,10 @@ def epoch_seconds(df: DataFrame, name: str) -> Column:
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and columns with missing values, in one row."""
     df = kinds.nan_to_null(df)
-    gaps = [F.count("*") - F.count(col(c)) for c in df.columns]
-    return df.agg(
-        F.count("*").alias("n_rows"),
-        F.lit(len(df.columns)).cast("long").alias("n_cols"),
-        sum(gaps, F.lit(0)).cast("long").alias("missing_cells"),
-        sum([F.when(g > 0, 1).otherwise(0) for g in gaps], F.lit(0)).cast("long").alias("missing_columns"))
+    gaps = [f"(count(*) - count({q(c)}))" for c in df.columns]
+    return df.selectExpr(
+        "count(*) as n_rows", f"{len(df.columns)}L as n_cols", f"{' + '.join(['0L', *gaps])} as missing_cells",
+        f"cast({' + '.join(['0', *[f'if({g} > 0, 1, 0)' for g in gaps]])} as bigint) as missing_columns")
 
 
 def feature_types(df: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def missing_counts(df: DataFrame) -> DataFrame:
     """(column, missing_count, n, ratio) with the exact ratio."""
     df = kinds.nan_to_null(df)
     out = per_column(df, df.columns, {
-        "missing_count": lambda c: F.count("*") - F.count(col(c)),
-        "n": lambda c: F.count("*")}, "column string, missing_count long, n long")
+        "missing_count": lambda c: f"count(*) - count({q(c)})",
+        "n": lambda c: "count(*)"}, "column string, missing_count long, n long")
     return out.withColumn("ratio", F.col("missing_count") / F.greatest(F.col("n"), F.lit(1)))
 
 
@@ -109,7 +110,7 @@ def fit_missing(df: DataFrame) -> dict[str, int]:
     df = kinds.nan_to_null(df)
     counts: dict[str, int] = {}
     for batch in _batches(df.columns, 4 * COLUMNS_PER_PASS):
-        row = df.agg(*[(F.count("*") - F.count(col(c))).alias(f"m{i}") for i, c in enumerate(batch)]).first()
+        row = df.selectExpr(*[f"count(*) - count({q(c)}) as m{i}" for i, c in enumerate(batch)]).first()
         counts.update({c: row[i] for i, c in enumerate(batch)})
     return counts
 
@@ -187,10 +188,6 @@ def fit_quartiles(df: DataFrame, columns: list[str], ps: tuple = (0.25, 0.5, 0.7
                               for c in columns})
 
 
-def _double(c: float | None) -> Column:
-    return F.lit(None if c is None else float(c)).cast("double")
-
-
 def describe(df: DataFrame) -> DataFrame:
     """Count, mean, std, min, quartiles and max of numeric and datetime columns.
 
@@ -199,19 +196,19 @@ def describe(df: DataFrame) -> DataFrame:
     df = kinds.nan_to_null(df)
     dates = set(kinds.datetime(df))
     columns = [c for c in df.columns if c in dates or c in set(kinds.numeric(df))]
-    value = {c: epoch_seconds(df, c) if c in dates else as_double(c) for c in columns}
+    value = {c: seconds_text(df, c) if c in dates else num(c) for c in columns}
     quartiles = fit_quartiles(df, columns)
     if not columns:
         return per_column(df, [], {}, "column string, count long")
     return per_column(df, columns, {
-        "count": lambda c: F.count(value[c]),
-        "mean": lambda c: F.avg(value[c]),
-        "std": lambda c: F.lit(None).cast("double") if c in dates else F.stddev_samp(value[c]),
-        "min": lambda c: F.min(value[c]),
-        "q25": lambda c: F.max(_double(quartiles[c][0])),
-        "q50": lambda c: F.max(_double(quartiles[c][1])),
-        "q75": lambda c: F.max(_double(quartiles[c][2])),
-        "max": lambda c: F.max(value[c])}, "")
+        "count": lambda c: f"count({value[c]})",
+        "mean": lambda c: f"avg({value[c]})",
+        "std": lambda c: "cast(null as double)" if c in dates else f"stddev_samp({value[c]})",
+        "min": lambda c: f"min({value[c]})",
+        "q25": lambda c: lit(quartiles[c][0]),
+        "q50": lambda c: lit(quartiles[c][1]),
+        "q75": lambda c: lit(quartiles[c][2]),
+        "max": lambda c: f"max({value[c]})"}, "")
 
 
 def describe_all(df: DataFrame) -> DataFrame:
@@ -227,7 +224,7 @@ def describe_all(df: DataFrame) -> DataFrame:
 def skewness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     df = kinds.nan_to_null(df)
     columns = kinds.numeric(df) if columns is None else columns
-    return per_column(df, columns, {"skew": lambda c: adjusted_skew(as_double(c))}, "column string, skew double")
+    return per_column(df, columns, {"skew": lambda c: adjusted_skew(num(c))}, "column string, skew double")
 
 
 def fit_fences(df: DataFrame, columns: list[str], factor: float = 1.5) -> dict[str, tuple[float, float]]:
@@ -245,11 +242,11 @@ def outlier_counts(df: DataFrame, factor: float = 1.5) -> DataFrame:
     columns = kinds.numeric(df)
     fences = fit_fences(df, columns, factor)
 
-    def outside(c: str) -> Column:
+    def outside(c: str) -> str:
         if c not in fences:
-            return F.max(F.lit(0)).cast("long")
+            return "0L"
         low, high = fences[c]
-        return F.count_if((as_double(c) < F.lit(low)) | (as_double(c) > F.lit(high)))
+        return f"count_if({num(c)} < {lit(low)} or {num(c)} > {lit(high)})"
 
     return per_column(df, columns, {"outliers": outside}, "column string, outliers long")
 
@@ -257,33 +254,74 @@ def outlier_counts(df: DataFrame, factor: float = 1.5) -> DataFrame:
 # ---- pairs ------------------------------------------------------------------------
 
 
-def _pairs(df: DataFrame, measure, name: str, include_same: bool) -> DataFrame:
+def _pair_frames(df: DataFrame, result, name: str, include_same: bool) -> DataFrame:
+    """One row per numeric column pair, from sums over the rows where both are present.
+
+    A first scan fits means and gaps. Around the means, a pair without gaps needs the sum
+    of one product only, so even many pairs stay within compiled code.
+    ``result`` maps (n, sxx, syy, sxy) to the value. Only these sums reach the driver.
+    """
     df = kinds.nan_to_null(df)
     columns = kinds.numeric(df)
-    order = {c: i for i, c in enumerate(columns)}
-    pairs = list(combinations(columns, 2))
-    if include_same:
-        pairs = [(c, c) for c in columns] + pairs
+    pairs = ([(c, c) for c in columns] if include_same else []) + list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], f"col_a string, col_b string, {name} double, ord long")
-    frames = []
-    for batch in _batches(pairs, PAIRS_PER_PASS):
-        row = df.agg(*[measure(as_double(a), as_double(b)).alias(f"p{i}") for i, (a, b) in enumerate(batch)])
-        frames.append(rows_of(row, [
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{i}").alias(name),
-                     F.lit(order[a] * len(columns) + order[b]).cast("long").alias("ord"))
-            for i, (a, b) in enumerate(batch)]))
-    return _union(frames)
+    fit = {}
+    for batch in _batches(columns, COLUMNS_PER_PASS):
+        row = df.selectExpr("count(*) as rows", *[
+            f"{fn}({num(c)}) as {letter}{i}" for i, c in enumerate(batch)
+            for letter, fn in (("n", "count"), ("m", "avg"), ("a", "min"), ("z", "max"))]).first()
+        fit.update({c: (row["rows"], row[f"n{i}"], row[f"m{i}"] or 0.0, (row[f"z{i}"] or 0.0) - (row[f"a{i}"] or 0.0))
+                    for i, c in enumerate(batch)})
+    order = {c: i for i, c in enumerate(columns)}
+    around = {c: f"({num(c)} - {lit(fit[c][2])})" for c in columns}
+    whole = {c: fit[c][1] == fit[c][0] for c in columns}
+    complete = [p for p in pairs if whole[p[0]] and whole[p[1]]]
+    gappy = [p for p in pairs if not (whole[p[0]] and whole[p[1]])]
+    sums: dict[tuple[str, str], tuple] = {}
+    for batch in _batches(complete, PAIRS_PER_PASS):
+        used = sorted({c for p in batch for c in p}, key=order.get)
+        row = df.selectExpr(*[f"sum({around[c]} * {around[c]}) as own{order[c]}" for c in used],
+                            *[f"sum({around[a]} * {around[b]}) as p{i}" for i, (a, b) in enumerate(batch)]).first()
+        for i, (a, b) in enumerate(batch):
+            sums[(a, b)] = (fit[a][0], row[f"own{order[a]}"], row[f"own{order[b]}"], row[f"p{i}"])
+    for batch in _batches(gappy, PAIRS_PER_PASS // 5):
+        aggs = []
+        for i, (a, b) in enumerate(batch):
+            x, y, both = around[a], around[b], f"{q(a)} is not null and {q(b)} is not null"
+            aggs += [f"count_if({both}) as n{i}", f"sum({x} * {y}) as p{i}"]
+            aggs += [f"sum(if({both}, {value}, null)) as {label}{i}"
+                     for label, value in (("x", x), ("y", y), ("xx", f"{x} * {x}"), ("yy", f"{y} * {y}"))]
+        row = df.selectExpr(*aggs).first()
+        for i, pair in enumerate(batch):
+            n, x, y = row[f"n{i}"], row[f"x{i}"], row[f"y{i}"]
+            sums[pair] = (n, row[f"xx{i}"] - x * x / n, row[f"yy{i}"] - y * y / n, row[f"p{i}"] - x * y / n) \
+                if n else (0, 0.0, 0.0, 0.0)
+    rows = []
+    for a, b in pairs:
+        n, sxx, syy, sxy = sums[(a, b)]
+        # What rounding leaves of a constant counts as no spread.
+        spreads = [s if s and s > 1e-18 * fit[c][3] ** 2 * n else 0.0 for s, c in ((sxx, a), (syy, b))]
+        rows.append((a, b, result(n, *spreads, sxy), order[a] * len(columns) + order[b]))
+    return df.sparkSession.createDataFrame(rows, f"col_a string, col_b string, {name} double, ord long")
+
+
+def _pearson(n: int, sxx: float, syy: float, sxy: float) -> float | None:
+    return max(-1.0, min(1.0, sxy / (sxx ** 0.5 * syy ** 0.5))) if sxx and syy else None
+
+
+def _covariance(n: int, sxx: float, syy: float, sxy: float) -> float | None:
+    return None if n < 2 else sxy / (n - 1) if sxx and syy else 0.0
 
 
 def correlations(df: DataFrame) -> DataFrame:
     """Pearson correlation of every column pair (upper triangle), NULL for constants."""
-    return _pairs(df, safe_corr, "corr", False)
+    return _pair_frames(df, _pearson, "corr", False)
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """Upper triangle mirrored, with the diagonal."""
-    half = _pairs(df, safe_corr, "corr", True).drop("ord")
+    half = _pair_frames(df, _pearson, "corr", True).drop("ord")
     return half.select(F.inline(F.when(
         F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b", "corr"))).otherwise(
         F.array(F.struct("col_a", "col_b", "corr"),
@@ -291,7 +329,8 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
 
 
 def covariances(df: DataFrame) -> DataFrame:
-    return _pairs(df, F.covar_samp, "cov", True).drop("ord")
+    """Sample covariance of every pair and of each column with itself."""
+    return _pair_frames(df, _covariance, "cov", True).drop("ord")
 
 
 def correlated_pairs(df: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -342,8 +381,8 @@ def class_count(df: DataFrame, target: str) -> DataFrame:
 
 
 def fit_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float] | None]:
-    row = df.agg(*[a for i, c in enumerate(columns)
-                   for a in (F.min(as_double(c)).alias(f"a{i}"), F.max(as_double(c)).alias(f"z{i}"))]).first()
+    row = df.selectExpr(*[a for i, c in enumerate(columns)
+                          for a in (f"min({num(c)}) as a{i}", f"max({num(c)}) as z{i}")]).first()
     return {c: None if row[f"a{i}"] is None else (row[f"a{i}"], row[f"z{i}"]) for i, c in enumerate(columns)}
 
 
@@ -401,28 +440,27 @@ def profile(df: DataFrame, top_k: int = 5, high_cardinality: int = 50) -> DataFr
     nums = set(kinds.numeric(df))
     quartiles = fit_quartiles(df, [c for c in columns if c in nums])
 
-    def num(make):
-        return lambda c: make(as_double(c), c) if c in nums else F.max(F.lit(None).cast("double"))
+    def number(template: str):
+        return lambda c: template.format(num(c)) if c in nums else "cast(null as double)"
 
-    def count(make):
-        return lambda c: F.count_if(make(as_double(c))) if c in nums else F.max(F.lit(None).cast("long"))
+    def count(template: str):
+        return lambda c: f"count_if({template.format(num(c))})" if c in nums else "cast(null as bigint)"
 
-    inf = float("inf")
     base = per_column(df, columns, {
-        "kind": lambda c: F.max(F.lit("numeric" if c in nums else "categorical")),
-        "n": lambda c: F.count("*"),
-        "missing": lambda c: F.count("*") - F.count(col(c)),
-        "zeros": count(lambda v: v == 0),
-        "negatives": count(lambda v: v < 0),
-        "infinite": count(lambda v: v.isin(inf, -inf)),
-        "mean": num(lambda v, c: F.avg(v)),
-        "std": num(lambda v, c: F.stddev_samp(v)),
-        "min": num(lambda v, c: F.min(v)),
-        "q25": num(lambda v, c: F.max(_double(quartiles[c][0]))),
-        "q50": num(lambda v, c: F.max(_double(quartiles[c][1]))),
-        "q75": num(lambda v, c: F.max(_double(quartiles[c][2]))),
-        "max": num(lambda v, c: F.max(v)),
-        "skew": num(lambda v, c: adjusted_skew(v))}, "")
+        "kind": lambda c: "'numeric'" if c in nums else "'categorical'",
+        "n": lambda c: "count(*)",
+        "missing": lambda c: f"count(*) - count({q(c)})",
+        "zeros": count("{} = 0"),
+        "negatives": count("{} < 0"),
+        "infinite": count("abs({}) = double('infinity')"),
+        "mean": number("avg({})"),
+        "std": number("stddev_samp({})"),
+        "min": number("min({})"),
+        "q25": lambda c: lit(quartiles[c][0] if c in nums else None),
+        "q50": lambda c: lit(quartiles[c][1] if c in nums else None),
+        "q75": lambda c: lit(quartiles[c][2] if c in nums else None),
+        "max": number("max({})"),
+        "skew": lambda c: adjusted_skew(num(c)) if c in nums else "cast(null as double)"}, "")
     counts = _all_value_counts(df)
     distinct = counts.groupBy("column").agg(F.count("*").alias("n_distinct"), F.max("n").alias("top_freq"))
     # A rank filter on row_number is limited per input partition before the shuffle.

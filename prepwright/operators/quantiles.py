@@ -47,7 +47,9 @@ def fit_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]],
     """Quantiles per label; ``wanted`` maps a label to a double column and its fractions."""
     if not wanted:
         return {}
-    values = {name: F.least(F.greatest(v, F.lit(-LARGEST)), F.lit(LARGEST)) for name, (v, _) in wanted.items()}
+    # Infinities take part as the largest finite numbers; least and greatest would drop NULL.
+    values = {name: F.when(F.abs(v) <= LARGEST, v).when(v.isNotNull(), F.signum(v) * LARGEST)
+              for name, (v, _) in wanted.items()}
     sized = df.agg(*[a for i, v in enumerate(values.values()) for a in (
         F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"),
         F.approx_count_distinct(v).alias(f"d{i}"))]).first()
