@@ -30,18 +30,18 @@ def similar_ctes(threshold: float, strict: bool = False) -> str:
     """CTEs from node(grp, value, txt, id) to edge(u, v, s), u before v."""
     rest = 1 - threshold / 100
     return f"""
-    near as (select x.id as u, y.id as v, x.txt as a, y.txt as b from node x join node y
+    near as materialized (select x.id as u, y.id as v, x.txt as a, y.txt as b from node x join node y
              on x.grp = y.grp and x.id < y.id
              and levenshtein(x.txt, y.txt) <= {rest} * (length(x.txt) + length(y.txt)) + 1e-9),
     cand as (select distinct a, b from near),
     {lcs_ctes()},
-    edge as (select u, v, s from near join score using (a, b) where s {'>' if strict else '>='} {threshold})"""
+    edge as materialized (select u, v, s from near join score using (a, b) where s {'>' if strict else '>='} {threshold})"""
 
 
 def greedy_ctes(threshold: float, strict: bool = False) -> str:
     """CTEs from node to led(id, leader): the sequential scan, one node after the other."""
     return f"""{similar_ctes(threshold, strict)},
-    back as (select id, coalesce(list(u) filter (u is not null), []) as us from node left join edge on v = id group by id),
+    back as materialized (select id, coalesce(list(u) filter (u is not null), []) as us from node left join edge on v = id group by id),
     scan(id, leaders) as (
       select 0::bigint, []::bigint[]
       union all
