@@ -155,7 +155,7 @@ def st_outlier_counts(spark, sf):
 
 
 def _histogram(c: str, bins: int) -> str:
-    return f"""select '{c}' as "column", i as bin, {sig("lo")} as lo, {sig("hi")} as hi, count({c}) as n from (
+    return f"""select '{c}' as "column", i as bin, {r("lo")} as lo, {r("hi")} as hi, count({c}) as n from (
         select i, case when i = 1 and z > a then a - 0.001 * (z - a) else low + (i - 1) * ((high - low) / {bins}) end as lo,
                case when i = {bins} then high else low + i * ((high - low) / {bins}) end as hi
         from (select a, z, case when a = z then a - 0.001 * abs(a) else a end as low,
@@ -167,7 +167,7 @@ def _histogram(c: str, bins: int) -> str:
 
 @query("st_histogram", on_dirty("lineitem", union_all([_histogram(c, 20) for c in NUMS])))
 def st_histogram(spark, sf):
-    return significant(profile.histogram(dirty(spark, sf, "lineitem"), 20), "lo", "hi")
+    return rounds(profile.histogram(dirty(spark, sf, "lineitem"), 20), 6, "lo", "hi")
 
 
 @query("st_target_balance", on_dirty("lineitem", f"""
