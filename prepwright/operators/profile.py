@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from prepwright import kinds
 from prepwright.functions.numbers import adjusted_skew
 from prepwright.kinds import as_double, col, lit, num, q, rows_of, text_lit
-from prepwright.operators.quantiles import fit_quantiles
+from prepwright.operators.quantiles import cells, fit_quantiles, per_range
 
 # Aggregates are split so one generated method never covers a very wide frame.
 COLUMNS_PER_PASS = 60
@@ -409,19 +409,17 @@ def histogram(df: DataFrame, bins: int = 20, columns: list[str] | None = None) -
     if not edges:
         return df.sparkSession.createDataFrame([], "column string, bin long, lo double, hi double, n long")
 
-    def bin_of(c: str) -> Column:
-        e, v = edges[c], as_double(c)
-        cuts = F.array(*[F.lit(x) for x in e])
-        guess = F.least(F.greatest(F.ceil((v - F.lit(e[1])) / F.lit(e[2] - e[1] if bins > 1 else 1.0)) + 1, F.lit(1)),
-                        F.lit(bins)).cast("int") if bins > 1 else F.lit(1)
-        # The division only guesses; the stored edges decide.
-        up = F.when((guess < bins) & (v > F.element_at(cuts, guess + 1)), guess + 1)
-        down = F.when((guess > 1) & (v <= F.element_at(cuts, guess)), guess - 1)
-        return F.coalesce(up, down, guess).cast("long")
-
-    cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.when(col(c).isNotNull(), bin_of(c)).alias("bin")) for c in edges])))
-    counted = cells.where("bin is not null").groupBy("column", "bin").agg(F.count("*").alias("n"))
+    names = list(edges)
+    first = per_range([edges[c][1] for c in names])
+    width = per_range([(edges[c][2] if bins > 1 else edges[c][1] + 1.0) - edges[c][1] for c in names])
+    cuts = "array({})[r]".format(", ".join(f"array({', '.join(lit(x) for x in edges[c])})" for c in names))
+    placed = cells(df, [(i, as_double(c)) for i, c in enumerate(names)]).selectExpr(
+        "r", "v", f"cast(least(greatest(ceil((v - {first}) / {width}) + 1, 1), {bins}) as int) as guess")
+    # The division only guesses; the stored edges decide.
+    placed = placed.selectExpr("r", f"""cast(case when guess < {bins} and v > {cuts}[guess] then guess + 1
+        when guess > 1 and v <= {cuts}[guess - 1] then guess - 1 else guess end as bigint) as bin""")
+    counted = placed.groupBy("r", "bin").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("column", F.array(*[F.lit(c) for c in names])[F.col("r")]).drop("r")
     grid = df.sparkSession.createDataFrame(
         [(c, i + 1, e[i], e[i + 1]) for c, e in edges.items() for i in range(bins)],
         "column string, bin long, lo double, hi double")

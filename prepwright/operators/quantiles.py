@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prepwright.kinds import lit
+
 DIRECT_VALUES = 50_000
 BINS = 1_000
 LARGEST = sys.float_info.max
@@ -32,14 +34,16 @@ class Range:
     inside: int
 
 
-def _holds(v: Column, r: Range) -> Column:
-    return (v >= F.lit(r.lo)) & (v <= F.lit(r.hi))
+def per_range(items: list[float]) -> str:
+    """SQL text of a per-range constant, looked up by the range number ``r``."""
+    return f"array({', '.join(lit(x) for x in items)})[r]"
 
 
-def _bin(v: Column, r: Range) -> Column:
-    # Halves keep the width finite; every step is monotone, so bins never mix ranks.
-    width = r.hi * 0.5 - r.lo * 0.5
-    return F.floor((v * 0.5 - F.lit(r.lo * 0.5)) / F.lit(width) * BINS).cast("int")
+def cells(df: DataFrame, values: list[tuple[int, Column]]) -> DataFrame:
+    """(r, v) rows of numbered double columns; each value is computed once per row."""
+    named = df.select(*[v.alias(f"v{i}") for i, (_, v) in enumerate(values)])
+    structs = ", ".join(f"struct({r} as r, v{i} as v)" for i, (r, _) in enumerate(values))
+    return named.selectExpr(f"inline(array({structs}))").where("v is not null")
 
 
 def fit_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]],
@@ -84,7 +88,8 @@ def _pick(df: DataFrame, values: dict[str, Column], ranges: dict[Range, list[flo
         v = values[r.name]
         at = [min(1.0, max(0.0, (p * (total[r.name] - 1) - r.below) / max(r.inside - 1, 1))) for p in ps]
         whole = r.below == 0 and r.inside == total[r.name]
-        aggs.append(F.percentile(v if whole else F.when(_holds(v, r), v),
+        inside = F.when((v >= F.lit(r.lo)) & (v <= F.lit(r.hi)), v)
+        aggs.append(F.percentile(v if whole else inside,
                                  F.array(*[F.lit(float(p if whole else a)) for p, a in zip(ps, at)])).alias(f"q{i}"))
         keys.append([(r.name, p) for p in ps])
     row = df.agg(*aggs).first()
@@ -95,10 +100,13 @@ def _narrow(df: DataFrame, values: dict[str, Column], ranges: dict[Range, list[f
             total: dict[str, int]) -> tuple[dict[Range, list[float]], dict[tuple[str, float], float]]:
     """One counting pass: smaller ranges for the ranks still open, and the ranks settled."""
     order = list(ranges)
-    cells = [F.struct(F.lit(i).alias("r"), F.when(_holds(values[r.name], r), values[r.name]).alias("v"),
-                      F.when(_holds(values[r.name], r), _bin(values[r.name], r)).alias("bin"))
-             for i, r in enumerate(order)]
-    counted = df.select(F.inline(F.array(*cells))).where("v is not null").groupBy("r", "bin").agg(
+    lo, hi = per_range([r.lo for r in order]), per_range([r.hi for r in order])
+    # Halves keep the width finite; every step is monotone, so bins never mix ranks.
+    half = per_range([r.lo * 0.5 for r in order])
+    width = per_range([r.hi * 0.5 - r.lo * 0.5 for r in order])
+    counted = cells(df, [(i, values[r.name]) for i, r in enumerate(order)]).where(
+        f"v >= {lo} and v <= {hi}").selectExpr(
+        "r", "v", f"cast(floor((v * 0.5D - {half}) / {width} * {BINS}) as int) as bin").groupBy("r", "bin").agg(
         F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     rows: dict[int, list] = {i: [] for i in range(len(order))}
     for row in counted.collect():  # at most BINS + 1 rows per range
