@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,10 +23,27 @@ def parse_number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER_PATTERN), F.trim(F.regexp_replace(c, r"\s", "")).try_cast("double"))
 
 
+def _shape(fmt: str) -> str | None:
+    """Regular expression of the texts a purely numeric date format can match."""
+    parts = re.findall(r"([yMdHmsS])(\1*)|'([^']*)'|(.)", fmt)
+    if any(other.isalpha() for *_, other in parts):
+        return None
+    return "^" + "".join(r"\d{%d}" % (1 + len(more)) if letter else re.escape(quoted or other)
+                         for letter, more, quoted, other in parts) + "$"
+
+
 def parse_timestamp(c: Column, formats: list[str] | None = None) -> Column:
-    """Text to timestamp by the first matching format; no match becomes NULL. Without a time zone."""
-    found = F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats or DATETIME_FORMATS])
-    return found.cast("timestamp_ntz")
+    """Text to timestamp by the first matching format; no match becomes NULL. Without a time zone.
+
+    A text is only parsed if it has the shape of the format: a failing parse costs far
+    more than the test.
+    """
+    text = F.trim(c)
+    found = []
+    for fmt in formats or DATETIME_FORMATS:
+        parsed, shape = F.try_to_timestamp(text, F.lit(fmt)), _shape(fmt)
+        found.append(F.when(text.rlike(shape), parsed) if shape else parsed)
+    return F.coalesce(*found).cast("timestamp_ntz")
 
 
 def adjusted_skew(v: str) -> str:
