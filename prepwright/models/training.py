@@ -49,8 +49,7 @@ def prepare(df: DataFrame, target: str, key: str, share: float = 0.2, seed: int
     df = df.withColumns({c: epoch_seconds(df, c) for c in kinds.datetime(df) if c != target})
     split = stratified_split(df, target, key, share, seed) if task == "classification" else \
         random_split(df, key, share, seed)
-    split = cut_lineage(split)
-    if split.count() < MIN_ROWS:
+    if split.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError("At least 5 rows are required for model selection")
     inputs = [c for c in df.columns if c not in (target, key)]
     words = [c for c in kinds.text(df) if c in inputs]

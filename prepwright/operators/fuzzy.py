@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from prepwright import kinds
 from prepwright.functions.indel import indel_ratio, substrings
 from prepwright.functions.text import normal_form, sorted_tokens, strip
-from prepwright.kinds import col
+from prepwright.kinds import col, text_lit
 from prepwright.operators.columns import map_by_table
 from prepwright.operators.encode import _numbered
 from prepwright.session import cut_lineage
@@ -53,12 +53,13 @@ def _pieces(nodes: DataFrame, share: float, hot: dict[str, int]) -> DataFrame:
     """The D + 1 rarest disjoint pieces of every text, with their positions (index side)."""
     n = F.col("n")
     shaped = nodes.withColumns({"w": _piece_width(n, share), "need": _changes(n, share) + 1})
-    rarity = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]) if hot else None
+    rarity = F.expr("map_from_arrays(array({}), array({}))".format(
+        ", ".join(map(text_lit, hot)), ", ".join(map(str, hot.values())))) if hot else None
     cut = F.transform(
         F.sequence(F.lit(0), F.greatest(F.floor(n / F.col("w")).cast("int") - 1, F.lit(0))),
         lambda i: F.struct(
             (F.coalesce(rarity[F.substr("txt", i * F.col("w") + 1, F.col("w"))], F.lit(0))
-             if hot else F.lit(0)).alias("hot"),
+             if hot else F.lit(0)).cast("long").alias("hot"),
             (i * F.col("w")).alias("at"), F.substr("txt", i * F.col("w") + 1, F.col("w")).alias("piece")))
     # Without known hot pieces any D + 1 of them serve.
     chosen = F.slice(F.array_sort(cut) if hot else cut, 1, F.col("need"))
