@@ -31,7 +31,13 @@ FIRST_PREFIX = 5_000
 PREFIX_GROWTH = 4
 INLINE_TEXT = 400
 HOT_PIECES = 500
-HOT_MIN_NODES = 10_000
+HOT_MIN_NODES = 1_000
+HOT_COUNT = 100
+SALTS = 16
+
+# One bit per character class: whether it occurs an odd number of times. An insertion or a
+# deletion flips exactly one bit, so differing bits never exceed the changes of a match.
+PARITY = "aggregate(split(txt, ''), 0L, (m, ch) -> m ^ shiftleft(1L, pmod(ascii(ch), 64)))"
 
 
 def _check(threshold: float) -> float:
@@ -49,22 +55,20 @@ def _piece_width(n: Column, share: float) -> Column:
     return F.greatest(F.floor(n / (_changes(n, share) + 1)), F.lit(1)).cast("int")
 
 
-def _pieces(nodes: DataFrame, share: float, hot: dict[str, int]) -> DataFrame:
-    """The D + 1 rarest disjoint pieces of every text, with their positions (index side)."""
+def _is_hot(piece: str, hot: list[str]) -> str:
+    return f"{piece} in ({', '.join(map(text_lit, hot))})" if hot else "false"
+
+
+def _pieces(nodes: DataFrame, share: float, hot: list[str]) -> DataFrame:
+    """D + 1 disjoint pieces of every text with their positions, hot ones last (index side)."""
     n = F.col("n")
     shaped = nodes.withColumns({"w": _piece_width(n, share), "need": _changes(n, share) + 1})
-    rarity = F.expr("map_from_arrays(array({}), array({}))".format(
-        ", ".join(map(text_lit, hot)), ", ".join(map(str, hot.values())))) if hot else None
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.floor(n / F.col("w")).cast("int") - 1, F.lit(0))),
-        lambda i: F.struct(
-            (F.coalesce(rarity[F.substr("txt", i * F.col("w") + 1, F.col("w"))], F.lit(0))
-             if hot else F.lit(0)).cast("long").alias("hot"),
-            (i * F.col("w")).alias("at"), F.substr("txt", i * F.col("w") + 1, F.col("w")).alias("piece")))
-    # Without known hot pieces any D + 1 of them serve.
-    chosen = F.slice(F.array_sort(cut) if hot else cut, 1, F.col("need"))
+    piece = "substr(txt, i * w + 1, w)"
+    cut = f"""transform(sequence(0, greatest(cast(floor(n / w) as int) - 1, 0)), i -> struct(
+        {_is_hot(piece, hot)} as hot, i * w as at, {piece} as piece))"""
+    chosen = F.slice(F.array_sort(F.expr(cut)), 1, F.col("need"))
     return shaped.withColumn("_s", F.explode(chosen)).select(
-        *nodes.columns, F.col("_s.at").alias("at"), F.col("_s.piece").alias("piece"))
+        *nodes.columns, (F.col("need") - 1).alias("most"), F.col("_s.at").alias("at"), F.col("_s.piece").alias("piece"))
 
 
 def _occurrences(nodes: DataFrame, share: float, long_texts: bool) -> DataFrame:
@@ -83,11 +87,11 @@ def _occurrences(nodes: DataFrame, share: float, long_texts: bool) -> DataFrame:
     return wide.select(*nodes.columns, F.posexplode(grams).alias("at", "piece"))
 
 
-def _hot_pieces(nodes: DataFrame, share: float) -> dict[str, int]:
-    """The few most frequent pieces; a bounded list that steers which pieces are joined."""
-    top = _pieces(nodes, share, {}).groupBy("piece").agg(F.count("*").alias("c")).where(
-        F.col("c") > 100).orderBy(F.desc("c"), "piece").limit(HOT_PIECES).collect()
-    return {r["piece"]: r["c"] for r in top}
+def _hot_pieces(nodes: DataFrame, share: float) -> list[str]:
+    """The few most frequent pieces. They are joined last, and spread over several tasks."""
+    top = _pieces(nodes, share, []).groupBy("piece").agg(F.count("*").alias("c")).where(
+        F.col("c") > HOT_COUNT).orderBy(F.desc("c"), "piece").limit(HOT_PIECES).collect()
+    return [r["piece"] for r in top]
 
 
 def similar_pairs(left: DataFrame, threshold: float, strict: bool = False,
@@ -100,26 +104,38 @@ def similar_pairs(left: DataFrame, threshold: float, strict: bool = False,
     share = _check(threshold)
 
     def sized(nodes: DataFrame) -> DataFrame:
-        return nodes.select("node", "grp", "txt", F.length("txt").alias("n"))
+        return nodes.select("node", "grp", "txt", F.length("txt").alias("n"), F.expr(PARITY).alias("m"))
 
     left = sized(left)
     both = left if right is None else left.unionByName(sized(right))
     stats = both.agg(F.count("*").alias("c"), F.coalesce(F.max("n"), F.lit(0)).alias("longest")).first()
     long_texts = stats["longest"] > INLINE_TEXT
-    hot = _hot_pieces(both, share) if stats["c"] > HOT_MIN_NODES else {}
+    hot = _hot_pieces(both, share) if stats["c"] > HOT_MIN_NODES else []
 
     def joined(index: DataFrame, probe: DataFrame, distinct_sets: bool) -> DataFrame:
-        a = _pieces(index, share, hot).alias("a")
-        b = _occurrences(probe, share, long_texts).alias("b")
+        a, b = _pieces(index, share, hot), _occurrences(probe, share, long_texts)
+        if hot:
+            # A hot piece meets its texts in SALTS tasks. The work is far larger than the
+            # bytes, so the number of tasks is stated rather than left to coalescing.
+            tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            a = a.withColumn("salt", F.explode(F.expr(
+                f"if({_is_hot('piece', hot)}, sequence(0, {SALTS - 1}), array(0))")))
+            b = b.withColumn("salt", F.expr(f"if({_is_hot('piece', hot)}, cast(pmod(node, {SALTS}) as int), 0)"))
+            a, b = (side.repartition(tasks, "grp", "piece", "salt") for side in (a, b))
+        else:
+            a, b = a.withColumn("salt", F.lit(0)), b.withColumn("salt", F.lit(0))
+        a, b = a.alias("a"), b.alias("b")
         na, nb = F.col("a.n"), F.col("b.n")
         total = F.floor(F.lit(1 - share) * (na + nb) + F.lit(1e-9))
         shift = F.col("b.at") - F.col("a.at")
         longer = nb > na if not distinct_sets else nb >= na
         if not distinct_sets:
             longer = longer | ((nb == na) & (F.col("a.node") < F.col("b.node")))
-        fits = (longer & (nb - na <= total)
-                & (2 * shift <= total + nb - na) & (-2 * shift <= total - nb + na))
-        pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.piece") == F.col("b.piece")) & fits)
+        flips = F.bit_count(F.col("a.m").bitwiseXOR(F.col("b.m")))
+        fits = ((flips <= F.col("a.most")) & longer & (nb - na <= total)
+                & (2 * shift <= total + nb - na) & (-2 * shift <= total - nb + na) & (flips <= total))
+        pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.piece") == F.col("b.piece"))
+                       & (F.col("a.salt") == F.col("b.salt")) & fits)
         if not long_texts:
             near = F.expr(f"levenshtein(a.txt, b.txt, cast(floor({1 - share!r}D * (a.n + b.n) + 1e-9D) as int)) >= 0")
             pairs = pairs.where(near)
