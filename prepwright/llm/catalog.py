@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepwright.llm import decontaminate, exact_dedup, sharding, url_filter
+from prepwright.llm import decontaminate, exact_dedup, language, lines, sentencepieces, sharding, simhash, substrings, token_counts, url_filter
 from prepwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,25 @@ def op1_url_filter(spark, sf):
     return url_filter.judged(pages, unwanted, RULES)
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op2_simhash")
+def op2_simhash(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark, sf):
+    trips = sentencepieces.round_trips(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
+    return trips.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -85,11 +104,57 @@ def op4_decontaminate(spark, sf):
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+# Each document is cut by ten characters after its first quarter, gets its source put in at its middle
+# and its language at its end.
+EDITS = """
+  array(named_struct('start', length(text) div 4, 'end', length(text) div 4 + 10, 'text', ''),
+        named_struct('start', length(text) div 2 + 10, 'end', length(text) div 2 + 10, 'text', concat(' [', coalesce(source, ''), '] ')),
+        named_struct('start', length(text) + 10, 'end', length(text) + 10, 'text', concat('\n', coalesce(lang, ''))))"""
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark, sf):
+    import public_tokenizers
+    where = tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf, "documents").selectExpr("doc_id", "coalesce(text, '') as text", "source", "lang").selectExpr(
+        "doc_id", "text", f"{EDITS} as edits")
+    rows = token_counts.recounted(token_counts.trees(docs, *where), *where)
+    return rows.drop("leaf_chars", "leaf_tokens")
+
+
+@query("op6_language")
+def op6_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    return language.predicted(docs, language.learn(docs)).drop("spans")
+
+
+@query("op7_substring_dedup", r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as s
+        from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as k from win) where k > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from later),
+words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, count(g.p) as n_removed, string_agg(x, ' ' order by p) filter (g.p is null) as t
+         from words left join gone g using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)""")
+def op7_substring_dedup(spark, sf):
+    rows = substrings.without_repeats(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark, sf):
     return sharding.sharded(table(spark, sf, "documents"), 24)
 
 
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf):
+    rows = lines.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op10_exact_dedup", """
 with d as (select doc_id, coalesce(text, '') as text from documents)
 select doc_id, max(doc_id) over (partition by text) as keep_id, count(*) over (partition by text) as group_size,

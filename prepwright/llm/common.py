@@ -56,7 +56,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
             yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in
+                [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in
                  zip((columns[f.name] for f in arrow), arrow)], schema=arrow)
     return df.mapInArrow(run, schema)
 
