@@ -1,8 +1,73 @@
-"""Pipeline over documents; its stages follow."""
+"""Training documents from raw ones: language, repeated lines, near duplicates, benchmark passages, pieces.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns what it keeps; it is written as Parquet to the shared
+folder and read again as the next one's docs. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prepwright.llm import decontaminate, language, lines, sentencepieces, simhash
+from prepwright.llm.catalog import tokenizer
+from prepwright.llm.common import join_rows, stored, table, text_key
+
+# A document whose largest language has a smaller share of its letters is rejected.
+MIN_SCORE = 0.5
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language: a missing text, a text without letters and one that is a mixture in which
+    no language has MIN_SCORE of the letters go. An empty table stays empty."""
+    wanted = docs.withColumnsRenamed({c: f"doc_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")})
+    found = language.predicted(wanted, language.learn(wanted), carry=tuple(wanted.columns))
+    kept = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    return kept.select(*[F.col(new).alias(old) for new, old in zip(wanted.columns, docs.columns)])
+
+
+def by_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier one has, n_chars counted anew. Documents of which nothing is left go."""
+    found = lines.without_repeats(docs)
+    kept = found.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return kept.select(*_columns(docs))
+
+
+def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id. Rows that repeat an id stay or go together."""
+    found = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").select(*_columns(docs))
+
+
+def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = stored(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+                   .select("doc_id", "text_hash").distinct(), "contaminated")
+    hashed = docs.select(F.struct(*_columns(docs)).alias("doc"), *text_key())
+    return join_rows(hashed, found, "left_anti").select("doc.*")
+
+
+def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, and what they decode to."""
+    rows = sentencepieces.round_trips(docs, tokenizer("piece_bpe_32k.model"), carry=("doc_id", "lang", "source"))
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [("language", by_language), ("lines", by_line), ("simhash", by_simhash), ("benchmark", by_benchmark), ("pieces", in_pieces)]
+
+# XXH64, the language model and piece encoding are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

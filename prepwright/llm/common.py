@@ -71,3 +71,13 @@ def join_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     other = right.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
     return left.join(other, left["text_hash"].eqNullSafe(other["_text_hash"])
                      & left["doc_id"].eqNullSafe(other["_doc_id"]), how).drop("_doc_id", "_text_hash")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that a column of ``df`` has."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found

@@ -9,8 +9,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from prepwright.llm.common import map_batches, texts_of
+from prepwright.llm.common import free_names, map_batches, texts_of
 
 BUCKETS = 1 << 16
 # Labelled documents a language is learned from, about: a hash of the id picks them.
@@ -197,21 +198,26 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     return Model(languages, chances.astype(np.float32), barred)
 
 
-def predicted(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, spans.
+def predicted(docs: DataFrame, model: Model, switch: float = SWITCH, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns to ``carry``, held_out, lang_pred, score, spans.
 
     ``lang_pred`` is the language of most letters and ``score`` their share; spans label the whole text.
     A text that is missing or has no letter is ``und`` with score 0, as is any text if nothing was learned.
-    Of languages level in letters the first by name wins. Repeated rows give a row each. Only text is
-    looked at; a text of any length is scored in pieces and labelled as a whole.
+    Of languages level in letters the first by name wins. Repeated rows give a row each. Nothing but text is
+    looked at; carried columns of the names above are replaced. A text of any length is scored in pieces and
+    labelled as a whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    made = ("held_out", "lang_pred", "score", "spans")
+    carry = [c for c in carry if c.lower() not in made]
+    (key,) = free_names(docs, "held_out")
 
     def run(batches):
         for batch in batches:
             found = [labelled(t, shared.value, switch) for t in texts_of(batch)]
-            yield {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": [f[0] for f in found],
-                   "score": [f[1] for f in found], "spans": [f[2] for f in found]}
-    return map_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run,
-                       "doc_id bigint, held_out boolean, lang_pred string, score double, "
-                       "spans array<struct<start: int, end: int, lang: string>>")
+            yield {c: batch.column(c) for c in carry} | {
+                "held_out": batch.column(key), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "spans": [f[2] for f in found]}
+    rows = docs.select(*dict.fromkeys([*carry, "text"]), held_out(F.col("doc_id")).alias(key))
+    schema = StructType([*docs.select(*carry).schema.fields, *StructType.fromDDL(
+        "held_out boolean, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>").fields])
+    return map_batches(rows, run, schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import join_rows, map_batches, stored, text_key, texts_of
+from prepwright.llm.common import free_names, join_rows, map_batches, stored, text_key, texts_of
 
 MAX_EDITS = 1
 # Shorter lines are left alone: one edit in a few characters makes another line.
@@ -200,17 +200,21 @@ def without_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int
     replaced.
     """
     gone = stored(removed_lines(docs, max_edits, min_chars), "removed-lines")
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = join_rows(docs.select(*rest, text_key()[1]), gone, "left")
-    schema = rows.select(*rest, F.lit(0).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed")).schema
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in rest])
+    key, ats, other = free_names(docs, "text_hash", "ats", "other_id")
+    gone = gone.select(F.col("doc_id").alias(other), F.col("text_hash").alias("_" + key), F.col("ats").alias(ats))
+    rows = docs.withColumn(key, text_key()[1])
+    rows = rows.join(gone, rows[key].eqNullSafe(gone["_" + key]) & rows["doc_id"].eqNullSafe(gone[other]), "left").drop(key, "_" + key, other)
+    schema = docs.withColumns({"n_lines": F.lit(0).cast("bigint"), "n_removed": F.lit(0).cast("bigint")}).schema
 
     def run(batches):
         for batch in batches:
             texts, lines, removed = [], [], []
-            for text, ats in zip(batch.column("text").to_pylist(), batch.column("ats").to_pylist()):
-                parts, out = (text.split("\n") if text is not None else []), set(ats or ())
+            for text, found in zip(batch.column("text").to_pylist(), batch.column(ats).to_pylist()):
+                parts, out = (text.split("\n") if text is not None else []), set(found or ())
                 texts.append("\n".join([p for i, p in enumerate(parts) if i not in out]) if out else text)
                 lines.append(len(parts))
                 removed.append(len(out))
             yield {c: batch.column(c) for c in rest} | {"text": texts, "n_lines": lines, "n_removed": removed}
-    return map_batches(rows.select(*rest, "ats"), run, schema)
+    return map_batches(rows, run, schema)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from prepwright.llm.common import map_batches, texts_of
 
@@ -195,19 +196,24 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row per document: doc_id, ids (array of int) and decoded (string), without begin and end ids.
+def round_trips(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns to ``carry``, ids (array of int) and decoded (string), without begin
+    and end ids.
 
     ``model_path`` is a file that every executor has. A missing or empty text has no ids and decodes to
-    the empty text; repeated rows give a row each; other columns are not looked at. A text of any length
-    is encoded word by word, and its ids are the only thing kept of it.
+    the empty text; repeated rows give a row each; carried columns named ids or decoded are replaced. A text of
+    any length is encoded unit by unit, and its ids are the only thing kept of it.
     """
+    carry = [c for c in carry if c.lower() not in ("ids", "decoded")]
+
     def run(batches):
         model = pieces(model_path)
         for batch in batches:
             ids = [model.encode(t) for t in texts_of(batch)]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(i) for i in ids], out=offsets[1:])
-            yield {"doc_id": batch.column("doc_id"), "decoded": [model.decode(i) for i in ids],
-                   "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))}
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, decoded string")
+            yield {c: batch.column(c) for c in carry} | {
+                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))),
+                "decoded": [model.decode(i) for i in ids]}
+    schema = StructType([*docs.select(*carry).schema.fields, *StructType.fromDDL("ids array<int>, decoded string").fields])
+    return map_batches(docs.select(*dict.fromkeys([*carry, "text"])), run, schema)

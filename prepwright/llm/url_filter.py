@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import ascii_lower, stored
+from prepwright.llm.common import ascii_lower, free_names, stored
 
 # A block is eight 32-bit words; a key sets one bit in each.
 WORDS = 8
@@ -90,23 +90,23 @@ def listed_rows(df: DataFrame, url: str, urls: DataFrame, max_blocks: int = MAX_
     The filter passes every listed URL and a few others; only these rows move, to an exact hash join
     on the canonical URL that removes the false ones. The list has one row per URL there, so a URL that
     holds much of the table is split on the side of the rows. A missing URL is not listed, and a list
-    that is empty lists nothing.
+    that is empty lists nothing. A column ``listed`` of ``df`` is replaced.
     """
-    urls = stored(urls.select(canonical(F.col("url")).alias("_canonical")).filter("_canonical is not null").distinct(), "listed-urls")
-    words = df.sparkSession.sparkContext.broadcast(bloom_filter(urls.select(F.xxhash64("_canonical").alias("key")), max_blocks))
+    urls = stored(urls.select(canonical(F.col("url")).alias("url")).filter("url is not null").distinct(), "listed-urls")
+    words = df.sparkSession.sparkContext.broadcast(bloom_filter(urls.select(F.xxhash64("url").alias("key")), max_blocks))
 
     @F.pandas_udf("boolean")
     def passes(keys: pd.Series) -> pd.Series:
         at, masks = _masks(keys.to_numpy().view(np.uint64), len(words.value))
         return pd.Series(((words.value[at] & masks) == masks).all(axis=1))
 
-    rows = df.withColumn("_canonical", canonical(F.col(url)))
-    rows = rows.withColumn("_passes", F.col("_canonical").isNotNull() & passes(F.xxhash64("_canonical")))
-    rows = stored(rows, "filtered-urls")
-    exact = urls.hint("shuffle_hash").withColumn("_found", F.lit(True))
-    certain = rows.filter("_passes").join(exact, "_canonical", "left").withColumn("listed", F.col("_found").isNotNull())
-    rest = rows.filter("not _passes").withColumn("listed", F.lit(False))
-    columns = [*[F.col(f"`{c}`") for c in df.columns], "listed"]
+    key, may, found = free_names(df, "canonical", "passes", "found")
+    rows = df.withColumn(key, canonical(F.col(url)))
+    rows = stored(rows.withColumn(may, F.col(key).isNotNull() & passes(F.xxhash64(key))), "filtered-urls")
+    exact = urls.hint("shuffle_hash").select(F.col("url").alias(key), F.lit(True).alias(found))
+    certain = rows.filter(F.col(may)).join(exact, key, "left").withColumn("listed", F.col(found).isNotNull())
+    rest = rows.filter(~F.col(may)).withColumn("listed", F.lit(False))
+    columns = [*[F.col(f"`{c}`") for c in df.columns if c.lower() != "listed"], "listed"]
     return certain.select(*columns).unionAll(rest.select(*columns))
 
 
