@@ -42,10 +42,13 @@ _DUPLICATES = "(select sum(n - 1) from (select count(*) as n from d group by {})
 
 
 # Single letters are similar to none but themselves: no groups among the two text columns.
-@query("dq_score", on_dirty("lineitem", _score(
+_SCORED = _score(
     f"({_gaps(LINEITEM_COLUMNS)}) / (count(*) * {len(LINEITEM_COLUMNS)})::double",
     _DUPLICATES.format(", ".join(LINEITEM_COLUMNS)),
-    f"({_outliers(NUMS)}) / (count(*) * {len(NUMS)})::double", "0.0::double", "d")))
+    f"({_outliers(NUMS)}) / (count(*) * {len(NUMS)})::double", "0.0::double", "d")
+
+
+@query("dq_score", on_dirty("lineitem", _SCORED))
 def dq_score(spark, sf):
     return quality.quality_score(dirty(spark, sf, "lineitem"))
 
@@ -103,7 +106,7 @@ def diag_analyze(spark, sf):
 @query("reason_issues", on_diagnosis(f"""select rank, issue, severity, {r("value")} as value,
     {r("least(1.0, round(least(1.0, sure), 2))")} as confidence from issue"""))
 def reason_issues(spark, sf):
-    found = _diagnosis(spark, sf)["issues"].drop("reasoning", "recommendation")
+    found = _diagnosis(spark, sf)["issues"].drop("recommendation")
     return rounds(found, 6, "value", "confidence")
 
 
@@ -144,7 +147,7 @@ def plan_adaptive(spark, sf):
     (3, 'class imbalance'), (4, 'duplicate')) s(ord, code) where code in (select issue from issue)
     union all select 0, 'none' where not exists (select 1 from issue)"""))
 def risk_if_ignored(spark, sf):
-    return rules.risks_if_ignored(_diagnosis(spark, sf)["issues"]).drop("consequence")
+    return rules.risks_if_ignored(_diagnosis(spark, sf)["issues"]).drop("severity")
 
 
 def _advised(table_name: str, target: str) -> str:
@@ -160,7 +163,7 @@ def _advised(table_name: str, target: str) -> str:
     select t.task, case when t.task = 'classification' then n end as n_classes, rank, model
     from t join m on t.task = m.task and (two is null or two = (n = 2))""")
 def advise_model(spark, sf):
-    return rules.advise_models(table(spark, sf, "labels"), "quality").drop("why")
+    return rules.advise_models(table(spark, sf, "labels"), "quality")
 
 
 @query("infer_task", union_all([f"select '{t}.{c}' as target, task from ({_advised(t, c)})" for t, c in (
@@ -244,18 +247,44 @@ def explore_notes(spark, sf):
 # ---- reports and whole flows --------------------------------------------------------
 
 
-@query("report_full")
+_REPORT = on_diagnosis(f""", score as ({_SCORED})
+    select 'summary' as part, 'rows' as name, null as status, n_rows::double as value from diag
+    union all select 'summary', 'columns', null, n_cols::double from diag
+    union all select 'complexity', 'score', case when v < 3.5 then 'Low Complexity' when v < 7 then 'Medium Complexity'
+      else 'High Complexity' end, v from (select {_DCI} as v from diag)
+    union all select 'health', 'score', label, score from score
+    union all select 'health', 'missing_values', null, missing_values from score
+    union all select 'health', 'duplicates', null, duplicates from score
+    union all select 'health', 'outliers', null, outliers from score
+    union all select 'health', 'inconsistent_categories', null, inconsistent_categories from score
+    union all select 'issue', issue, severity, {r("value")} from issue""")
+
+
+def _unpacked(report):
+    """Each value of a report as a row (part, name, status, value)."""
+    def one(part, name, status, value):
+        return F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), (F.col(status) if status else F.lit(None)).cast("string").alias("status"),
+                        F.col(value).cast("double").alias("value"))
+    parts = [one("summary", "rows", None, "dataset_summary.rows"), one("summary", "columns", None, "dataset_summary.columns"),
+             one("complexity", "score", "dataset_complexity_index.label", "dataset_complexity_index.score"),
+             one("health", "score", "data_health.label", "data_health.score")]
+    parts += [one("health", c, None, f"data_health.{c}") for c in ("missing_values", "duplicates", "outliers", "inconsistent_categories")]
+    issues = F.transform("issues", lambda i: F.struct(F.lit("issue").alias("part"), i["issue"].alias("name"), i["severity"].alias("status"),
+                                                      i["value"].alias("value")))
+    return rounds(report.select(F.inline(F.concat(F.array(*parts), issues))), 6, "value")
+
+
+@query("report_full", _REPORT)
 def report_full(spark, sf):
-    return flows.report_json(flows.report(dirty(spark, sf, "lineitem"), TARGET))
+    full = flows.report(dirty(spark, sf, "lineitem"), TARGET)
+    return _unpacked(flows.report_json(full).select(F.from_json("report", full.schema).alias("r")).select("r.*"))
 
 
-@query("snk_json_report")
+@query("snk_json_report", _REPORT)
 def snk_json_report(spark, sf):
     full, path = flows.report(dirty(spark, sf, "lineitem"), TARGET), scratch_path(spark, "report")
     writers.write_json_report(full, path)
-    return spark.read.schema(full.schema).json(path).select(
-        F.col("dataset_summary.rows").alias("n_rows"), F.col("data_health.score").alias("score"),
-        F.size("issues").alias("n_issues"))
+    return _unpacked(spark.read.schema(full.schema).json(path))
 
 
 _CLEANED = f"""

@@ -189,6 +189,15 @@ def _profiled(c: str, number: bool) -> str:
     top = "cast(null as varchar)" if number else \
         f"(select string_agg(v, '|' order by k desc, v) from (select * from ({counts}) order by k desc, v limit 5))"
     distinct = f"count(distinct {c})"
+    if c == "l_shipdate":
+        v, none = f"(epoch_us({c}) / 1e6)", "cast(null as bigint)"
+        return f"""select '{c}' as "column", 'datetime' as kind, count(*) as n, count(*) - count({c}) as missing, {none} as zeros,
+          {none} as negatives, {none} as infinite, {sig(f"avg({v})")} as mean, cast(null as double) as std, {sig(f"min({v})")} as min,
+          {sig(_quantile(v, 0.25))} as q25, {sig(_quantile(v, 0.5))} as q50, {sig(_quantile(v, 0.75))} as q75, {sig(f"max({v})")} as max,
+          cast(null as double) as skew, {distinct} as n_distinct, (select max(k) from ({counts})) as top_freq,
+          cast(null as varchar) as top_values, {distinct} = count({c}) and count({c}) > 0 as is_unique,
+          concat_ws(',', case when {distinct} <= 1 then 'constant' end,
+            case when count(*) - count({c}) > 0.2 * count(*) then 'high_missing' end) as alerts from d"""
     return f"""select '{c}' as "column", '{"numeric" if number else "categorical"}' as kind, count(*) as n,
       count(*) - count({c}) as missing, {n(f"count(*) filter ({c} = 0)", "bigint")} as zeros,
       {n(f"count(*) filter ({c} < 0)", "bigint")} as negatives,
@@ -204,9 +213,9 @@ def _profiled(c: str, number: bool) -> str:
 
 
 @query("st_profile", on_dirty("lineitem", union_all(
-    [_profiled(c, c in NUMS) for c in LINEITEM_COLUMNS if c != "l_shipdate"])))
+    [_profiled(c, c in NUMS) for c in LINEITEM_COLUMNS])))
 def st_profile(spark, sf):
-    out = profile.profile(dirty(spark, sf, "lineitem").drop("l_shipdate"))
+    out = profile.profile(dirty(spark, sf, "lineitem"))
     out = out.withColumn("top_values", F.when(F.col("kind") == "categorical", F.col("top_values")))
     return rounds(significant(out, *_MEASURES), 6, "skew")
 
@@ -281,6 +290,14 @@ def enc_onehot(spark, sf):
     return encode.one_hot(dirty(spark, sf, "customer"))
 
 
+@query("enc_onehot_wide", """
+    select o_orderkey, (select count(distinct o_orderdate) from orders) as size,
+           dense_rank() over (order by cast(o_orderdate as varchar)) - 1 as index from orders""")
+def enc_onehot_wide(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"))
+    return encode.one_hot(df, sparse=["day"]).select("o_orderkey", "day.size", "day.index")
+
+
 @query("enc_label", on_dirty("customer", """
     , v as (select value, row_number() over (order by first, value) - 1 as code from (
         select c_mktsegment as value, min(c_custkey) as first from d where c_mktsegment is not null group by c_mktsegment))
@@ -325,8 +342,8 @@ def _z(c: str) -> str:
 _CUSTOMER_NUMS = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 
-@query("feat_engineering", on_dirty("customer", f"select {_ONEHOT}, {', '.join(map(_z, _CUSTOMER_NUMS))} from d"))
-def feat_engineering(spark, sf):
+@query("feat_pipeline", on_dirty("customer", f"select {_ONEHOT}, {', '.join(map(_z, _CUSTOMER_NUMS))} from d"))
+def feat_pipeline(spark, sf):
     return rounds(flows.engineer(dirty(spark, sf, "customer"))[0], 6, *_CUSTOMER_NUMS)
 
 
@@ -396,10 +413,22 @@ def ch_box(spark, sf):
     return rounds(out, 6, "q25", "q50", "q75", "whisker_lo", "whisker_hi")
 
 
+@query("ch_box_wide", f"""
+    with q as (select l_partkey as grp, quantile_cont(l_extendedprice, 0.25) as q25, quantile_cont(l_extendedprice, 0.5) as q50,
+                      quantile_cont(l_extendedprice, 0.75) as q75 from lineitem group by l_partkey),
+    f as (select *, q25 - 1.5 * (q75 - q25) as lo, q75 + 1.5 * (q75 - q25) as hi from q)
+    select cast(grp as varchar) as grp, {r("q25")} as q25, {r("q50")} as q50, {r("q75")} as q75, count(*) as n,
+      count(*) filter (l_extendedprice < lo - 1e-6 or l_extendedprice > hi + 1e-6) as outliers
+    from lineitem join f on grp = l_partkey group by grp, q25, q50, q75""")
+def ch_box_wide(spark, sf):
+    out = charts.box_data(table(spark, sf, "lineitem"), "l_extendedprice", "l_partkey")
+    return rounds(out, 6, "q25", "q50", "q75").drop("whisker_lo", "whisker_hi")
+
+
 @query("ch_bar", f"""select l_shipdate as x, {r("sum(l_extendedprice)", 2)} as total from lineitem group by l_shipdate
-    order by sum(l_extendedprice) desc, l_shipdate limit 50""")
+    """)
 def ch_bar(spark, sf):
-    return rounds(charts.bar_data(table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice", 50), 2, "total")
+    return rounds(charts.bar_data(table(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice"), 2, "total")
 
 
 @query("ch_line", f"""select date_trunc('day', ts)::timestamp as x, {r("avg(value)")} as y, count(*) as n
@@ -412,12 +441,17 @@ def ch_line(spark, sf):
 _HASHED = "order by md5(concat('42|', cast(o_orderkey as varchar))), o_orderkey limit 1000"
 
 
-@query("ch_scatter", f"select o_orderkey, o_custkey, o_totalprice from orders {_HASHED}")
+@query("ch_scatter", "select o_orderkey, o_custkey, o_totalprice from orders")
 def ch_scatter(spark, sf):
     return charts.scatter_data(table(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
-@query("ch_pair", f"select o_orderkey, o_custkey, o_totalprice from orders {_HASHED}")
+@query("ch_scatter_sample", f"select o_orderkey, o_custkey, o_totalprice from orders {_HASHED}")
+def ch_scatter_sample(spark, sf):
+    return charts.scatter_data(table(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderkey", 1_000)
+
+
+@query("ch_pair", "select o_orderkey, o_custkey, o_totalprice from orders")
 def ch_pair(spark, sf):
     return charts.pair_data(table(spark, sf, "orders"), ["o_custkey", "o_totalprice"], "o_orderkey")
 

@@ -116,12 +116,13 @@ def snk_bi_schema(spark, sf):
     return writers.bi_schema(table(spark, sf, "orders"))
 
 
-@query("snk_push_batches", "select count(*) as n_rows, true as bounded, true as complete from orders")
+@query("snk_push_batches", """
+    select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, true as bounded from orders""")
 def snk_push_batches(spark, sf):
-    batches = writers.push_batches(table(spark, sf, "orders"), 500)
-    sent = F.size(F.from_json("payload", "rows array<struct<o_orderkey: long>>")["rows"])
-    return batches.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 500).alias("bounded"),
-                       (F.sum(sent) == F.sum("n")).alias("complete"))
+    batches = writers.push_batches(table(spark, sf, "orders").drop("o_orderdate"), 500)
+    schema = "rows array<struct<o_orderkey: long, o_custkey: long, o_orderstatus: string, o_totalprice: double, o_orderpriority: string>>"
+    sent = F.from_json("payload", schema)["rows"]
+    return batches.select(((F.col("n") <= 500) & (F.size(sent) == F.col("n"))).alias("bounded"), F.inline(sent))
 
 
 # ---- projections --------------------------------------------------------------------
@@ -147,6 +148,14 @@ def prj_map_values(spark, sf):
         "c_mktsegment": {"BUILDING": "MACHINERY", "MACHINERY": "Machines", "HOUSEHOLD": "Home"}, "no_such": {"a": "b"}})
 
 
+@query("prj_map_values_wide", """
+    select o_orderkey, case when o_custkey between 1 and 400 then cast(-o_custkey as varchar) || 'x'
+      when o_custkey = 401 then null else cast(o_custkey as varchar) end as o_custkey from orders""")
+def prj_map_values_wide(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return columns.map_values(df, {"o_custkey": {**{k: f"-{k}x" for k in range(1, 401)}, 401: None, "402": "no such key"}})
+
+
 @query("prj_drop_correlated", on_dirty("lineitem", f"""
     select {", ".join(c for c in LINEITEM_COLUMNS if c != "price_twice")} from d"""))
 def prj_drop_correlated(spark, sf):
@@ -176,6 +185,22 @@ for _key, _spec in _FILTERS.items():
     _register_filter(_key, *_spec)
 
 
+_LARGE = 9007199254740992   # 2 ** 53
+
+
+@query("flt_eq_large", f"select o_orderkey + {_LARGE}::bigint as id, o_custkey from orders where o_orderkey = 33")
+def flt_eq_large(spark, sf):
+    df = table(spark, sf, "orders").select((F.col("o_orderkey") + F.lit(_LARGE)).alias("id"), "o_custkey")
+    return columns.filter_rows(df, "id", "==", str(_LARGE + 33))
+
+
+@query("flt_ge_nan", on_dirty("lineitem", "select * from d where l_quantity >= 25.5"))
+def flt_ge_nan(spark, sf):
+    df = dirty(spark, sf, "lineitem")
+    gap = F.when(F.col("l_partkey") % 2 == 0, F.lit(float("nan")))
+    return columns.filter_rows(df.withColumn("l_quantity", F.coalesce("l_quantity", gap)), "l_quantity", ">=", "25.5")
+
+
 @query("flt_drop_missing", on_dirty("lineitem", """
     select * from d where l_quantity is not null and l_discount is not null and l_returnflag is not null"""))
 def flt_drop_missing(spark, sf):
@@ -339,6 +364,27 @@ def cast_category(spark, sf):
     return casting.convert_column(dirty(spark, sf, "customer"), "c_mktsegment", "category")
 
 
+_FORMS = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss.SSS", "M/d/yyyy HH:mm", "MMM d, yyyy", "dd-MMM-yyyy", "yyyyMMdd", "yyyy-MM-dd HH:mm"]
+
+
+@query("cast_datetime_free", """
+    select o_orderkey, case o_orderkey % 7 when 0 then date_trunc('second', t) when 1 then date_trunc('millisecond', t)
+      when 2 then date_trunc('minute', t) when 6 then date_trunc('minute', t) else date_trunc('day', t)::timestamp end as at
+    from (select o_orderkey, o_orderdate + to_milliseconds(o_orderkey * 86413) as t from orders)""")
+def cast_datetime_free(spark, sf):
+    at = F.expr("cast(o_orderdate as timestamp_ntz) + make_dt_interval(0, 0, 0, cast(o_orderkey * 86413 as decimal(18,6)) / 1000)")
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % 7 == i, F.date_format("t", form)) for i, form in enumerate(_FORMS)])
+    df = table(spark, sf, "orders").select("o_orderkey", at.alias("t")).select("o_orderkey", text.alias("at"))
+    return casting.cast_datetime(df, "at")
+
+
+@query("dd_exact_nan", on_dirty("customer", "select distinct c_nationkey % 3 as k, c_acctbal is null as gap, null::double as x from d"))
+def dd_exact_nan(spark, sf):
+    x = F.when(F.col("c_custkey") % 2 == 0, F.lit(float("nan")))
+    df = dirty(spark, sf, "customer").select((F.col("c_nationkey") % 3).alias("k"), F.col("c_acctbal").isNull().alias("gap"), x.alias("x"))
+    return dedupe.drop_exact(df)
+
+
 @query("fix_types", on_dirty("part", f"""select {_PART_REST}, try_cast(size_text as double) as size_text, mixed_text,
     try_strptime(date_text, '%Y-%m-%d') as date_text, p_retailprice from d"""))
 def fix_types(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prepwright.catalog.registry import DIRT, dirty, on_dirty, plain, query, r, rounds, table, union_all
+from prepwright.catalog.registry import DIRT, dirty, on_dirty, query, r, rounds, table, union_all
 from prepwright.functions import text as words
 from prepwright.functions.indel import indel_ratio
 from prepwright.operators import fuzzy
@@ -118,6 +118,17 @@ def fuzzy_groups(spark, sf):
     return out.withColumn("original", F.array_join("original", "|"))
 
 
+_LOW = f"""{PART_NODES}, {greedy_ctes(60)},
+    member as (select grp, value, leader from led join node using (id))"""
+
+
+@query("fuzzy_groups_low", with_dirty_part(f"""{_LOW}
+    select grp as "column", string_agg(value, '|' order by value) as original from member group by grp, leader having count(*) > 1"""))
+def fuzzy_groups_low(spark, sf):
+    out = fuzzy.fuzzy_groups(dirty(spark, sf, "part"), threshold=60, order_by=["p_partkey"])
+    return out.select("column", F.array_join("original", "|").alias("original"))
+
+
 @query("fix_apply_groups", with_dirty_part(f"""{MEMBERS}
     select p_partkey, coalesce(suggested, p_name) as p_name, p_brand, size_text, mixed_text, date_text, p_retailprice
     from d left join member on grp = 'p_name' and value = trim(p_name)"""))
@@ -140,15 +151,15 @@ def fuzzy_normalize(spark, sf):
 
 
 @query("dd_fuzzy_rows", with_dirty_part(f"""
-    rows as (select p_partkey, p_name, p_brand, date_text, p_name || '||' || p_brand || '||' || date_text as txt from d),
+    rows as (select *, p_partkey || '||' || p_name || '||' || p_brand || '||' || size_text || '||' || mixed_text || '||' ||
+             date_text || '||' || p_retailprice as txt from d),
     node as (select '' as grp, txt as value, txt, row_number() over (order by min(p_partkey), txt) as id,
                     min(p_partkey) as first_key from rows group by txt),
     {greedy_ctes(95, True)}
-    select p_partkey, p_name, p_brand, date_text from rows join (
+    select rows.* exclude (txt) from rows join (
       select first_key from node join leads on id = leader) on first_key = p_partkey"""))
 def dd_fuzzy_rows(spark, sf):
-    df = plain(dirty(spark, sf, "part"), "p_partkey", "p_name", "p_brand", "date_text")
-    return fuzzy.drop_fuzzy_rows(df, ["p_partkey"], 95, ["p_name", "p_brand", "date_text"])
+    return fuzzy.drop_fuzzy_rows(dirty(spark, sf, "part"), ["p_partkey"], 95)
 
 
 # ---- text functions -----------------------------------------------------------------
@@ -164,9 +175,13 @@ def txt_standardize(spark, sf):
     return flows.standardize_columns(table(spark, sf, "documents"), ["text", "source", "no_such_column"])
 
 
+# The references in the given pages, the ampersand last.
+_REFERENCES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def _unescaped(expr: str) -> str:
-    for entity, char in words.ENTITIES:
-        expr = "replace({}, '{}', '{}')".format(expr, entity, char.replace("'", "''"))
+    for reference, char in _REFERENCES:
+        expr = f"replace({expr}, '{reference}', '{char}')"
     return expr
 
 
@@ -179,6 +194,12 @@ def txt_html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", words.html_to_text(F.col("html")).alias("text"))
 
 
+@query("txt_entities", "select page_id, 'é’€Ω<&amp;> ' || page_id as text from pages")
+def txt_entities(spark, sf):
+    raw = F.concat(F.lit("&eacute;&#8217;&#x20AC;&Omega;&lt;&amp;amp;&gt; "), F.col("page_id").cast("string"))
+    return table(spark, sf, "pages").select("page_id", words.unescape(raw).alias("text"))
+
+
 @query("act_dispatch", on_dirty("customer", f"""
     select cast(c_custkey as varchar) as c_custkey, c_nationkey,
       {r("coalesce(c_acctbal, (select quantile_cont(c_acctbal, 0.5) from d))")} as c_acctbal,

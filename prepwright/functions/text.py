@@ -1,29 +1,35 @@
-"""Text expressions, all evaluated on the JVM side."""
+"""Text expressions, evaluated on the JVM side but for character references."""
 
 from __future__ import annotations
 
+import html
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Unicode-aware classes for "not a word character or blank" and edge blanks.
 EDGE_BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 PUNCTUATION = r"[^\p{L}\p{N}_\s\p{Z}]"
 
-# Entities decoded in HTML text; the ampersand has to come last.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-]
+# Where text breaks into lines.
+LINE_BREAK = r"\R|[\x1c-\x1e]"
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescape(c: Column) -> Column:
+    """Named and numeric character references as characters; texts without ``&`` stay on the JVM side."""
+    return F.when(F.contains(c, F.lit("&")), _unescaped(c)).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -40,9 +46,7 @@ def html_to_text(c: Column) -> Column:
     bare = F.regexp_replace(c, r"(?is)<script.*?>.*?</script>", "")
     bare = F.regexp_replace(bare, r"(?is)<style.*?>.*?</style>", "")
     bare = F.regexp_replace(bare, r"(?s)<.*?>", "")
-    for entity, char in ENTITIES:
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    lines = F.transform(F.split(bare, r"\r\n|\n|\r"), strip)
+    lines = F.transform(F.split(unescape(bare), LINE_BREAK), strip)
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 

@@ -69,7 +69,7 @@ def comparable(df: DataFrame) -> list[str]:
 def require(df: DataFrame, *names: str) -> None:
     for name in names:
         if name not in df.columns:
-            raise ValueError(f"Column not found: {name}")
+            raise ValueError(f"the table has no column {name!r}")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepwright.kinds import as_double, col
-
-MAX_CLASSES = 1_000
+from prepwright.operators.encode import _numbered
+from prepwright.session import cut_lineage
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """(actual, predicted, n) for every pair of the labels seen on either side."""
-    pairs = df.groupBy(col(actual).alias("actual"), col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    """(actual, predicted, n) for every pair of the labels seen on either side.
+
+    The matrix is made of rows: labels are numbered, and each meets all numbers. Only the
+    number of labels reaches the driver.
+    """
+    pairs = cut_lineage(df.groupBy(col(actual).alias("actual"), col(predicted).alias("predicted")).agg(F.count("*").alias("n")))
     seen = pairs.select(F.col("actual").alias("l")).union(pairs.select("predicted")).where("l is not null").distinct()
-    labels = sorted(r["l"] for r in seen.limit(MAX_CLASSES + 1).collect())
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"More than {MAX_CLASSES} classes in a confusion matrix")
-    zero = df.sparkSession.createDataFrame([(a, p) for a in labels for p in labels], pairs.select(
-        "actual", "predicted").schema).withColumn("n", F.lit(0).cast("long"))
-    return pairs.where("actual is not null and predicted is not null").unionByName(zero).groupBy(
+    codes = cut_lineage(_numbered(seen.withColumn("_o", F.col("l")), "_o", "l"))
+    size = codes.count()
+    grid = codes.select(F.col("l").alias("actual"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(size - 1, 0)).cast("long"))).alias("_code")).join(
+        codes.withColumnRenamed("l", "predicted"), "_code").select("actual", "predicted", F.lit(0).cast("long").alias("n"))
+    return pairs.where("actual is not null and predicted is not null").unionByName(grid).groupBy(
         "actual", "predicted").agg(F.sum("n").alias("n"))
 
 

@@ -22,14 +22,14 @@ def cast_datetime(df: DataFrame, column: str, formats: list[str] | None = None,
                   single_format: bool = False) -> DataFrame:
     """Text to timestamp.
 
-    The first format that fits a value is used, or with ``single_format`` the one format
-    that fits most values of the column (earliest in the list on ties).
+    Without ``formats`` any usual date is read, else the first format that fits a value; with
+    ``single_format`` the one format that fits most values of the column (earliest on ties).
     """
     if column not in df.columns or column in kinds.datetime(df):
         return df
-    formats = formats or DATETIME_FORMATS
     value = col(column).cast("string")
     if single_format:
+        formats = formats or DATETIME_FORMATS
         hits = df.agg(*[F.count(parse_timestamp(value, [f])).alias(f"h{i}") for i, f in enumerate(formats)]).first()
         formats = [formats[max(range(len(formats)), key=lambda i: hits[i])]]
     return df.withColumn(column, parse_timestamp(value, formats))
@@ -49,7 +49,7 @@ def convert_column(df: DataFrame, column: str, target: str) -> DataFrame:
     if column not in df.columns:
         return df
     if target not in ("numeric", "string", "category"):
-        raise ValueError(f"Unsupported dtype: {target}")
+        raise ValueError(f"columns are not converted to {target!r}")
     return convert_types(df, {column: "text" if target == "string" else target})
 
 

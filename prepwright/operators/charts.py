@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from prepwright import kinds
 from prepwright.kinds import as_double, col
 from prepwright.operators import profile
-from prepwright.operators.quantiles import fit_quantiles
+from prepwright.operators.quantiles import group_quantiles
 from prepwright.operators.sampling import sample
-
-MAX_GROUPS = 200
+from prepwright.session import attach
 
 
 def histogram_data(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -38,16 +37,10 @@ def box_data(df: DataFrame, y: str, group: str | None = None) -> DataFrame:
     df = kinds.nan_to_null(df)
     key = col(group).cast("string") if group else F.lit("all")
     df = df.select(key.alias("grp"), as_double(y).alias("y")).where("y is not null and grp is not null")
-    names = [r["grp"] for r in df.select("grp").distinct().limit(MAX_GROUPS + 1).collect()]
-    if len(names) > MAX_GROUPS:
-        raise ValueError(f"More than {MAX_GROUPS} groups for a box chart")
-    quartiles = fit_quantiles(df, {g: (F.when(F.col("grp") == g, F.col("y")), [0.25, 0.5, 0.75]) for g in names})
-    table = df.sparkSession.createDataFrame(
-        [(g, *q, q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])) for g, q in quartiles.items()],
-        "grp string, q25 double, q50 double, q75 double, _lo double, _hi double")
+    box = group_quantiles(df, "grp", "y", [0.25, 0.5, 0.75]).selectExpr("grp", "q[0] as q25", "q[1] as q50", "q[2] as q75").selectExpr(
+        "*", "q25 - 1.5D * (q75 - q25) as _lo", "q75 + 1.5D * (q75 - q25) as _hi")
     inside = (F.col("y") >= F.col("_lo")) & (F.col("y") <= F.col("_hi"))
-    # The table holds at most MAX_GROUPS rows.
-    return df.join(F.broadcast(table), "grp").groupBy("grp", "q25", "q50", "q75").agg(
+    return attach(df, box, ["grp"]).groupBy("grp", "q25", "q50", "q75").agg(
         F.count("*").alias("n"), F.min(F.when(inside, F.col("y"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("y"))).alias("whisker_hi"), F.count_if(~inside).alias("outliers"))
 
@@ -68,21 +61,22 @@ def line_data(df: DataFrame, x: str, y: str, unit: str = "day") -> DataFrame:
         F.avg(as_double(y)).alias("y"), F.count("*").alias("n")).orderBy("x")
 
 
-def scatter_data(df: DataFrame, x: str, y: str, key: str, points: int = 1_000) -> DataFrame:
-    """Points of a repeatable sample."""
+def scatter_data(df: DataFrame, x: str, y: str, key: str, points: int = 0) -> DataFrame:
+    """All points, or a repeatable sample of ``points``."""
     kinds.require(df, x, y)
     return sample(df, points, key).select(col(key), col(x), col(y))
 
 
 def heatmap_data(df: DataFrame) -> DataFrame:
     if not kinds.numeric(df):
-        raise ValueError("No numeric columns for a heatmap")
+        raise ValueError("a heatmap takes one number column or more")
     return profile.correlation_matrix(df).withColumn("corr", F.round("corr", 2) + F.lit(0.0))
 
 
-def pair_data(df: DataFrame, columns: list[str], key: str, points: int = 1_000) -> DataFrame:
+def pair_data(df: DataFrame, columns: list[str], key: str, points: int = 0) -> DataFrame:
+    """All rows of the columns, or a repeatable sample of ``points``."""
     if not columns:
-        raise ValueError("No numeric columns for a pair plot")
+        raise ValueError("a pair plot takes one column or more")
     return sample(df, points, key).select(col(key), *[col(c) for c in columns if c != key])
 
 
@@ -102,4 +96,4 @@ def chart_data(df: DataFrame, kind: str, x: str, y: str | None = None, key: str
         return heatmap_data(df)
     if kind == "scatter" or not strict:
         return scatter_data(df, x, y, key or x)
-    raise ValueError(f"Unsupported chart type: {kind}")
+    raise ValueError(f"no chart is named {kind!r}")

@@ -10,8 +10,8 @@ from prepwright.kinds import col
 
 
 def drop_exact(df: DataFrame) -> DataFrame:
-    """One row of every set of equal rows; missing equals missing."""
-    return df.dropDuplicates(kinds.comparable(df))
+    """One row of every set of equal rows; missing equals missing, be it NULL or NaN."""
+    return kinds.nan_to_null(df).dropDuplicates(kinds.comparable(df))
 
 
 def keep_first(df: DataFrame, subset: list[str], order_by: list[str]) -> DataFrame:

@@ -10,34 +10,36 @@ from prepwright import kinds
 from prepwright.kinds import as_double, col, num
 from prepwright.session import attach, cut_lineage
 
-MAX_LEVELS = 2_000
-
-
-def fit_levels(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted distinct values per column; too many for a wide table is an error."""
+def fit_levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Sorted distinct values per column, for a table that gets a column of each."""
     levels: dict[str, list[str]] = {c: [] for c in columns}
     if not columns:
         return levels
     cells = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns])))
-    seen = cells.where("value is not null").distinct()
-    found = seen.limit(max_levels * len(columns) + 1).collect()
-    for r in found:
+    for r in cells.where("value is not null").distinct().collect():
         levels[r["column"]].append(r["value"])
-    for c, values in levels.items():
-        if len(values) > max_levels or len(found) > max_levels * len(columns):
-            raise ValueError(f"More than {max_levels} levels in '{c}'; use the sparse vector form instead")
-        values.sort()
-    return levels
+    return {c: sorted(values) for c, values in levels.items()}
 
 
-def one_hot(df: DataFrame, columns: list[str] | None = None, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Boolean column per value of every text column; a missing value is false everywhere."""
+def one_hot(df: DataFrame, columns: list[str] | None = None, sparse: list[str] | None = None) -> DataFrame:
+    """Boolean column per value of every text column; a missing value is false everywhere.
+
+    The ``sparse`` ones among them stay one column instead, whatever the number of values: a
+    struct of ``size``, the number of distinct values, and ``index``, the place of the row's
+    value among the sorted values, or NULL if it is missing. No value list reaches the driver.
+    """
     columns = kinds.text(df) if columns is None else columns
-    levels = fit_levels(df, columns, max_levels)
+    sparse = [c for c in columns if c in (sparse or [])]
+    levels = fit_levels(df, [c for c in columns if c not in sparse])
     kept = [col(c) for c in df.columns if c not in levels]
-    return df.select(*kept, *[col(c).eqNullSafe(F.lit(v)).alias(f"{c}_{v}")
-                              for c in columns for v in levels[c]])
+    out = df.select(*kept, *[col(c).eqNullSafe(F.lit(v)).alias(f"{c}_{v}") for c in levels for v in levels[c]])
+    for c in sparse:
+        values = df.where(col(c).isNotNull()).select(col(c).alias("_v")).distinct()
+        codes = cut_lineage(_numbered(values.withColumn("_o", F.col("_v")), "_o", "_v"))
+        place = F.struct(F.lit(codes.count()).cast("long").alias("size"), F.col("_code").alias("index"))
+        out = attach(out, codes.withColumnRenamed("_v", c), [c]).withColumn(c, place).select(*map(col, out.columns))
+    return out
 
 
 def _numbered(values: DataFrame, order: str, key: str) -> DataFrame:

@@ -17,7 +17,8 @@ def date_parts(df: DataFrame) -> DataFrame:
 
 
 def log_features(df: DataFrame) -> DataFrame:
-    """ln(1 + x) for columns that are positive on every row."""
+    """ln(1 + x) for columns that are positive on every row; a missing value is not."""
+    df = kinds.nan_to_null(df)
     names = kinds.numeric(df)
     if not names:
         return df
@@ -28,6 +29,7 @@ def log_features(df: DataFrame) -> DataFrame:
 
 def zscore_features(df: DataFrame) -> DataFrame:
     """(x - mean) / sample deviation for columns that vary."""
+    df = kinds.nan_to_null(df)
     names = kinds.numeric(df)
     if not names:
         return df
@@ -45,6 +47,7 @@ def group_means(df: DataFrame, key: str | None = None) -> DataFrame:
     The means are aggregated map-side and joined back, so a value holding a large share
     of the rows is never gathered in one window partition. A missing key gets no mean.
     """
+    df = kinds.nan_to_null(df)
     key = key or next(iter(kinds.text(df)), None)
     names = kinds.numeric(df)
     if key is None or not names:
@@ -56,5 +59,5 @@ def group_means(df: DataFrame, key: str | None = None) -> DataFrame:
 
 def basic_features(df: DataFrame) -> DataFrame:
     """Date parts, logs, z-scores and group means; each step sees the columns before it."""
-    return kinds.nan_to_null(df).transform(date_parts).transform(log_features) \
+    return df.transform(date_parts).transform(log_features) \
         .transform(zscore_features).transform(group_means)

@@ -1,10 +1,11 @@
 """Similarity joins on text and the greedy operators built on them.
 
 Two texts match when 200 * LCS / (|a| + |b|) reaches the threshold. Candidates come from
-an equi-join that loses no match: a match allows at most D insertions and deletions, so
-when the shorter text is cut into at least D + 1 pieces, D + 1 of them chosen freely must
-include one that occurs unchanged in the longer text, near the same position. The D + 1
-rarest pieces are joined with the substrings of the longer texts.
+an equi-join that loses no match. Above two thirds a match allows fewer changes than the
+shorter text has characters: cut into at least D + 1 pieces, one piece occurs unchanged in
+the longer text, near the same position. Down to any lower threshold a match still shares
+characters: with the characters of a text in a common order, rarest first, the first few of
+the two texts must overlap. Only hashes travel; texts are fetched once per candidate pair.
 
 The greedy scan "keep a value unless it resembles one kept before" equals the
 lexicographically first maximal independent set. Values are taken in growing prefixes of
@@ -14,35 +15,34 @@ compared with itself, so even a huge group of near copies is met leader by leade
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepwright import kinds
-from prepwright.functions.indel import indel_ratio, substrings
+from prepwright.functions.indel import indel_ratio
 from prepwright.functions.text import normal_form, sorted_tokens, strip
-from prepwright.kinds import col, text_lit
+from prepwright.kinds import col
 from prepwright.operators.columns import map_by_table
 from prepwright.operators.encode import _numbered
-from prepwright.session import cut_lineage
+from prepwright.session import attach, cut_lineage
 
-# Below two thirds a match may share no piece at all, so no equi-join can be complete.
-LOWEST_THRESHOLD = 200 / 3
+# At or below two thirds a match may share no piece longer than a character.
+PIECES_ABOVE = 200 / 3
 FIRST_PREFIX = 5_000
 PREFIX_GROWTH = 4
-INLINE_TEXT = 400
-HOT_PIECES = 500
-HOT_MIN_NODES = 1_000
-HOT_COUNT = 100
-SALTS = 16
+# Comparisons of one key that a task makes, about; a key with more is dealt to several tasks.
+COMPARISONS_PER_TASK = 2_000_000
 
 # One bit per character class: whether it occurs an odd number of times. An insertion or a
 # deletion flips exactly one bit, so differing bits never exceed the changes of a match.
 PARITY = "aggregate(split(txt, ''), 0L, (m, ch) -> m ^ shiftleft(1L, pmod(ascii(ch), 64)))"
 
 
-def _check(threshold: float) -> float:
-    if not LOWEST_THRESHOLD < threshold <= 100:
-        raise ValueError("threshold must lie above 66.7 and at most at 100")
+def _share(threshold: float) -> float:
+    if not 0 < threshold <= 100:
+        raise ValueError("a similarity threshold lies above 0 and at most at 100")
     return threshold / 100
 
 
@@ -51,47 +51,71 @@ def _changes(n: Column, share: float) -> Column:
     return F.floor(n * F.lit((2 - 2 * share) / share) + F.lit(1e-9)).cast("int")
 
 
+def _shortest(n: Column, share: float) -> Column:
+    """Least length of a match of a text of length n; as many characters are shared at least."""
+    return F.ceil(n * F.lit(share / (2 - share)) - F.lit(1e-9)).cast("int")
+
+
 def _piece_width(n: Column, share: float) -> Column:
     return F.greatest(F.floor(n / (_changes(n, share) + 1)), F.lit(1)).cast("int")
 
 
-def _is_hot(piece: str, hot: list[str]) -> str:
-    return f"{piece} in ({', '.join(map(text_lit, hot))})" if hot else "false"
+KEYED = ["node", "grp", "n", "m", "at", "key"]
 
 
-def _pieces(nodes: DataFrame, share: float, hot: list[str]) -> DataFrame:
-    """D + 1 disjoint pieces of every text with their positions, hot ones last (index side)."""
+def _pieces(nodes: DataFrame, share: float) -> DataFrame:
+    """Keys of D + 1 disjoint pieces of every text with their positions, the rarest ones (index side)."""
     n = F.col("n")
     shaped = nodes.withColumns({"w": _piece_width(n, share), "need": _changes(n, share) + 1})
-    piece = "substr(txt, i * w + 1, w)"
-    cut = f"""transform(sequence(0, greatest(cast(floor(n / w) as int) - 1, 0)), i -> struct(
-        {_is_hot(piece, hot)} as hot, i * w as at, {piece} as piece))"""
-    chosen = F.slice(F.array_sort(F.expr(cut)), 1, F.col("need"))
-    return shaped.withColumn("_s", F.explode(chosen)).select(
-        *nodes.columns, (F.col("need") - 1).alias("most"), F.col("_s.at").alias("at"), F.col("_s.piece").alias("piece"))
+    cut = "transform(sequence(0, greatest(cast(floor(n / w) as int) - 1, 0)), i -> struct(i * w as at, xxhash64(grp, substr(txt, i * w + 1, w)) as key))"
+    cells = shaped.withColumn("_s", F.explode(F.expr(cut))).select("node", "grp", "n", "m", "need", "_s.at", "_s.key")
+    often = cells.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = attach(cells, often, ["key"]).groupBy("node", "grp", "n", "m", "need").agg(
+        F.array_sort(F.collect_list(F.struct("often", "at", "key"))).alias("_s"))
+    return ranked.withColumn("_s", F.explode(F.slice("_s", 1, F.col("need")))).select("node", "grp", "n", "m", "_s.at", "_s.key")
 
 
-def _occurrences(nodes: DataFrame, share: float, long_texts: bool) -> DataFrame:
-    """All substrings of every text that a piece of a shorter match could equal (probe side)."""
+def _occurrences(nodes: DataFrame, share: float) -> DataFrame:
+    """Keys of all substrings of every text that a piece of a shorter match could equal (probe side)."""
     n = F.col("n")
-    shortest = F.ceil(n * F.lit(share / (2 - share)) - F.lit(1e-9)).cast("int")
-    widths = F.array_distinct(F.transform(
-        F.sequence(F.least(F.greatest(shortest, F.lit(1)), F.greatest(n, F.lit(1))), F.greatest(n, F.lit(1))),
-        lambda m: _piece_width(m, share)))
+    least = F.greatest(F.least(_shortest(n, share), n), F.lit(1))
+    widths = F.array_distinct(F.transform(F.sequence(least, F.greatest(n, F.lit(1))), lambda m: _piece_width(m, share)))
     wide = nodes.withColumn("w", F.explode(widths))
-    if long_texts:
-        grams = substrings(F.col("txt"), F.col("w"))
-    else:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - F.col("w") + 1, F.lit(1))),
-                            lambda p: F.substr("txt", p, F.col("w")))
-    return wide.select(*nodes.columns, F.posexplode(grams).alias("at", "piece"))
+    keys = "transform(sequence(1, greatest(n - w + 1, 1)), p -> xxhash64(grp, substr(txt, p, w)))"
+    return wide.select("node", "grp", "n", "m", F.posexplode(F.expr(keys)).alias("at", "key"))
 
 
-def _hot_pieces(nodes: DataFrame, share: float) -> list[str]:
-    """The few most frequent pieces. They are joined last, and spread over several tasks."""
-    top = _pieces(nodes, share, []).groupBy("piece").agg(F.count("*").alias("c")).where(
-        F.col("c") > HOT_COUNT).orderBy(F.desc("c"), "piece").limit(HOT_PIECES).collect()
-    return [r["piece"] for r in top]
+def _characters(nodes: DataFrame, share: float) -> DataFrame:
+    """Keys of the first characters of every text, rarest first, as many as a match cannot avoid all of.
+
+    The second, third, ... of a character are characters of their own. A match of length n shares
+    L characters at least, so of n - L + 1 it shares one.
+    """
+    chars = nodes.select("node", "grp", "n", "m", F.explode(F.split("txt", "")).alias("c")).where("c <> ''")
+    times = chars.groupBy("node", "grp", "n", "m", "c").agg(F.count("*").alias("times"))
+    cells = times.select("node", "grp", "n", "m", "c", F.explode(F.expr("sequence(1, times)")).alias("k")).withColumn(
+        "key", F.xxhash64("grp", "c", "k"))
+    often = cells.groupBy("key").agg(F.count("*").alias("often"))
+    first = attach(cells, often, ["key"]).groupBy("node", "grp", "n", "m").agg(
+        F.array_sort(F.collect_list(F.struct("often", "key"))).alias("_s"))
+    need = F.col("n") - F.greatest(_shortest(F.col("n"), share), F.lit(1)) + 1
+    full = first.select("node", "grp", "n", "m", F.lit(0).alias("at"), F.explode(F.slice("_s", 1, need)).alias("_s"))
+    # Empty texts match each other.
+    empty = nodes.where("n = 0").select("node", "grp", "n", "m", F.lit(0).alias("at"), F.xxhash64("grp", F.lit("")).alias("key"))
+    return full.select("node", "grp", "n", "m", "at", "_s.key").unionByName(empty)
+
+
+def _dealt(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add ``salt``: a key with many comparisons meets in as many tasks as they need.
+
+    The rows of the second side are dealt to the tasks, those of the first go to each of them.
+    """
+    work = a.groupBy("key").agg(F.count("*").alias("x")).join(b.groupBy("key").agg(F.count("*").alias("y")), "key")
+    tasks = work.select("key", F.ceil(F.col("x") * F.col("y") / COMPARISONS_PER_TASK).cast("int").alias("tasks")).where("tasks > 1")
+    tasks = cut_lineage(tasks)
+    a = attach(a, tasks, ["key"]).withColumn("salt", F.explode(F.expr("sequence(0, coalesce(tasks, 1) - 1)")))
+    b = attach(b, tasks, ["key"]).withColumn("salt", F.expr("cast(pmod(xxhash64(node, at), coalesce(tasks, 1)) as int)"))
+    return a.drop("tasks"), b.drop("tasks")
 
 
 def similar_pairs(left: DataFrame, threshold: float, strict: bool = False,
@@ -101,63 +125,41 @@ def similar_pairs(left: DataFrame, threshold: float, strict: bool = False,
     Nodes are (node, grp, txt). With ``right`` only left-right pairs are compared, and
     every left node must precede every right node.
     """
-    share = _check(threshold)
+    share = _share(threshold)
+    by_pieces = threshold > PIECES_ABOVE
 
     def sized(nodes: DataFrame) -> DataFrame:
-        return nodes.select("node", "grp", "txt", F.length("txt").alias("n"), F.expr(PARITY).alias("m"))
-
-    left = sized(left)
-    both = left if right is None else left.unionByName(sized(right))
-    stats = both.agg(F.count("*").alias("c"), F.coalesce(F.max("n"), F.lit(0)).alias("longest")).first()
-    long_texts = stats["longest"] > INLINE_TEXT
-    hot = _hot_pieces(both, share) if stats["c"] > HOT_MIN_NODES else []
+        return cut_lineage(nodes.select("node", "grp", "txt", F.length("txt").alias("n"), F.expr(PARITY).alias("m")))
 
     def joined(index: DataFrame, probe: DataFrame, distinct_sets: bool) -> DataFrame:
-        a, b = _pieces(index, share, hot), _occurrences(probe, share, long_texts)
-        if hot:
-            # A hot piece meets its texts in SALTS tasks. The work is far larger than the
-            # bytes, so the number of tasks is stated rather than left to coalescing.
-            tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            a = a.withColumn("salt", F.explode(F.expr(
-                f"if({_is_hot('piece', hot)}, sequence(0, {SALTS - 1}), array(0))")))
-            b = b.withColumn("salt", F.expr(f"if({_is_hot('piece', hot)}, cast(pmod(node, {SALTS}) as int), 0)"))
-            a, b = (side.repartition(tasks, "grp", "piece", "salt") for side in (a, b))
-        else:
-            a, b = a.withColumn("salt", F.lit(0)), b.withColumn("salt", F.lit(0))
-        a, b = a.alias("a"), b.alias("b")
+        """Pairs of which the index side is the shorter text, or as long."""
+        a = _pieces(index, share) if by_pieces else _characters(index, share)
+        b = _occurrences(probe, share) if by_pieces else _characters(probe, share)
+        a, b = (side.alias(name) for name, side in zip("ab", _dealt(*map(cut_lineage, (a, b)))))
         na, nb = F.col("a.n"), F.col("b.n")
         total = F.floor(F.lit(1 - share) * (na + nb) + F.lit(1e-9))
-        shift = F.col("b.at") - F.col("a.at")
-        longer = nb > na if not distinct_sets else nb >= na
-        if not distinct_sets:
-            longer = longer | ((nb == na) & (F.col("a.node") < F.col("b.node")))
+        longer = nb >= na if distinct_sets else (nb > na) | ((nb == na) & (F.col("a.node") < F.col("b.node")))
         flips = F.bit_count(F.col("a.m").bitwiseXOR(F.col("b.m")))
-        fits = ((flips <= F.col("a.most")) & longer & (nb - na <= total)
-                & (2 * shift <= total + nb - na) & (-2 * shift <= total - nb + na) & (flips <= total))
-        pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.piece") == F.col("b.piece"))
-                       & (F.col("a.salt") == F.col("b.salt")) & fits)
-        if not long_texts:
-            near = F.expr(f"levenshtein(a.txt, b.txt, cast(floor({1 - share!r}D * (a.n + b.n) + 1e-9D) as int)) >= 0")
-            pairs = pairs.where(near)
-        swap = F.col("a.node") > F.col("b.node")
-        ends = [F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")]
-        if not long_texts:
-            ends += [F.when(swap, F.col("b.txt")).otherwise(F.col("a.txt")).alias("_a"),
-                     F.when(swap, F.col("a.txt")).otherwise(F.col("b.txt")).alias("_b")]
-        return pairs.select(*ends).distinct()
+        fits = longer & (nb - na <= total) & (flips <= total)
+        if by_pieces:
+            shift = F.col("b.at") - F.col("a.at")
+            fits = fits & (2 * shift <= total + nb - na) & (-2 * shift <= total - nb + na)
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.grp") == F.col("b.grp")) & fits)
+        return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
+    left = sized(left)
     if right is None:
-        candidates = joined(left, left, False)
+        both, candidates = left, joined(left, left, False)
     else:
         right = sized(right)
-        shorter_right = joined(right, left, True)
-        candidates = joined(left, right, True).unionByName(shorter_right).distinct()
-    if long_texts:
-        # Long texts do not travel with every candidate; they are fetched once per pair.
-        texts = both.select("node", "txt")
-        candidates = candidates.join(texts.select(F.col("node").alias("u"), F.col("txt").alias("_a")), "u").join(
-            texts.select(F.col("node").alias("v"), F.col("txt").alias("_b")), "v")
-    scored = candidates.select("u", "v", indel_ratio(F.col("_a"), F.col("_b")).alias("score"))
+        both = left.unionByName(right)
+        candidates = joined(left, right, True).unionByName(joined(right, left, True)).distinct()
+    texts = both.select("node", "txt")
+    full = candidates.join(texts.select(F.col("node").alias("u"), F.col("txt").alias("_a")), "u").join(
+        texts.select(F.col("node").alias("v"), F.col("txt").alias("_b")), "v")
+    # The banded distance on the JVM side leaves few pairs to the exact ratio.
+    near = full.where(F.expr(f"levenshtein(_a, _b, cast(floor({1 - share!r}D * (length(_a) + length(_b)) + 1e-9D) as int)) >= 0"))
+    scored = near.select("u", "v", indel_ratio(F.col("_a"), F.col("_b")).alias("score"))
     return scored.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
 
 
@@ -175,6 +177,7 @@ def _first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round settles every node all of whose earlier neighbours are settled: a ``u``
     that is nobody's ``v`` leads, and what it touches follows. Only followers are stored.
+    A round settles the least open node at least, and as a rule far more.
     """
     followers = []
     while not edges.isEmpty():
@@ -184,8 +187,8 @@ def _first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges = cut_lineage(edges.join(fresh, "v", "left_anti").join(
             fresh.withColumnRenamed("v", "u"), "u", "left_anti").select("u", "v"))
     leaders = nodes.select("node")
-    for gone in followers:
-        leaders = leaders.join(gone.withColumnRenamed("v", "node"), "node", "left_anti")
+    if followers:
+        leaders = leaders.join(reduce(DataFrame.unionByName, followers).withColumnRenamed("v", "node"), "node", "left_anti")
     return leaders
 
 
@@ -331,11 +334,14 @@ def drop_fuzzy_rows(df: DataFrame, order_by: list[str], threshold: float = 95,
     """
     kinds.require(df, *order_by, *(columns or []))
     names = order_by + [c for c in df.columns if c not in order_by]
-    keyed = df.select(F.concat_ws("||", *[_cell_text(df, c) for c in columns or df.columns]).alias("value"),
-                      F.struct(*[col(c) for c in names]).alias("_row"))
-    first = cut_lineage(keyed.groupBy("value").agg(F.min("_row").alias("_row")))
-    nodes = number_nodes(first.select(F.lit("").alias("grp"), "value", F.col("value").alias("txt"),
-                                      F.col("_row").alias("first")))
+    value = F.concat_ws("||", *[_cell_text(df, c) for c in columns or df.columns])
+    row = F.struct(*[col(c) for c in names])
+    # Rows are known by the hash of all their cells until the kept ones are fetched.
+    cells = [_cell_text(df, c) for c in df.columns]
+    keyed = df.select(value.alias("value"), F.struct(*[col(c) for c in order_by], F.xxhash64(*cells).alias("_h")).alias("first"))
+    first = keyed.groupBy("value").agg(F.min("first").alias("first"))
+    nodes = number_nodes(first.select(F.lit("").alias("grp"), "value", F.col("value").alias("txt"), "first"))
     led = greedy_leaders(nodes, threshold, strict=True)
     kept = nodes.join(led.where("node = leader"), "node", "left_semi").select("value")
-    return first.join(kept, "value", "left_semi").select(*[F.col("_row")[c].alias(c) for c in df.columns])
+    rows = df.select(value.alias("value"), row.alias("_row")).join(kept, "value", "left_semi")
+    return rows.groupBy("value").agg(F.min("_row").alias("_row")).select(*[F.col("_row")[c].alias(c) for c in df.columns])

@@ -55,7 +55,7 @@ def impute(df: DataFrame, how: str, columns: list[str] | None = None, text: str
     if how == "drop":
         return df.na.drop("any", subset=columns)
     if how not in ("mean", "median", "mode"):
-        raise ValueError(f"Unknown fill method: {how}")
+        raise ValueError(f"gaps are not filled by {how!r}")
     chosen = [c for c in (kinds.comparable(df) if columns is None else columns) if c in df.columns]
     if how != "mode" and text == "skip":
         chosen = [c for c in chosen if c in set(kinds.numeric(df))]

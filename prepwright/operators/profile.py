@@ -116,8 +116,16 @@ def fit_missing(df: DataFrame) -> dict[str, int]:
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of equal rows; equal rows combine map-side."""
-    groups = df.groupBy(*[col(c) for c in kinds.comparable(df)]).agg(F.count("*").alias("_n"))
+    """Rows beyond the first of each set of equal rows; equal rows combine map-side.
+
+    Rows travel as 128 bits of hash: at a million million rows two different ones meet with
+    a chance of about one in 10**15.
+    """
+    cells = [col(c) for c in kinds.comparable(df)]
+    # NULL is skipped by the hash, so where a row has NULLs is part of it.
+    gaps = F.concat(F.lit(""), *[F.when(c.isNull(), "0").otherwise("1") for c in cells])
+    groups = kinds.nan_to_null(df).groupBy(F.xxhash64(gaps, *cells).alias("_a"), F.xxhash64(F.lit(1), gaps, *cells).alias("_b")).agg(
+        F.count("*").alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows")).select(
@@ -136,12 +144,19 @@ def value_counts(df: DataFrame, columns: list[str], value: str = "string") -> Da
     return cells.where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+def _by_type(df: DataFrame, columns: list[str]) -> list[tuple[str, list[str]]]:
+    """Columns with the type their values are counted in: whole numbers, fractions, and the text of all else."""
+    whole, nums = set(kinds.integral(df)), set(kinds.numeric(df))
+    exact = {f.name for f in df.schema if isinstance(f.dataType, T.DecimalType)}
+    groups = {"bigint": [c for c in columns if c in whole], "double": [c for c in columns if c in nums - whole - exact],
+              "string": [c for c in columns if c not in nums or c in exact]}
+    return [(kind, names) for kind, names in groups.items() if names]
+
+
 def _all_value_counts(df: DataFrame) -> DataFrame:
     """Value counts for every column, in text form; numbers are grouped by value first."""
-    nums, rest = kinds.numeric(df), [c for c in kinds.comparable(df) if c not in set(kinds.numeric(df))]
-    frames = [value_counts(df, nums, "double").withColumn("value", F.col("value").cast("string"))] if nums else []
-    frames += [value_counts(df, rest)] if rest else []
-    return _union(frames)
+    return _union([value_counts(df, names, kind).withColumn("value", F.col("value").cast("string"))
+                   for kind, names in _by_type(df, kinds.comparable(df))])
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
@@ -170,12 +185,9 @@ def text_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def fit_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     """Most frequent value per column, smallest on ties; columns without values are absent."""
-    nums = set(kinds.numeric(df))
     modes: dict[str, object] = {}
-    for value, names in (("double", [c for c in columns if c in nums]),
-                         ("string", [c for c in columns if c not in nums])):
-        if names:
-            modes.update({r["column"]: r["top"] for r in _best(value_counts(df, names, value)).collect()})
+    for value, names in _by_type(df, columns):
+        modes.update({r["column"]: r["top"] for r in _best(value_counts(df, names, value)).collect()})
     return modes
 
 
@@ -432,31 +444,35 @@ def histogram(df: DataFrame, bins: int = 20, columns: list[str] | None = None) -
 
 
 def profile(df: DataFrame, top_k: int = 5, high_cardinality: int = 50) -> DataFrame:
-    """One row per column: counts, moments, quartiles, frequent values and alerts."""
+    """One row per column: counts, moments, quartiles, frequent values and alerts.
+
+    Datetime columns are measured in epoch seconds and have no deviation or skew.
+    """
     df = kinds.nan_to_null(df)
     columns = kinds.comparable(df)
-    nums = set(kinds.numeric(df))
-    quartiles = fit_quartiles(df, [c for c in columns if c in nums])
+    nums, dates = set(kinds.numeric(df)), set(kinds.datetime(df))
+    value = {c: seconds_text(df, c) if c in dates else num(c) for c in columns if c in nums | dates}
+    quartiles = fit_quartiles(df, list(value))
 
-    def number(template: str):
-        return lambda c: template.format(num(c)) if c in nums else "cast(null as double)"
+    def number(template: str, of: set = frozenset(value)):
+        return lambda c: template.format(value[c]) if c in of else "cast(null as double)"
 
     def count(template: str):
         return lambda c: f"count_if({template.format(num(c))})" if c in nums else "cast(null as bigint)"
 
     base = per_column(df, columns, {
-        "kind": lambda c: "'numeric'" if c in nums else "'categorical'",
+        "kind": lambda c: "'numeric'" if c in nums else "'datetime'" if c in dates else "'categorical'",
         "n": lambda c: "count(*)",
         "missing": lambda c: f"count(*) - count({q(c)})",
         "zeros": count("{} = 0"),
         "negatives": count("{} < 0"),
         "infinite": count("abs({}) = double('infinity')"),
         "mean": number("avg({})"),
-        "std": number("stddev_samp({})"),
+        "std": number("stddev_samp({})", nums),
         "min": number("min({})"),
-        "q25": lambda c: lit(quartiles[c][0] if c in nums else None),
-        "q50": lambda c: lit(quartiles[c][1] if c in nums else None),
-        "q75": lambda c: lit(quartiles[c][2] if c in nums else None),
+        "q25": lambda c: lit(quartiles[c][0] if c in value else None),
+        "q50": lambda c: lit(quartiles[c][1] if c in value else None),
+        "q75": lambda c: lit(quartiles[c][2] if c in value else None),
         "max": number("max({})"),
         "skew": lambda c: adjusted_skew(num(c)) if c in nums else "cast(null as double)"}, "")
     counts = _all_value_counts(df)

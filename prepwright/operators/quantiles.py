@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.kinds import lit
+from prepwright.kinds import lit, q
+from prepwright.session import attach, cut_lineage
 
 DIRECT_VALUES = 50_000
 BINS = 1_000
@@ -124,8 +125,8 @@ def _narrow(df: DataFrame, values: dict[str, Column], ranges: dict[Range, list[f
             first = next(b for b in bins if k0 < b.below + b.inside)
             last = next(b for b in bins if k1 < b.below + b.inside)
             if first is not last:
-                # The two ranks end one bin and begin the next.
-                found[(r.name, p)] = first.hi + (last.lo - first.hi) * (position - k0)
+                # The two ranks end one bin and begin the next; weighted as ``percentile`` does.
+                found[(r.name, p)] = (k1 - position) * first.hi + (position - k0) * last.lo
             elif first.lo == first.hi:
                 found[(r.name, p)] = first.lo
             else:
@@ -136,3 +137,35 @@ def _narrow(df: DataFrame, values: dict[str, Column], ranges: dict[Range, list[f
 def fit_median(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:
     return {name: found[0] for name, found in
             fit_quantiles(df, {name: (v, [0.5]) for name, v in columns.items()}).items()}
+
+
+def group_quantiles(df: DataFrame, key: str, value: str, ps: list[float]) -> DataFrame:
+    """(key, q array) of every group, however many there are and however large one is.
+
+    As above, ranks are located by counting in bins, here by group and rank, and the state
+    is a table with one row per group. The loop ends when every rank is one value.
+    """
+    rows = df.select(F.col(key).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranks = ", ".join(f"floor({lit(p)} * (n - 1)), ceil({lit(p)} * (n - 1))" for p in ps)
+    state = cut_lineage(sizes.selectExpr("g", "n", "lo", "hi", f"explode(array_distinct(array({ranks}))) as k").selectExpr(
+        "g", "n", "k", "lo", "hi", "0L as below"))
+    while True:
+        live = state.where("lo < hi")
+        if live.isEmpty():
+            break
+        wanted = live.groupBy("g").agg(F.collect_list(F.struct("k", "lo", "hi", "below")).alias("w"))
+        near = attach(rows, wanted, ["g"]).selectExpr("g", "v", "inline(filter(w, x -> v between x.lo and x.hi))")
+        bins = near.groupBy("g", "k", "below", F.expr(f"floor((v * 0.5D - lo * 0.5D) / (hi * 0.5D - lo * 0.5D) * {BINS})").alias("bin")).agg(
+            F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        # At most BINS + 1 rows per group and rank.
+        until = bins.selectExpr("*", "below + sum(c) over (partition by g, k order by bin) as until")
+        found = until.where("k < until and k >= until - c").selectExpr("g", "k", "lo", "hi", "until - c as below")
+        kept = state.where("lo = hi")
+        state = cut_lineage(kept.unionByName(live.select("g", "n", "k").join(found, ["g", "k"]).select(*kept.columns)))
+    at = state.groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("k", "lo"))).alias("m"))
+    # NaN-free weights as in ``percentile``; equal ranks need none.
+    def one(p: float) -> str:
+        x = f"({lit(p)} * (n - 1))"
+        return f"if(floor({x}) = ceil({x}), m[floor({x})], (ceil({x}) - {x}) * m[floor({x})] + ({x} - floor({x})) * m[ceil({x})])"
+    return at.selectExpr(f"g as {q(key)}", f"array({', '.join(one(p) for p in ps)}) as q")

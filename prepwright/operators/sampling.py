@@ -17,7 +17,6 @@ from prepwright import kinds
 from prepwright.kinds import col
 from prepwright.session import attach
 
-TOP_K_LIMIT = 100_000
 ROWS_PER_PREFIX = 1_000
 
 
@@ -61,8 +60,6 @@ def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     kinds.require(df, key)
     if n <= 0:
         return df
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(hash_of(key, seed), col(key)).limit(n)
     one = F.lit(0)
     last = fit_thresholds(df, one, key, seed, F.least(F.lit(n), F.col("_n")))
     return _within(df, one, key, seed, last, "_picked").where("_picked").drop("_picked")

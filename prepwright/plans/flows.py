@@ -51,32 +51,37 @@ def correct_text(df: DataFrame, names: list[str] | None = None, threshold: float
     return df
 
 
-def auto_prepare(df: DataFrame, order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cleaned, corrected, engineered) with the default choices of every stage."""
+def auto_prepare(df: DataFrame, order_by: list[str] | None = None,
+                 sparse: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cleaned, corrected, engineered) with the default choices of every stage.
+
+    Text columns with more values than a table should have columns are named in ``sparse``.
+    """
     nums = set(kinds.numeric(df))
     cleaned = cut_lineage(clean(df, {c: "Median" if c in nums else "Mode" for c in kinds.comparable(df)}))
     corrected = cut_lineage(correct_text(cleaned, order_by=order_by))
-    return cleaned, corrected, encode.standard_scale(encode.one_hot(corrected))
+    return cleaned, corrected, encode.standard_scale(encode.one_hot(corrected, sparse=sparse))
 
 
-def engineer(df: DataFrame) -> tuple[DataFrame, list[str], DataFrame, DataFrame]:
+def engineer(df: DataFrame, sparse: list[str] | None = None) -> tuple[DataFrame, list[str], DataFrame, DataFrame]:
     """Encode, drop low variance, scale: (table, dropped, correlated pairs, advice).
 
     Correlation does not depend on scale, so pairs are taken before scaling.
     """
-    encoded = encode.one_hot(kinds.nan_to_null(df))
+    encoded = encode.one_hot(kinds.nan_to_null(df), sparse=sparse)
     kept, dropped = encode.drop_low_variance(encoded)
     pairs = profile.correlated_pairs(kept, 0.9)
     return encode.standard_scale(kept), dropped, pairs, rules.advise_features(kept, dropped, pairs)
 
 
 def choose_features(df: DataFrame, encoding: bool = True, drop_correlated: bool = False, scaling: str = "standard",
-                    label_columns: list[str] | None = None, order_by: str | None = None) -> DataFrame:
+                    label_columns: list[str] | None = None, order_by: str | None = None,
+                    sparse: list[str] | None = None) -> DataFrame:
     """Feature choices of the interactive flow, applied in order."""
     if scaling not in ("none", "standard", "minmax"):
         raise ValueError(f"Unknown scaling: {scaling}")
     if encoding:
-        df = encode.one_hot(df)
+        df = encode.one_hot(df, sparse=sparse)
     for c in label_columns or []:
         df = encode.label_codes(df, c, order_by).drop(c).withColumnRenamed(f"{c}_code", c)
     if drop_correlated:
@@ -100,7 +105,7 @@ def run_actions(df: DataFrame, actions: list[dict]) -> DataFrame:
 
 
 def diagnosis(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
-    """Diagnosis row, issues, complexity and health, all from one pass of aggregates."""
+    """Diagnosis row, issues, complexity and health; the last three are computed from the stored row."""
     row = cut_lineage(quality.diagnose(df, target))
     return {"diagnosis": row, "issues": rules.issues(row), "complexity": quality.complexity(row),
             "health": quality.health(row)}
@@ -128,7 +133,7 @@ def report(df: DataFrame, target: str | None = None, scores: DataFrame | None =
         data_health struct<score: double, label: string, missing_values: double, duplicates: double,
                            outliers: double, inconsistent_categories: double>,
         issues array<struct<rank: int, issue: string, severity: string, value: double, confidence: double,
-                            reasoning: string, recommendation: string>>,
+                            recommendation: string>>,
         model_performance array<struct<rank: int, model: string, metric: string, train_score: double,
                                        test_score: double>>""")
 

@@ -31,12 +31,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise reliably, so the result survives the loss of any executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Store as Parquet in the shared folder and read back.
+
+    The rows survive the loss of any executor and later readers get columns, statistics
+    and pruning.
+    """
+    path, schema = scratch_path(df.sparkSession, "step"), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def is_broadcastable(df: DataFrame) -> bool:

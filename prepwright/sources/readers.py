@@ -61,15 +61,14 @@ def load(spark: SparkSession, path: str, limit: int = 0, sample_n: int = 0, orde
 
 def validate_files(spark: SparkSession, path: str, max_mb: float = MAX_FILE_MB,
                    extensions: list[str] | None = None) -> DataFrame:
-    """(path, is_valid, message): extension present, allowed, and size within the limit."""
+    """(path, is_valid, reason): no_extension, extension (not an allowed one), too_large, or none."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     allowed = extensions or EXTENSIONS
-    message = F.when(~F.contains(name, F.lit(".")), "File must have an extension.").when(
-        ~extension.isin(allowed), f"Only {', '.join(e.upper() for e in allowed)} files are supported.").when(
-        F.col("length") > F.lit(max_mb) * 1024 * 1024, f"File exceeds {max_mb}MB size limit.").otherwise("")
-    return files.select("path", (message == "").alias("is_valid"), message.alias("message"))
+    reason = F.when(~F.contains(name, F.lit(".")), "no_extension").when(~extension.isin(allowed), "extension").when(
+        F.col("length") > F.lit(max_mb) * 1024 * 1024, "too_large").otherwise("")
+    return files.select("path", (reason == "").alias("is_valid"), reason.alias("reason"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -135,10 +135,9 @@ def test_quantiles_are_exact(spark, limit):
         assert np.allclose(got[c], want, rtol=1e-12), c
 
 
-def test_sample_and_split_sizes(spark, monkeypatch):
+def test_sample_and_split_sizes(spark):
     df = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 11 as string)) as y")
     small = {r["id"] for r in sampling.sample(df, 700, "id").collect()}
-    monkeypatch.setattr(sampling, "TOP_K_LIMIT", 10)
     assert len(small) == 700 and small == {r["id"] for r in sampling.sample(df.repartition(7), 700, "id").collect()}
     assert sampling.sample(df, 9999, "id").count() == 5000 and sampling.sample(df, 0, "id").count() == 5000
     split = sampling.stratified_split(df, "y", "id")

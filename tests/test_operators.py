@@ -173,8 +173,9 @@ def test_one_hot_missing_is_false_everywhere(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,)], "t string")
     out = encode.one_hot(df)
     assert out.columns == ["t_a", "t_b"] and (False, False) in rows(out)
-    with pytest.raises(ValueError):
-        encode.one_hot(df, max_levels=1)
+    sparse = encode.one_hot(df, sparse=["t"])
+    assert sorted(map(str, (r["t"].asDict() for r in sparse.collect()))) == [
+        "{'size': 2, 'index': 0}", "{'size': 2, 'index': 1}", "{'size': 2, 'index': None}"]
 
 
 def test_scaling_of_constants(spark):
@@ -266,10 +267,10 @@ def test_csv_types(spark, tmp_path):
 def test_upload_checks(spark, tmp_path):
     for name in ("a.csv", "b.txt", "plain"):
         (tmp_path / name).write_text("x\n1\n")
-    got = {r["path"].rsplit("/", 1)[1]: (r["is_valid"], r["message"]) for r in
+    got = {r["path"].rsplit("/", 1)[1]: (r["is_valid"], r["reason"]) for r in
            readers.validate_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.csv": (True, ""), "b.txt": (False, "Only CSV files are supported."),
-                   "plain": (False, "File must have an extension.")}
+    assert got == {"a.csv": (True, ""), "b.txt": (False, "extension"),
+                   "plain": (False, "no_extension")}
     assert not readers.validate_files(spark, str(tmp_path / "a.csv"), max_mb=0).first()["is_valid"]
 
 
