@@ -8,17 +8,14 @@ from prepwright.catalog.registry import plain, query, r, rounds, sig, significan
 from prepwright.models import bayes, evaluate, explain, training
 from prepwright.operators import rules, sampling
 
-# Smaller ensembles than the library's defaults keep the registered queries quick.
-SIZES = {"trees": 20, "depth": 6, "boosts": 10}
-
-
 def _classes(spark, sf):
-    """Label quality from the other columns of the labels and their documents' shape."""
-    return table(spark, sf, "labels")
+    """Label quality from the other columns of the labels and the shape of their documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return table(spark, sf, "labels").join(docs, "doc_id")
 
 
 def _parts(spark, sf):
-    return plain(table(spark, sf, "part"), "p_partkey", "p_size", "p_type", "p_retailprice")
+    return table(spark, sf, "part")
 
 
 # ---- splits -------------------------------------------------------------------------
@@ -42,8 +39,8 @@ def ml_split_flags(spark, sf):
 
 
 @query("ml_split_regression", """
-    select o_orderkey, o_totalprice, cast('0x' || substr(md5(concat('42|', cast(o_orderkey as varchar))), 1, 8) as bigint)
-      < cast(floor(0.2 * 4294967296) as bigint) as is_test from orders""")
+    select o_orderkey, o_totalprice, row_number() over (order by md5(concat('42|', cast(o_orderkey as varchar))), o_orderkey)
+      <= ceil(round(count(*) over () * 0.2, 9)) as is_test from orders""")
 def ml_split_regression(spark, sf):
     return sampling.random_split(plain(table(spark, sf, "orders"), "o_orderkey", "o_totalprice"), "o_orderkey")
 
@@ -53,23 +50,23 @@ def ml_split_regression(spark, sf):
 
 @query("ml_select")
 def ml_select(spark, sf):
-    return training.select_model(_classes(spark, sf), "quality", "doc_id", **SIZES)[0]
+    return training.select_model(_classes(spark, sf), "quality", "doc_id")[0]
 
 
 @query("ml_select_regression")
 def ml_select_regression(spark, sf):
-    return training.select_model(_parts(spark, sf), "p_retailprice", "p_partkey", **SIZES)[0]
+    return training.select_model(_parts(spark, sf), "p_retailprice", "p_partkey")[0]
 
 
 @query("ml_select_multiclass")
 def ml_select_multiclass(spark, sf):
     df = plain(table(spark, sf, "customer"), "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    return training.select_model(df, "c_mktsegment", "c_custkey", trees=10, depth=4, boosts=2)[0]
+    return training.select_model(df, "c_mktsegment", "c_custkey")[0]
 
 
 @query("ml_train_one")
 def ml_train_one(spark, sf):
-    return training.train_one(_parts(spark, sf), "p_retailprice", "p_partkey", "Random Forest", **SIZES)[0]
+    return training.train_one(_parts(spark, sf), "p_retailprice", "p_partkey", "Random Forest")[0]
 
 
 @query("ml_baseline")
@@ -78,15 +75,37 @@ def ml_baseline(spark, sf):
         training.baseline(_classes(spark, sf), "quality", "doc_id")[0])
 
 
+_LINE = """with s as (select *, row_number() over (order by md5(concat('42|', cast(p_partkey as varchar))), p_partkey)
+        <= ceil(round(count(*) over () * 0.2, 9)) as is_test from part),
+    f as (select regr_slope(p_retailprice, p_size) as a, regr_intercept(p_retailprice, p_size) as b, avg(p_size) as m
+          from s where not is_test)"""
+
+
+def _line(spark, sf):
+    """The price of a part from its size: a model with a closed form."""
+    return plain(table(spark, sf, "part"), "p_partkey", "p_size", "p_retailprice")
+
+
+def _fit(where: str) -> str:
+    return f"""(select 1 - sum((p_retailprice - a * p_size - b) * (p_retailprice - a * p_size - b))
+        / (var_pop(p_retailprice) * count(*)) from s, f where {where})"""
+
+
+@query("ml_baseline_line", f"""{_LINE} select 1 as rank, 'Linear Regression' as model, 'r2' as metric,
+    {r(_fit("not is_test"))} as train_score, {r(_fit("is_test"))} as test_score""")
+def ml_baseline_line(spark, sf):
+    return rounds(training.baseline(_line(spark, sf), "p_retailprice", "p_partkey")[0], 6, "train_score", "test_score")
+
+
 @query("rank_models")
 def rank_models(spark, sf):
-    scores = training.select_model(_parts(spark, sf), "p_retailprice", "p_partkey", **SIZES)[0]
+    scores = training.select_model(_parts(spark, sf), "p_retailprice", "p_partkey")[0]
     return scores.select("rank", "model", "test_score")
 
 
 @query("ch_model_compare")
 def ch_model_compare(spark, sf):
-    return training.select_model(_classes(spark, sf), "quality", "doc_id", **SIZES)[0].select("model", "metric", "test_score")
+    return training.select_model(_classes(spark, sf), "quality", "doc_id")[0].select("model", "metric", "test_score")
 
 
 @query("ev_predictions")
@@ -156,8 +175,22 @@ def top_importance(spark, sf):
     return significant(explain.top_importance(found, 2), "importance")
 
 
+@query("xai_linear", f"""{_LINE} select p_partkey as key, 0 as class, 'p_size' as feature, {r("a * (p_size - m)")} as contribution,
+    {r("b + a * m")} as base_value from s, f where is_test""")
+def xai_linear(spark, sf):
+    _, model, prepared = training.baseline(_line(spark, sf), "p_retailprice", "p_partkey")
+    found = explain.model_contributions(model, prepared.test, prepared.train, prepared.features)
+    return rounds(found, 6, "contribution", "base_value")
+
+
+@query("xai_linear_classes")
+def xai_linear_classes(spark, sf):
+    _, model, prepared = training.baseline(_classes(spark, sf), "quality", "doc_id")
+    return explain.model_importance(model, prepared)
+
+
 def _forest(spark, sf):
-    return training.train_one(_parts(spark, sf), "p_retailprice", "p_partkey", "Random Forest", trees=10, depth=5)
+    return training.train_one(_parts(spark, sf), "p_retailprice", "p_partkey", "Random Forest")
 
 
 @query("xai_global_trees")
@@ -183,7 +216,7 @@ def ch_importance(spark, sf):
 
 @query("insight_model")
 def insight_model(spark, sf):
-    scores, _, prepared = training.select_model(_parts(spark, sf), "p_retailprice", "p_partkey", **SIZES)
+    scores, _, prepared = training.select_model(_parts(spark, sf), "p_retailprice", "p_partkey")
     return rules.model_insights(scores, prepared.test.agg(F.stddev_samp("label")).first()[0])
 
 
@@ -198,6 +231,6 @@ def insight_feature(spark, sf):
 @query("insight_all")
 def insight_all(spark, sf):
     df = _parts(spark, sf)
-    scores, model, prepared = training.train_one(df, "p_retailprice", "p_partkey", "Random Forest", trees=10, depth=5)
+    scores, model, prepared = training.train_one(df, "p_retailprice", "p_partkey", "Random Forest")
     spread = prepared.test.agg(F.stddev_samp("label")).first()[0]
     return rules.all_insights(df, scores, spread, explain.shapley_importance(model, prepared))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,31 @@ def linear_importance(df: DataFrame, coefficients: dict[str, float]) -> DataFram
                                for i, c in enumerate(coefficients)]).orderBy(F.desc("importance"), "feature")
 
 
+def model_contributions(model, rows: DataFrame, train: DataFrame, names: list[str]) -> DataFrame:
+    """(key, class, feature, contribution, base_value) of a trained linear model, exactly.
+
+    A contribution is coefficient * (x - mean of x in training), in units of the prediction for a
+    regression and of the margin for a classifier, which has a row per class (one if there are two).
+    """
+    matrix = model.coefficientMatrix.toArray() if hasattr(model, "coefficientMatrix") else model.coefficients.toArray()[None, :]
+    starts = model.interceptVector.toArray() if hasattr(model, "interceptVector") else [model.intercept]
+    means = train.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    # As many numbers as the model has itself.
+    classes = F.array(*[F.struct(F.lit(i).alias("class"), doubles(w).alias("w"), F.lit(float(b + w @ means)).alias("base_value"))
+                        for i, (w, b) in enumerate(zip(matrix, starts))])
+    cells = rows.select("key", vector_to_array("features").alias("x"), F.explode(classes).alias("c"))
+    parts = F.transform(F.arrays_zip("x", F.col("c.w").alias("w"), doubles(means).alias("m")), lambda z: z["w"] * (z["x"] - z["m"]))
+    return cells.select("key", "c.class", "c.base_value", F.posexplode(parts).alias("i", "contribution")).select(
+        "key", "class", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("feature"), "contribution", "base_value")
+
+
+def model_importance(model, prepared) -> DataFrame:
+    """(feature, importance) of a trained linear model: mean absolute contribution over rows and classes of the test part."""
+    return model_contributions(model, prepared.test, prepared.train, prepared.features).groupBy("feature").agg(
+        F.avg(F.abs("contribution")).alias("importance")).orderBy(F.desc("importance"), "feature")
+
+
 def _take(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("key").cast("string"))), "key").limit(n)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +18,6 @@ from prepwright.operators.quantiles import cells, fit_quantiles, per_range
 
 # Aggregates are split so one generated method never covers a very wide frame.
 COLUMNS_PER_PASS = 60
-PAIRS_PER_PASS = 250
 
 NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -266,54 +267,64 @@ def outlier_counts(df: DataFrame, factor: float = 1.5) -> DataFrame:
 # ---- pairs ------------------------------------------------------------------------
 
 
+def _pair_sums(df: DataFrame, means: dict[str, float]) -> dict[tuple[int, int], tuple]:
+    """(n, x, xx, xy) of each ordered pair of columns over the rows where both are present, around the means.
+
+    One scan for all pairs: a batch of rows is a matrix and its mask, and the sums are products of
+    the two. Tasks add up their batches; the driver gets one row per pair.
+    """
+    columns = list(means)
+    centre = np.array(list(means.values()))
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]).astype(float) - centre
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            mask = there.astype(float)
+            sums = np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x], axis=-1)
+            total = sums if total is None else total + sums
+        if total is not None:
+            i, j = np.indices(total.shape[:2]).reshape(2, -1)
+            flat = total.reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(flat[:, k]) for k in range(4)]],
+                                             names=["i", "j", "n", "x", "xx", "xy"])
+    found = df.selectExpr(*[f"{num(c)} as c{k}" for k, c in enumerate(columns)]).mapInArrow(
+        run, "i int, j int, n double, x double, xx double, xy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")])
+    return {(r["i"], r["j"]): (int(r["n"]), r["x"], r["xx"], r["xy"]) for r in found.collect()}
+
+
 def _pair_frames(df: DataFrame, result, name: str, include_same: bool) -> DataFrame:
     """One row per numeric column pair, from sums over the rows where both are present.
 
-    A first scan fits means and gaps. Around the means, a pair without gaps needs the sum
-    of one product only, so even many pairs stay within compiled code.
-    ``result`` maps (n, sxx, syy, sxy) to the value. Only these sums reach the driver.
+    Two scans: the means, then all pairs at once. ``result`` maps (n, sxx, syy, sxy) to the value.
     """
     df = kinds.nan_to_null(df)
     columns = kinds.numeric(df)
     pairs = ([(c, c) for c in columns] if include_same else []) + list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], f"col_a string, col_b string, {name} double, ord long")
-    fit = {}
+    means, spans = {}, {}
     for batch in _batches(columns, COLUMNS_PER_PASS):
-        row = df.selectExpr("count(*) as rows", *[
-            f"{fn}({num(c)}) as {letter}{i}" for i, c in enumerate(batch)
-            for letter, fn in (("n", "count"), ("m", "avg"), ("a", "min"), ("z", "max"))]).first()
-        fit.update({c: (row["rows"], row[f"n{i}"], row[f"m{i}"] or 0.0, (row[f"z{i}"] or 0.0) - (row[f"a{i}"] or 0.0))
-                    for i, c in enumerate(batch)})
+        row = df.selectExpr(*[f"{fn}({num(c)}) as {letter}{i}" for i, c in enumerate(batch)
+                              for letter, fn in (("m", "avg"), ("a", "min"), ("z", "max"))]).first()
+        means.update({c: row[f"m{i}"] or 0.0 for i, c in enumerate(batch)})
+        spans.update({c: (row[f"z{i}"] or 0.0) - (row[f"a{i}"] or 0.0) for i, c in enumerate(batch)})
     order = {c: i for i, c in enumerate(columns)}
-    around = {c: f"({num(c)} - {lit(fit[c][2])})" for c in columns}
-    whole = {c: fit[c][1] == fit[c][0] for c in columns}
-    complete = [p for p in pairs if whole[p[0]] and whole[p[1]]]
-    gappy = [p for p in pairs if not (whole[p[0]] and whole[p[1]])]
+    around = _pair_sums(df, means)
     sums: dict[tuple[str, str], tuple] = {}
-    for batch in _batches(complete, PAIRS_PER_PASS):
-        used = sorted({c for p in batch for c in p}, key=order.get)
-        row = df.selectExpr(*[f"sum({around[c]} * {around[c]}) as own{order[c]}" for c in used],
-                            *[f"sum({around[a]} * {around[b]}) as p{i}" for i, (a, b) in enumerate(batch)]).first()
-        for i, (a, b) in enumerate(batch):
-            sums[(a, b)] = (fit[a][0], row[f"own{order[a]}"], row[f"own{order[b]}"], row[f"p{i}"])
-    for batch in _batches(gappy, PAIRS_PER_PASS // 5):
-        aggs = []
-        for i, (a, b) in enumerate(batch):
-            x, y, both = around[a], around[b], f"{q(a)} is not null and {q(b)} is not null"
-            aggs += [f"count_if({both}) as n{i}", f"sum({x} * {y}) as p{i}"]
-            aggs += [f"sum(if({both}, {value}, null)) as {label}{i}"
-                     for label, value in (("x", x), ("y", y), ("xx", f"{x} * {x}"), ("yy", f"{y} * {y}"))]
-        row = df.selectExpr(*aggs).first()
-        for i, pair in enumerate(batch):
-            n, x, y = row[f"n{i}"], row[f"x{i}"], row[f"y{i}"]
-            sums[pair] = (n, row[f"xx{i}"] - x * x / n, row[f"yy{i}"] - y * y / n, row[f"p{i}"] - x * y / n) \
-                if n else (0, 0.0, 0.0, 0.0)
+    for a, b in pairs:
+        n, x, xx, xy = around.get((order[a], order[b]), (0, 0.0, 0.0, 0.0))
+        _, y, yy, _ = around.get((order[b], order[a]), (0, 0.0, 0.0, 0.0))
+        sums[(a, b)] = (n, xx - x * x / n, yy - y * y / n, xy - x * y / n) if n else (0, 0.0, 0.0, 0.0)
     rows = []
     for a, b in pairs:
         n, sxx, syy, sxy = sums[(a, b)]
         # What rounding leaves of a constant counts as no spread.
-        spreads = [s if s and s > 1e-18 * fit[c][3] ** 2 * n else 0.0 for s, c in ((sxx, a), (syy, b))]
+        spreads = [s if s and s > 1e-18 * spans[c] ** 2 * n else 0.0 for s, c in ((sxx, a), (syy, b))]
         rows.append((a, b, result(n, *spreads, sxy), order[a] * len(columns) + order[b]))
     return df.sparkSession.createDataFrame(rows, f"col_a string, col_b string, {name} double, ord long")
 

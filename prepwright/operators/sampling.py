@@ -81,7 +81,7 @@ def stratified_split(df: DataFrame, target: str, key: str, share: float = 0.2, s
 
 
 def random_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add ``is_test`` for about ``share`` of the rows, decided row by row."""
+    """Add ``is_test``: exactly ceil(share * rows) of all rows."""
     kinds.require(df, key)
-    draw = F.conv(F.substring(hash_of(key, seed), 1, 8), 16, 10).cast("long")
-    return df.withColumn("is_test", draw < F.lit(int(share * 2**32)))
+    one, quota = F.lit(0), F.ceil(F.round(F.col("_n") * F.lit(share), 9))
+    return _within(df, one, key, seed, fit_thresholds(df, one, key, seed, quota), "is_test")
