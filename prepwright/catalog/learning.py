@@ -8,6 +8,10 @@ from prepwright.catalog.registry import plain, query, r, rounds, sig, significan
 from prepwright.models import bayes, evaluate, explain, training
 from prepwright.operators import rules, sampling
 
+# Attributions of trees are sampled: so many test rows are explained against so many training rows.
+EXPLAINED = {"n": 50, "background": 20}
+
+
 def _classes(spark, sf):
     """Label quality from the other columns of the labels and the shape of their documents."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -196,19 +200,19 @@ def _forest(spark, sf):
 @query("xai_global_trees")
 def xai_global_trees(spark, sf):
     _, model, prepared = _forest(spark, sf)
-    return explain.shapley_importance(model, prepared)
+    return explain.shapley_importance(model, prepared, **EXPLAINED)
 
 
 @query("xai_local")
 def xai_local(spark, sf):
     _, model, prepared = _forest(spark, sf)
-    return explain.explain_rows(model, prepared, sampling.first_rows(prepared.test, 3, ["key"]))
+    return explain.explain_rows(model, prepared, sampling.first_rows(prepared.test, 3, ["key"]), EXPLAINED["background"])
 
 
 @query("ch_importance")
 def ch_importance(spark, sf):
     _, model, prepared = _forest(spark, sf)
-    return explain.top_importance(explain.shapley_importance(model, prepared), 5)
+    return explain.top_importance(explain.shapley_importance(model, prepared, **EXPLAINED), 5)
 
 
 # ---- insights about models ----------------------------------------------------------
@@ -233,4 +237,4 @@ def insight_all(spark, sf):
     df = _parts(spark, sf)
     scores, model, prepared = training.train_one(df, "p_retailprice", "p_partkey", "Random Forest")
     spread = prepared.test.agg(F.stddev_samp("label")).first()[0]
-    return rules.all_insights(df, scores, spread, explain.shapley_importance(model, prepared))
+    return rules.all_insights(df, scores, spread, explain.shapley_importance(model, prepared, **EXPLAINED))

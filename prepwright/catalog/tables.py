@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepwright.catalog.registry import (
@@ -40,18 +43,26 @@ def src_sample(spark, sf):
     return readers.load(spark, f"{sf}/orders.parquet", sample_n=500, key="o_orderkey")
 
 
-@query("src_validate")
-def src_validate(spark, sf):
-    found = readers.validate_files(spark, f"{sf}/*.parquet", extensions=["parquet"])
-    return found.withColumn("path", F.element_at(F.split("path", "/"), -1))
+_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+           "conversations").split()
 
 
-@query("src_fingerprint")
+@query("src_validate", union_all([f"select '{t}.parquet' as name, true as is_valid, count(*) as n_rows from {t}" for t in _TABLES]))
+def src_validate(spark, sf):
+    parts = []
+    for t in _TABLES:
+        path = f"{sf}/{t}.parquet"
+        checked = readers.validate_files(spark, path, max_mb=1 << 20, extensions=["parquet"])
+        parts.append(checked.agg(F.every("is_valid").alias("is_valid")).select(F.lit(f"{t}.parquet").alias("name"), "is_valid", F.lit(None).cast("long").alias("n_rows")).unionByName(
+            readers.file_rows(spark, path).agg(F.sum("n_rows").alias("n_rows")).select(F.lit(f"{t}.parquet").alias("name"), F.lit(True).alias("is_valid"), "n_rows")))
+    return reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.every("is_valid").alias("is_valid"), F.max("n_rows").alias("n_rows"))
+
+
+@query("src_fingerprint", """
+    select count(*) as n_rows, cast(sum(cast(('0x' || substr(md5(concat_ws(chr(31), doc_id, coalesce(text, chr(0)), coalesce(lang, chr(0)),
+      coalesce(source, chr(0)), n_chars)), 1, 15)) as hugeint)) as varchar) as fingerprint from documents""")
 def src_fingerprint(spark, sf):
-    files = readers.file_hashes(spark, f"{sf}/orders.parquet").select("sha256")
-    prints = readers.table_fingerprint(table(spark, sf, "orders"))
-    return files.select(F.lit("file").alias("kind"), F.col("sha256").alias("fingerprint")).unionByName(
-        prints.select(F.lit("table").alias("kind"), "fingerprint"))
+    return readers.table_fingerprint(table(spark, sf, "documents"))
 
 
 @query("src_sanitize_names", "select c_custkey as cust_key, c_name as cust_name, c_acctbal as acct_bal from customer")

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from prepwright import kinds
 from prepwright.kinds import as_double, col
 
-SAMPLE_ROWS = 50
-BACKGROUND_ROWS = 20
 PERMUTATIONS = 4
 
 
@@ -58,8 +56,9 @@ def model_importance(model, prepared) -> DataFrame:
         F.avg(F.abs("contribution")).alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
-def _take(df: DataFrame, n: int, seed: int) -> DataFrame:
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("key").cast("string"))), "key").limit(n)
+def _take(df: DataFrame, n: int | None, seed: int) -> DataFrame:
+    """A repeatable sample of n rows, or all rows."""
+    return df if n is None else df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("key").cast("string"))), "key").limit(n)
 
 
 def _output(model, df: DataFrame) -> Column:
@@ -106,17 +105,21 @@ def shapley_values(model, rows: DataFrame, background: DataFrame, names: list[st
         "key", F.element_at(labels, F.col("f")).alias("feature"), F.col("v").alias("contribution"), "base_value")
 
 
-def shapley_importance(model, prepared, n: int = SAMPLE_ROWS, **options) -> DataFrame:
-    """(feature, importance): mean absolute contribution over a sample of test rows."""
-    values = shapley_values(model, _take(prepared.test, n, 42), _take(prepared.train, BACKGROUND_ROWS, 7),
+def shapley_importance(model, prepared, n: int | None = None, background: int | None = None, **options) -> DataFrame:
+    """(feature, importance): mean absolute contribution over the test rows, or ``n`` of them.
+
+    The background is the training rows, or as many of them as named. The work is the product of
+    the two, and the background reaches the driver: name both for large tables.
+    """
+    values = shapley_values(model, _take(prepared.test, n, 42), _take(prepared.train, background, 7),
                             prepared.features, **options)
     return values.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance")).orderBy(
         F.desc("importance"), "feature")
 
 
-def explain_rows(model, prepared, rows: DataFrame, **options) -> DataFrame:
-    """Base value and contributions of chosen rows against a training background."""
-    return shapley_values(model, rows, _take(prepared.train, BACKGROUND_ROWS, 7), prepared.features, **options)
+def explain_rows(model, prepared, rows: DataFrame, background: int | None = None, **options) -> DataFrame:
+    """Base value and contributions of chosen rows against the training rows, or as many as named."""
+    return shapley_values(model, rows, _take(prepared.train, background, 7), prepared.features, **options)
 
 
 def top_importance(importance: DataFrame, k: int = 10) -> DataFrame:

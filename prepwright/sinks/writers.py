@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +53,8 @@ def bi_schema(df: DataFrame) -> DataFrame:
                                            "column string, push_type string, extract_type string")
 
 
-def push_batches(df: DataFrame, batch_rows: int = 10_000) -> DataFrame:
-    """(batch_id, n, payload): JSON payloads of at most ``batch_rows`` rows each.
+def push_batches(df: DataFrame, batch_rows: int = 10_000, batch_chars: int = 4_000_000) -> DataFrame:
+    """(batch_id, n, payload): JSON payloads of at most ``batch_rows`` rows and, but for one row, ``batch_chars``.
 
     Rows are numbered where they lie, so no value can put too many rows in one batch; the
     numbering is stored first, so a retried task cannot change it. Sending the payloads is
@@ -62,7 +63,11 @@ def push_batches(df: DataFrame, batch_rows: int = 10_000) -> DataFrame:
     rows = df.select(F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("row"))
     rows = cut_lineage(rows.withColumn("_id", F.monotonically_increasing_id()))
     part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit(ROW_MASK))
-    batch = F.concat_ws("-", part.cast("string"), F.floor(at / batch_rows).cast("string"))
+    # Rows of a stored partition, so the window is as large as an input split.
+    size = F.length("row")
+    before = F.sum(size).over(W.partitionBy(part).orderBy("_id")) - size
+    rows = rows.withColumn("_before", before)
+    batch = F.concat_ws("-", part.cast("string"), F.floor(at / batch_rows).cast("string"), F.floor(F.col("_before") / batch_chars).cast("string"))
     return rows.groupBy(batch.alias("batch_id")).agg(
         F.count("*").alias("n"),
         F.concat(F.lit('{"rows":['), F.array_join(F.collect_list("row"), ","), F.lit("]}")).alias("payload"))

@@ -67,7 +67,7 @@ def validate_files(spark: SparkSession, path: str, max_mb: float = MAX_FILE_MB,
     extension = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     allowed = extensions or EXTENSIONS
     reason = F.when(~F.contains(name, F.lit(".")), "no_extension").when(~extension.isin(allowed), "extension").when(
-        F.col("length") > F.lit(max_mb) * 1024 * 1024, "too_large").otherwise("")
+        F.col("length") > F.lit(float(max_mb) * 1024 * 1024), "too_large").otherwise("")
     return files.select("path", (reason == "").alias("is_valid"), reason.alias("reason"))
 
 
@@ -78,7 +78,15 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """(n_rows, fingerprint) of a table's rows, whatever their order or partitioning."""
-    row_hash = F.xxhash64(*[col(c) for c in kinds.comparable(df)])
-    return df.agg(F.count("*").alias("n_rows"),
-                  F.coalesce(F.sum(row_hash.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"))
+    """(n_rows, fingerprint) of a table's rows, whatever their order or partitioning.
+
+    A row's cells, as text, are hashed by md5; the fingerprint is the sum of the first 60 bits.
+    """
+    cells = [F.coalesce(col(c).cast("string"), F.lit("\x00")) for c in kinds.comparable(df)]
+    bits = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("fingerprint"))
+
+
+def file_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_rows) of each Parquet file of one table, by reading it."""
+    return spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n_rows"))
