@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prepwright.functions.indel import lcs_length, similarity
+from prepwright.functions.indel import lcs_lengths, similarities
 from prepwright.models import bayes, explain, training
 from prepwright.operators import dedupe, fuzzy, quantiles, sampling
 
@@ -35,6 +35,10 @@ def variants(seed, bases, copies, longest=25):
     return list(out)
 
 
+def similarity(a, b):
+    return float(similarities([a], [b])[0])
+
+
 def greedy(texts, threshold, strict):
     leaders, led = [], {}
     for i, t in enumerate(texts):
@@ -51,18 +55,15 @@ def nodes_of(spark, texts):
 
 def test_lcs_and_ratio():
     draw = random.Random(3)
-    for _ in range(2000):
+    for _ in range(500):
         a, b = ("".join(draw.choice("abcd") for _ in range(draw.randint(0, 12))) for _ in "xy")
-        assert lcs_length(a, b) == slow_lcs(a, b)
+        assert lcs_lengths([a], [b])[0] == slow_lcs(a, b)
     assert similarity("fast nuces", "fast-nuces") == 90.0 and similarity("abcd", "bcda") == 75.0
     assert similarity("", "") == 100.0
 
 
-@pytest.mark.parametrize("threshold", [70, 85, 95])
-@pytest.mark.parametrize("inline", [True, False])
-def test_similar_pairs_lose_nothing(spark, monkeypatch, threshold, inline):
-    if not inline:
-        monkeypatch.setattr(fuzzy, "INLINE_TEXT", 0)
+@pytest.mark.parametrize("threshold", [30, 70, 85, 95])
+def test_similar_pairs_lose_nothing(spark, threshold):
     texts = ["", *variants(threshold, 30, 4)]
     got = {(r["u"], r["v"]) for r in fuzzy.similar_pairs(nodes_of(spark, texts), threshold).collect()}
     assert got == {(i, j) for i, j in itertools.combinations(range(len(texts)), 2)
@@ -70,16 +71,17 @@ def test_similar_pairs_lose_nothing(spark, monkeypatch, threshold, inline):
 
 
 def test_similar_pairs_with_hot_pieces(spark, monkeypatch):
-    monkeypatch.setattr(fuzzy, "HOT_MIN_NODES", 1)
+    monkeypatch.setattr(fuzzy, "COMPARISONS_PER_TASK", 500)
     texts = [f"Customer#{i:06d}" for i in range(0, 3000, 17)]
     got = {(r["u"], r["v"]) for r in fuzzy.similar_pairs(nodes_of(spark, texts), 90).collect()}
     assert got == {(i, j) for i, j in itertools.combinations(range(len(texts)), 2)
                    if similarity(texts[i], texts[j]) >= 90}
 
 
-def test_threshold_without_a_complete_join_is_refused(spark):
-    with pytest.raises(ValueError):
-        fuzzy.similar_pairs(nodes_of(spark, ["a"]), 60)
+def test_threshold_bounds(spark):
+    for threshold in (0, 100.5):
+        with pytest.raises(ValueError):
+            fuzzy.similar_pairs(nodes_of(spark, ["a"]), threshold)
 
 
 @pytest.mark.parametrize("first_prefix", [5000, 40])
