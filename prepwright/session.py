@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,15 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in spark.checkpoint.dir."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="prepwright-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return configured
+
+
+def provide_folder(spark: SparkSession) -> None:
+    """Name a folder for a local session, as in tests, that has none. Clusters name theirs."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and re.match(r"local(\[|$)", spark.sparkContext.master):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="prepwright-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from prepwright.session import provide_folder  # noqa: E402
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
@@ -27,6 +29,7 @@ def session() -> SparkSession:
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    provide_folder(spark)
     return spark
 
 
