@@ -19,8 +19,8 @@ def test_agrees_with_oracle(spark, con, key):
     assert compare.difference(QUERIES[key](spark, SF), con, ORACLE[key]) is None
 
 
-@pytest.mark.parametrize("key", ["ml_bayes_interval", "ml_select", "ml_baseline", "ml_train_one", "ev_predictions", "xai_local",
-                                 "xai_linear_classes", "insight_model"])
+@pytest.mark.parametrize("key", ["ml_bayes_interval", "ml_select", "ml_baseline", "ml_train_one", "ev_predictions",
+                                 "xai_linear_classes"])
 def test_returns_rows(spark, key):
     assert QUERIES[key](spark, SF).count() > 0
 
