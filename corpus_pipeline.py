@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prepwright.llm import decontaminate, language, lines, sentencepieces, simhash
 from prepwright.llm.catalog import tokenizer
-from prepwright.llm.common import join_rows, stored, table, text_key
+from prepwright.llm.common import join_few, release, stored, table, text_key
 
 # A document whose largest language has a smaller share of its letters is rejected.
 MIN_SCORE = 0.5
@@ -41,9 +41,10 @@ def by_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id. Rows that repeat an id stay or go together."""
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").select(*_columns(docs))
+    found = simhash.near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    copies = stored(found.select("doc_id").distinct(), "near-copies")
+    rows = docs.select(F.struct(*_columns(docs)).alias("doc"), "doc_id")
+    return join_few(rows, copies, "left_anti", ("doc_id",)).select("doc.*")
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = stored(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
                    .select("doc_id", "text_hash").distinct(), "contaminated")
     hashed = docs.select(F.struct(*_columns(docs)).alias("doc"), *text_key())
-    return join_rows(hashed, found, "left_anti").select("doc.*")
+    return join_few(hashed, found, "left_anti").select("doc.*")
 
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            release(before)
+        before = docs
     return docs

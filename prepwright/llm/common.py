@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that no later step reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -66,11 +76,51 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def join_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on ``text_key``; ids that are missing match each other."""
-    other = right.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
-    return left.join(other, left["text_hash"].eqNullSafe(other["_text_hash"])
-                     & left["doc_id"].eqNullSafe(other["_doc_id"]), how).drop("_doc_id", "_text_hash")
+def join_rows(left: DataFrame, right: DataFrame, how: str, on: tuple[str, ...] = ("doc_id", "text_hash")) -> DataFrame:
+    """Join on columns of both, by default those of ``text_key``; missing values match each other."""
+    other = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    fits = reduce(Column.__and__, [left[c].eqNullSafe(other[f"_right_{c}"]) for c in on])
+    return left.join(other, fits, how).drop(*[f"_right_{c}" for c in on])
+
+
+# A sketch is a bitmap of hashed keys in slices of 4 KB, 32 MB at most, whatever it is made of.
+SLICE_BITS = 32_768
+MAX_SKETCH_BITS = 1 << 28
+
+
+def sketch(keys: DataFrame, bits: int) -> DataFrame:
+    """Bitmap of the rows' hashes: (slice, bits), a row for each SLICE_BITS of ``bits``."""
+    bit = F.pmod(F.xxhash64(*keys.columns), F.lit(bits))
+    return (keys.select(F.bitmap_bucket_number(bit).alias("slice"), F.bitmap_bit_position(bit).alias("at"))
+            .groupBy("slice").agg(F.bitmap_construct_agg("at").alias("bits")))
+
+
+def held(df: DataFrame, bitmap: DataFrame, bits: int, keys: list[str], name: str) -> DataFrame:
+    """Add ``name``: false where a row's keys are surely not in the sketch. The rows do not move.
+
+    The sketch is broadcast; its size is bounded by ``bits``.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return (df.withColumns({"_slice": F.bitmap_bucket_number(bit), "_at": at})
+            .join(F.broadcast(bitmap.withColumnsRenamed({"slice": "_slice", "bits": "_bits"})), "_slice", "left")
+            .withColumn(name, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1L, cast(_at % 8 as int))")) != 0, F.lit(False)))
+            .drop("_slice", "_at", "_bits"))
+
+
+def join_few(left: DataFrame, right: DataFrame, how: str, on: tuple[str, ...] = ("doc_id", "text_hash")) -> DataFrame:
+    """``join_rows`` (inner, left or left_anti) for long rows of which a stored table, with one row per key, concerns a few.
+
+    A sketch of the table's keys tells which rows may have a match. Only these are shuffled; the others go or stay
+    where they lie. As more of the rows are concerned it turns into the plain join.
+    """
+    bits = 1 << min(MAX_SKETCH_BITS.bit_length() - 1, max(SLICE_BITS.bit_length() - 1, (16 * right.count()).bit_length()))
+    flagged = held(left, sketch(right.select(*on), bits), bits, list(on), "_may")
+    near = join_rows(flagged.filter("_may").drop("_may"), right, how, on)
+    if how == "inner":
+        return near
+    return near.unionByName(flagged.filter("not _may").drop("_may"), allowMissingColumns=True)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

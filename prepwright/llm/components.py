@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import stored
+from prepwright.llm.common import release, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -13,7 +13,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
     The large star does so for the larger neighbours, the small star for the value and its smaller ones.
     A value with very many neighbours is one row of the smallest values, which are stored and so joined by
-    plain shuffles: Spark splits such a value on the side of the links.
+    plain shuffles: Spark splits such a value on the side of the links. ``links`` is a stored table and goes.
     """
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
@@ -24,7 +24,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         pairs = tied.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
         pairs = tied.select(F.col("b").alias("a"), F.col("least").alias("b")).unionAll(least.select("a", F.col("least").alias("b")))
-    return stored(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
+    out = stored(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
+    release(links, least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import ascii_lower, join_rows, stored, text_key
+from prepwright.llm.common import ascii_lower, join_few, join_rows, stored, text_key
 
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 WINDOW = 10          # words; a shared run of this length is always found
@@ -73,7 +73,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: i
         listed = fingerprints(item_chunks, ["item_id"], span, min(gram, span)).select("fingerprint").distinct()
         hits = (fingerprints(_chunks(read, keys, span), keys, span, min(gram, span))
                 .join(listed, "fingerprint", "left_semi").groupBy(*keys).agg(F.collect_set("at").alias("ats")))
-        chunks = (join_rows(texts, stored(hits, "contamination-hits"), "inner")
+        chunks = (join_few(texts, stored(hits, "contamination-hits"), "inner")
                   .select(*keys, "ats", words(F.col("text")).alias("words"))
                   .selectExpr(*keys, f"explode(transform(ats, a -> {_chunk('a', span)})) as c").select(*keys, "c.at", "c.piece"))
         item_windows = _windows(item_chunks, ["item_id"], span).select("item_id", "window").distinct()

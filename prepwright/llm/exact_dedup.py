@@ -2,45 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import stored
+from prepwright.llm.common import held, sketch, stored
 
 PREFIX_CHARS = 256
 # A sketch of surviving groups has this many bits (1 MB), whatever the size of the table.
 SKETCH_BITS = 1 << 23
-SLICE_BITS = 32_768
-
-
-def _bit(keys: list[Column]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(SKETCH_BITS))
 
 
 def surviving(keys: DataFrame) -> DataFrame:
-    """Bitmap, in 4 KB slices, of the hashed keys that several rows share: 256 rows at most.
+    """Sketch of the keys that several rows share.
 
     Two keys may share a bit. That only lets a row through that the next level rejects.
     """
-    bit = _bit([F.col(c) for c in keys.columns])
-    return (keys.groupBy(*keys.columns).agg(F.count("*").alias("n")).filter("n > 1")
-            .select(F.bitmap_bucket_number(bit).alias("slice"), F.bitmap_bit_position(bit).alias("at"))
-            .groupBy("slice").agg(F.bitmap_construct_agg("at").alias("bits")))
-
-
-def refined(df: DataFrame, bitmap: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``alive``: whether the row's keys are in the bitmap. The rows do not move.
-
-    The bitmap has 256 slices of 4 KB at most, so it is broadcast whatever the size of the table.
-    """
-    bit = _bit([F.col(c) for c in keys])
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-    mask = F.expr("shiftleft(1L, cast(_at % 8 as int))")
-    return (df.withColumns({"_slice": F.bitmap_bucket_number(bit), "_at": at})
-            .join(F.broadcast(bitmap.withColumnRenamed("slice", "_slice")), "_slice", "left")
-            .withColumn("alive", F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False)))
-            .drop("_slice", "_at", "bits"))
+    return sketch(keys.groupBy(*keys.columns).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), SKETCH_BITS)
 
 
 def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digests: bool = False) -> DataFrame:
@@ -60,12 +37,12 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digests:
     rows = docs.select("doc_id", text.alias("_text"), F.octet_length(text).alias("size"))
     by_length = surviving(rows.select("size"))
 
-    rows = refined(rows, by_length, ["size"])
+    rows = held(rows, by_length, SKETCH_BITS, ["size"], "alive")
     rows = rows.withColumn("prefix", F.when(F.col("alive"), F.xxhash64(F.substring("_text", 1, prefix_chars))))
     rows = rows.drop("alive")
     by_prefix = surviving(rows.filter("prefix is not null").select("size", "prefix"))
 
-    rows = refined(rows, by_prefix, ["size", "prefix"])
+    rows = held(rows, by_prefix, SKETCH_BITS, ["size", "prefix"], "alive")
     full, last = F.sha2("_text", 256), F.col("alive") & F.col("prefix").isNotNull()
     rows = rows.select("doc_id", "size", "prefix", last.alias("last"), (full if digests else F.when(last, full)).alias("text_sha256"))
     rows = stored(rows, "exact-rows")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import free_names, join_rows, map_batches, stored, text_key, texts_of
+from prepwright.llm.common import free_names, join_few, map_batches, release, stored, text_key, texts_of
 
 MAX_EDITS = 1
 # Shorter lines are left alone: one edit in a few characters makes another line.
@@ -92,14 +92,14 @@ def _shared(keyed: DataFrame) -> DataFrame:
     """Rows whose ``key`` several lines have. The right side has one row per key, so a key of very many lines
     is split on the left."""
     often = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "line-keys")
-    return keyed.join(often, "key", "left_semi").drop("key")
+    return keyed.join(often, "key", "left_semi").drop("key")   # ``often`` is read when the result is
 
 
 def _with_text(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Add ``line``, the text at each row's place (``first``)."""
-    listed = lines.withColumnsRenamed({"id": "_id", "id2": "_id2"}).select("first.*", "_id", "_id2", "live").groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("at", "_id", "_id2", "live")).alias("_found"))
-    return (join_rows(docs.select(*text_key(), "text"), listed, "inner")
+    listed = stored(lines.withColumnsRenamed({"id": "_id", "id2": "_id2"}).select("first.*", "_id", "_id2", "live").groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("at", "_id", "_id2", "live")).alias("_found")), "line-places")
+    return (join_few(docs.select(*text_key(), "text"), listed, "inner")
             .select("doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("_found").alias("f"))
             .select(F.col("f._id").alias("id"), F.col("f._id2").alias("id2"),
                     F.struct("doc_id", "text_hash", "f.at").alias("first"), "f.live",
@@ -147,10 +147,12 @@ def near_repeats(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     found = stored(distinct.select("id", "id2", "first", "chars").join(live, "id")
                    .selectExpr("id", "id2", "first", f"transform(zones, z -> named_struct({zone})) as live"), "line-zones")
     near = stored(_with_text(docs, found), "near-lines")
+    release(found)
     while True:
         cut = stored(_shared(_cut(near)), "line-parts")
         zones_of = cut.groupBy("id", "id2").agg(F.collect_list("zone").alias("live"))
-        near = stored(near.drop("live").join(zones_of, ["id", "id2"]), "near-lines")
+        before, near = near, stored(near.drop("live").join(zones_of, ["id", "id2"]), "near-lines")
+        release(before)
         # One number a level; zones shrink by PARTS each time.
         if cut.filter(f"zone.b - zone.a > {SMALL}").isEmpty():
             break
@@ -187,7 +189,9 @@ def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     # A place may stand in several rows if rows of a document repeat; it is one place.
     gone = all_lines.select(*PLACE, "id", "id2").join(known, ["id", "id2"]).filter(
         F.col("near").isNotNull() | ~F.struct(*PLACE).eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("ats"))
+    removed = stored(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("ats")), "removed-lines")
+    release(all_lines, distinct, known)
+    return removed
 
 
 def without_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -199,13 +203,11 @@ def without_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int
     their texts; rows that repeat a document stay alike. If ``docs`` has columns n_lines or n_removed they are
     replaced.
     """
-    gone = stored(removed_lines(docs, max_edits, min_chars), "removed-lines")
+    gone = removed_lines(docs, max_edits, min_chars)
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
-    key, ats, other = free_names(docs, "text_hash", "ats", "other_id")
-    gone = gone.select(F.col("doc_id").alias(other), F.col("text_hash").alias("_" + key), F.col("ats").alias(ats))
-    rows = docs.withColumn(key, text_key()[1])
-    rows = rows.join(gone, rows[key].eqNullSafe(gone["_" + key]) & rows["doc_id"].eqNullSafe(gone[other]), "left").drop(key, "_" + key, other)
+    (ats,) = free_names(docs, "ats")
+    rows = join_few(docs.select(F.struct(*docs.columns).alias("doc"), *text_key()), gone, "left").select("doc.*", F.col("ats").alias(ats))
     schema = docs.withColumns({"n_lines": F.lit(0).cast("bigint"), "n_removed": F.lit(0).cast("bigint")}).schema
 
     def run(batches):

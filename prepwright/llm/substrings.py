@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import join_rows, map_batches, stored, text_key
+from prepwright.llm.common import join_few, map_batches, release, stored, text_key
 
 MIN_WORDS = 20
 ANCHOR = 5
@@ -92,8 +92,8 @@ def _contexts(docs: DataFrame, followed: DataFrame, min_words: int, anchor: int)
                     for column, value in zip(out.values(), (doc, text_hash, a, key, f["n"], b" ".join(words[a:b - 1 + min_words]))):
                         column.append(value)
             yield out
-    listed = followed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("found"))
-    rows = join_rows(docs.select(*text_key(), "text"), listed, "inner")
+    listed = stored(followed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("found")), "followed-places")
+    rows = join_few(docs.select(*text_key(), "text"), listed, "inner")
     return map_batches(rows.select("doc_id", "text_hash", "text", "found"), run, CONTEXT)
 
 
@@ -203,9 +203,13 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, g
     found = stored(_anchor_rows(docs, min_words, anchor), "anchors")
     often = stored(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-anchors")
     followed = stored(found.join(often, "key").select("doc_id", "text_hash", "at", "n"), "followed-anchors")
+    release(found, often)
     contexts = stored(_contexts(docs, followed, min_words, anchor), "suffix-groups")
-    return stored(_in_memory(contexts.filter(F.col("n") <= group), min_words).unionAll(
+    release(followed)
+    later = stored(_in_memory(contexts.filter(F.col("n") <= group), min_words).unionAll(
         _by_whole_prefix(contexts.filter(F.col("n") > group), min_words)), "repeats")
+    release(contexts)
+    return later
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
@@ -218,8 +222,10 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
     an id come by a hash of their texts; rows that repeat a document give equal rows, and are no repeat of each
     other. Other columns are not looked at.
     """
-    ranges = repeats(docs, min_words, anchor, group).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    rows = join_rows(docs.select(*text_key(), "text"), ranges, "left")
+    found = repeats(docs, min_words, anchor, group)
+    ranges = stored(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "repeat-ranges")
+    release(found)
+    rows = join_few(docs.select(*text_key(), "text"), ranges, "left")
 
     def run(batches):
         for batch in batches:

@@ -6,7 +6,7 @@ import corpus_cases as cases
 import pytest
 from pyspark.sql import functions as F
 
-from prepwright.llm import exact_dedup, sharding
+from prepwright.llm import common, exact_dedup, sharding
 
 
 def test_exact_duplicates_agree_with_brute_force(spark):
@@ -33,11 +33,22 @@ def test_full_reads_only_where_length_and_prefix_repeat(spark):
 
 def test_bitmap_has_every_shared_key(spark):
     keys = spark.range(50_000).select((F.col("id") % 30_000).alias("k"))
-    alive = exact_dedup.refined(spark.range(60_000).withColumnRenamed("id", "k"), exact_dedup.surviving(keys), ["k"])
+    alive = common.held(spark.range(60_000).withColumnRenamed("id", "k"), exact_dedup.surviving(keys), exact_dedup.SKETCH_BITS, ["k"], "alive")
     let_in = {r["k"] for r in alive.filter("alive").collect()}
     assert set(range(20_000)) <= let_in and len(let_in) < 20_400
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_join_few_is_the_plain_join(spark, how):
+    left = spark.createDataFrame([(i % 50, i % 7, f"t{i}") for i in range(200)] + [(None, 3, "n"), (None, 4, "n")], "doc_id bigint, text_hash bigint, t string")
+    right = common.stored(spark.createDataFrame([(i, i % 7, f"r{i}") for i in range(0, 60, 3)] + [(None, 3, "rn")], "doc_id bigint, text_hash bigint, r string"), "right")
+    few, plain = (f(left, right, how) for f in (common.join_few, common.join_rows))
+    assert few.columns == plain.columns
+    assert sorted(map(str, few.collect())) == sorted(map(str, plain.collect())) != []
+    none = common.stored(right.limit(0), "none")
+    assert common.join_few(left, none, how).count() == {"inner": 0, "left": 202, "left_anti": 202}[how]
+
+
 @pytest.mark.parametrize("apply", [exact_dedup.exact_duplicates, sharding.sharded])
 def test_empty_table(spark, apply):
     assert apply(cases.frame(spark, [])).count() == 0
