@@ -13,8 +13,8 @@ from prepwright.llm import decontaminate, language, lines, sentencepieces, simha
 from prepwright.llm.catalog import tokenizer
 from prepwright.llm.common import join_few, release, stored, table, text_key
 
-# A document whose largest language has a smaller share of its letters is rejected.
-MIN_SCORE = 0.5
+# A document whose largest language has a smaller share of its letters is rejected; two languages may share one.
+MIN_SCORE = 0.3
 
 
 def _columns(docs: DataFrame) -> list[Column]:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import gc
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from prepwright.session import scratch_path
+import prepwright
+from prepwright.session import provide_folder, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     them on the executors' disks until the driver happens to run short of memory.
     """
     spark = df.sparkSession
+    provide_folder(spark)
     path, schema = scratch_path(spark, name), df.schema
     df.write.parquet(path)
     del df
@@ -55,12 +61,25 @@ def text_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.lit("text"), F.coalesce("text", F.lit(""))).alias("text_hash")]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need no installed copy then and keep what they have loaded."""
+    context = spark.sparkContext
+    if not getattr(context, "_prepwright_shipped", False):
+        root = Path(prepwright.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="prepwright-package-"), "prepwright.zip")
+        with zipfile.ZipFile(archive, "w") as packed:
+            for path in sorted(root.rglob("*.py")):
+                packed.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._prepwright_shipped = True
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, list]]],
                 schema: StructType | str) -> DataFrame:
     """``mapInArrow`` for a function that yields plain columns: a dict of lists or arrays by name."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
+    ship_package(df.sparkSession)
     arrow = to_arrow_schema(schema, prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

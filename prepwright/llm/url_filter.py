@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import ascii_lower, free_names, stored
+from prepwright.llm.common import ascii_lower, free_names, ship_package, stored
 
 # A block is eight 32-bit words; a key sets one bit in each.
 WORDS = 8
@@ -68,6 +68,7 @@ def bloom_filter(listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> np.ndarray:
 
     Bits are set inside Spark and combined by block; the driver gets the filter, 16 MB at most.
     """
+    ship_package(listed.sparkSession)
     keys = listed.count()
     blocks = min(max_blocks, max(1, -(-keys * BITS_PER_KEY // (32 * WORDS))))
 
