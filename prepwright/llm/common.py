@@ -61,8 +61,17 @@ def text_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.lit("text"), F.coalesce("text", F.lit(""))).alias("text_hash")]
 
 
+# Bytes of an Arrow batch, about; a longer row comes alone.
+PORTION = 8 << 20
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which need no installed copy then and keep what they have loaded."""
+    """Send this package to the Python workers, which need no installed copy then and keep what they have loaded.
+
+    Documents are long rows, and an executor holds a few batches for each task on either side: where the session
+    leaves the size of Arrow batches at its default, it is lowered to PORTION.
+    """
     context = spark.sparkContext
     if not getattr(context, "_prepwright_shipped", False):
         root = Path(prepwright.__file__).parent
@@ -72,6 +81,15 @@ def ship_package(spark: SparkSession) -> None:
                 packed.write(path, path.relative_to(root.parent))
         context.addPyFile(str(archive))
         context._prepwright_shipped = True
+    if spark.conf.get(BATCH_BYTES) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, str(PORTION))
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, batch.num_rows * PORTION // max(PORTION, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, list]]],
@@ -83,7 +101,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
     arrow = to_arrow_schema(schema, prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(batches):
+        for columns in fn(_portions(batches)):
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in
                  zip((columns[f.name] for f in arrow), arrow)], schema=arrow)

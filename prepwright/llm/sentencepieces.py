@@ -22,8 +22,8 @@ from prepwright.llm.common import map_batches, texts_of
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
-# Encoded units kept by a Python worker; a full store is emptied.
-KEPT_UNITS = 600_000
+# Encoded units kept by a Python worker, which lives on after a task; a full store is emptied.
+KEPT_UNITS = 200_000
 
 
 class Pieces:

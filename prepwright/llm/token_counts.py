@@ -23,7 +23,7 @@ from prepwright.llm.common import map_batches, texts_of
 LEAF = 32
 # A pre-token is settled by its own characters and this many after it.
 CONTEXT = 4
-KEPT_PRETOKENS = 400_000
+KEPT_PRETOKENS = 200_000
 
 
 class Encoder:
