@@ -32,7 +32,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has, n_chars counted anew. Documents of which nothing is left go."""
-    found = lines.without_repeats(docs)
+    found = lines.without_repeats(docs, short=True)
     kept = found.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))

@@ -151,7 +151,7 @@ def op8_sharding(spark, sf):
 
 @query("op9_line_dedup")
 def op9_line_dedup(spark, sf):
-    rows = lines.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = lines.without_repeats(table(spark, sf, "documents").select("doc_id", "text"), short=True)
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

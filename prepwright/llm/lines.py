@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from prepwright.llm.common import free_names, join_few, map_batches, release, stored, text_key, texts_of
 
 MAX_EDITS = 1
-# Shorter lines are left alone: one edit in a few characters makes another line.
+# Shorter lines are never near another line: one edit in a few characters makes another line.
 MIN_CHARS = 20
 QUARTERS = 4
 PARTS = 16
@@ -71,16 +71,17 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def _lines(docs: DataFrame, min_chars: int, near: bool) -> DataFrame:
-    """Each line at its place, with a 128-bit hash (id, id2), its characters and its quarters' keys."""
+def _lines(docs: DataFrame, min_chars: int, near: bool, short: bool) -> DataFrame:
+    """Each line at its place, with a 128-bit hash (id, id2), its characters and its quarters' keys. Lines below
+    ``min_chars`` have no keys and are there if they are ``short`` ones to compare and not blank."""
     def run(batches):
         for batch in batches:
             out = {k: [] for k in (*PLACE, "id", "id2", "chars", "keys")}
             for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), texts_of(batch)):
                 for at, line in enumerate(text.split("\n")):
-                    if len(line) >= min_chars:
+                    if len(line) >= min_chars or short and line.strip():
                         row = (doc, key, at, *_halves(line), len(line),
-                               _signed([zone_key(line, *z) for z in first_zones(len(line))]) if near else None)
+                               _signed([zone_key(line, *z) for z in first_zones(len(line))]) if near and len(line) >= min_chars else None)
                         for column, value in zip(out.values(), row):
                             column.append(value)
             yield out
@@ -167,17 +168,18 @@ def near_repeats(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return (texts.join(others, "least").filter(F.levenshtein("line", "other", 1).between(0, 1)).select("id", "id2"))
 
 
-def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """Lines to remove: doc_id, text_hash, ats (their numbers from 0).
 
     A line of ``min_chars`` characters or more goes if an earlier line (by doc_id, then place) of any document is
-    within ``max_edits`` (0 or 1) edits of it. An earlier line counts whether it stays or not.
+    within ``max_edits`` (0 or 1) edits of it. An earlier line counts whether it stays or not. With ``short`` a
+    shorter line that is not blank goes if an earlier line equals it.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     if min_chars <= QUARTERS:
         raise ValueError(f"min_chars is above {QUARTERS}: a quarter of a line has a character at least")
-    all_lines = stored(_lines(docs, min_chars, max_edits > 0), "lines")
+    all_lines = stored(_lines(docs, min_chars, max_edits > 0, short), "lines")
     distinct = stored(all_lines.groupBy("id", "id2").agg(
         F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"), F.first("chars").alias("chars"), F.first("keys").alias("keys")), "distinct-lines")
     if max_edits:
@@ -194,16 +196,17 @@ def removed_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int =
     return removed
 
 
-def without_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated lines taken out of text, and n_lines and n_removed.
 
-    Lines lie between line feeds. Shorter lines than ``min_chars`` stay and let others stay. A missing text
+    Lines lie between line feeds. Shorter lines than ``min_chars`` stay and let others stay; with ``short`` their
+    exact repeats go too, unless they are blank. A missing text
     stays missing and has no lines, an empty text has one empty line. Of equal lines the earliest by doc_id,
     then by place, stays, a missing doc_id being the earliest; documents that share an id come by a hash of
     their texts; rows that repeat a document stay alike. If ``docs`` has columns n_lines or n_removed they are
     replaced.
     """
-    gone = removed_lines(docs, max_edits, min_chars)
+    gone = removed_lines(docs, max_edits, min_chars, short)
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
     (ats,) = free_names(docs, "ats")
