@@ -40,11 +40,18 @@ def by_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id. Rows that repeat an id stay or go together."""
-    found = simhash.near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    copies = stored(found.select("doc_id").distinct(), "near-copies")
-    rows = docs.select(F.struct(*_columns(docs)).alias("doc"), "doc_id")
-    return join_few(rows, copies, "left_anti", ("doc_id",)).select("doc.*")
+    """Of each group of near duplicates one row: the smallest by doc_id, a missing one last, then by a hash of the
+    text; of rows equal in both the smallest by all columns."""
+    order = F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash")
+    found = stored(simhash.groups(docs, hashed=True).groupBy("doc_id", "text_hash")
+                   .agg(F.first("root").alias("root"), F.count("*").alias("n")), "near-groups")
+    least = stored(found.groupBy("root").agg(F.min(order).alias("least")), "near-least")
+    marked = found.join(least, "root").select("doc_id", "text_hash", "n", order.eqNullSafe(F.col("least")).alias("stays"))
+    marked = stored(marked.filter("not stays or n > 1"), "near-copies")
+    repeats = stored(marked.filter("stays").select("doc_id", "text_hash"), "near-repeats")
+    rows = docs.select(F.struct(*_columns(docs)).alias("doc"), *text_key())
+    alone = join_few(rows, marked, "left_anti").select("doc.*")
+    return alone.unionAll(join_few(rows, repeats, "inner").groupBy("doc_id", "text_hash").agg(F.min("doc").alias("doc")).select("doc.*"))
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

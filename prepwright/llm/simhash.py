@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import map_batches, stored
+from prepwright.llm.common import map_batches, stored, text_key
 from prepwright.llm.components import components
 
 SHINGLE = 4
@@ -51,13 +51,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """doc_id, text_hash if ``hashed``, and the fingerprint as a signed long."""
+    keys = text_key()[:2 if hashed else 1]
+    names = ["doc_id", "text_hash"][:len(keys)]
+
     def run(batches):
         for batch in batches:
             values = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield {"doc_id": batch.column("doc_id"), "fingerprint": pa.array(values.view(np.int64))}
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, fingerprint bigint")
+            yield {c: batch.column(c) for c in names} | {"fingerprint": pa.array(values.view(np.int64))}
+    return map_batches(docs.select(*keys, "text"), run, ", ".join(f"{c} bigint" for c in [*names, "fingerprint"]))
 
 
 def _key(column: str) -> str:
@@ -157,7 +160,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     Rows that repeat an id are linked through it, whatever their texts. An id that is missing is smaller than
     none: a group of such rows alone has a missing component_id. Other columns are not looked at.
     """
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    return groups(docs, shingle, radius, tile).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, hashed: bool = False) -> DataFrame:
+    """As ``near_duplicates``, with the fingerprint as a long and ``root``, a fingerprint that stands for the group;
+    unlike component_id it is never missing. ``hashed`` adds text_hash."""
+    rows = stored(fingerprints(docs, shingle, hashed), "fingerprints")
     owners = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "fingerprint-owners")
     links = near_links(owners.select(F.col("fingerprint").alias("value")), radius, tile)
     # An id that stands for several fingerprints links them.
@@ -168,7 +178,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     grouped = owners.join(roots.withColumnRenamed("value", "fingerprint"), "fingerprint", "left") \
         .withColumn("root", F.coalesce("root", "fingerprint"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = stored(grouped.join(least, "root").select("fingerprint", "component_id"), "fingerprint-components")
+    ids = stored(grouped.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint-components")
     # One row per fingerprint on the right: a fingerprint of very many copies is split on the left.
-    return rows.join(ids, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(ids, "fingerprint")
