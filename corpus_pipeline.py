@@ -13,8 +13,9 @@ from prepwright.llm import decontaminate, language, lines, sentencepieces, simha
 from prepwright.llm.catalog import tokenizer
 from prepwright.llm.common import join_few, release, stored, table, text_key
 
-# A document whose largest language has a smaller share of its letters is rejected; two languages may share one.
-MIN_SCORE = 0.3
+# A document is rejected if more of its letters are outside its largest language than in it: the one language it
+# goes by would be wrong for most of it. Two languages may share a text, three even parts may not.
+MIN_SCORE = 0.5
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -23,7 +24,8 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: a missing text, a text without letters and one that is a mixture in which
-    no language has MIN_SCORE of the letters go. An empty table stays empty."""
+    no language has MIN_SCORE of the letters go, as does one in a script that no learned language has. An empty
+    table stays empty."""
     wanted = docs.withColumnsRenamed({c: f"doc_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")})
     found = language.predicted(wanted, language.learn(wanted), carry=tuple(wanted.columns))
     kept = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE))

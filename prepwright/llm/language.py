@@ -93,11 +93,14 @@ def _pieces(text: str):
 
 @dataclass(frozen=True)
 class Model:
-    """Log chance of each feature by language, and what a script allows. BUCKETS rows, a column per language."""
+    """Log chance of each feature by language, and what a script allows. BUCKETS rows, a column per language.
+
+    ``known`` tells for each script whether a language has it."""
 
     languages: list[str]
     features: np.ndarray
     scripts: np.ndarray
+    known: np.ndarray
 
     def emissions(self, words: Words) -> np.ndarray:
         """Score of each word in each language."""
@@ -138,23 +141,28 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 
 
 def labelled(text: str, model: Model, switch: float = SWITCH) -> tuple[str, float, list[dict]]:
-    """Language, the share of letters in its spans, and all spans as (start, end, lang) in characters."""
-    starts, ends, scores = [], [], []
+    """Language, the share of letters in its spans, and all spans as (start, end, lang) in characters.
+
+    Words in scripts that no learned language has are in spans like others, but their letters count for no language.
+    """
+    starts, ends, scores, known = [], [], [], []
     for at, piece in _pieces(text):
         words = words_of(piece)
         starts.append(words.starts + at)
         ends.append(words.ends + at)
         scores.append(model.emissions(words))
+        known.append(model.known[words.scripts])
     if not model.languages or not sum(map(len, starts)):
         return UNDETERMINED, 0.0, []
     begin, end = np.concatenate(starts), np.concatenate(ends)
     path = viterbi(np.concatenate(scores), switch)
     letters = np.bincount(path, weights=end - begin, minlength=len(model.languages))
     best = int(letters.argmax())
+    own = ((end - begin) * ((path == best) & np.concatenate(known))).sum()
     change = np.flatnonzero(np.diff(path)) + 1
     spans = [{"start": int(begin[i]), "end": int(end[j - 1]), "lang": model.languages[path[i]]}
              for i, j in zip([0, *change], [*change, len(path)])]
-    return model.languages[best], float(letters[best] / letters.sum()), spans
+    return model.languages[best], float(own / letters.sum()), spans
 
 
 def held_out(doc_id: Column) -> Column:
@@ -169,7 +177,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0)))
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0)), np.zeros(len(NAMES), bool))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_docs / n))]), F.col("lang"))
     drawn = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(1 << 32)) / float(1 << 32) < share
 
@@ -195,13 +203,14 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     share_of = scripts / np.maximum(scripts.sum(axis=0), 1)
     allowed = share_of >= SCRIPT_SHARE
     barred = np.where(allowed | ~allowed.any(axis=1, keepdims=True), 0.0, NEVER)
-    return Model(languages, chances.astype(np.float32), barred)
+    return Model(languages, chances.astype(np.float32), barred, allowed.any(axis=1))
 
 
 def predicted(docs: DataFrame, model: Model, switch: float = SWITCH, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the columns to ``carry``, held_out, lang_pred, score, spans.
 
-    ``lang_pred`` is the language of most letters and ``score`` their share; spans label the whole text.
+    ``lang_pred`` is the language of most letters and ``score`` their share, where letters of words in scripts
+    that no learned language has add to the whole only; spans label the whole text.
     A text that is missing or has no letter is ``und`` with score 0, as is any text if nothing was learned.
     Of languages level in letters the first by name wins. Repeated rows give a row each. Nothing but text is
     looked at; carried columns of the names above are replaced. A text of any length is scored in pieces and
