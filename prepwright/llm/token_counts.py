@@ -21,7 +21,7 @@ from prepwright.llm.common import map_batches, texts_of
 
 # Pre-tokens of a leaf.
 LEAF = 32
-# A pre-token is settled by its own characters and this many after it.
+# A pre-token is settled by its own characters and this many after it, or by the white space up to the next word.
 CONTEXT = 4
 KEPT_PRETOKENS = 200_000
 
@@ -115,8 +115,8 @@ def edited(text: str, tree: Tree, start: int, end: int, by: str, encoder: Encode
     start = min(max(start, 0), len(text))
     end = min(max(end, start), len(text))
     new, grown = text[:start] + by + text[end:], len(by) - (end - start)
-    # A leaf that ends CONTEXT characters before the edit stays as it is.
-    low, begin = tree.leaf_at(max(0, start - CONTEXT))
+    # A leaf that ends CONTEXT characters before the edit, and before white space that leads up to it, stays as it is.
+    low, begin = tree.leaf_at(max(0, len(text[:start].rstrip()) - CONTEXT))
     if low == tree.count and low:
         low, begin = low - 1, begin - tree.leaves()[-1][0]
     high, border = tree.leaf_at(end)
