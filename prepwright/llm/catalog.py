@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepwright.llm import decontaminate, exact_dedup, language, lines, sentencepieces, sharding, simhash, substrings, token_counts, url_filter
+from prepwright.llm import audit, decontaminate, exact_dedup, language, lines, sentencepieces, sharding, simhash, substrings, token_counts, url_filter
 from prepwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,39 @@ from d""")
 def op10_exact_dedup(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"), digests=True)
 
+@query("op13_filter_audit", r"""
+with words as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+known as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+          from labels group by doc_id),
+f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+             [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by t), false)] as fails
+      from words left join known using (doc_id)),
+c as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, fails),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e
+      where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, step, ascii(filter_order[step]) - 64 as own,
+             list_transform(string_split(filter_order[1:step - 1], ''), lambda x: ascii(x) - 64) as before
+      from o, unnest(range(1, 6)) as t(step)),
+j as (select part, filter_order, step, own, fails[own] as fails_own,
+             step > 1 and len(list_filter(before, lambda x: fails[x])) > 0 as gone,
+             len(list_filter(fails, lambda x: x)) as n_fails, n, good, toxic from c, s),
+r as (select part, filter_order, step, own,
+             coalesce(sum(n) filter (not gone and not fails_own), 0) as kept, coalesce(sum(n) filter (not gone and fails_own), 0) as removed,
+             coalesce(sum(n) filter (gone and fails_own), 0) as redundant, coalesce(sum(n) filter (fails_own and n_fails = 1), 0) as unique_fails,
+             coalesce(sum(good) filter (not gone and fails_own), 0) as good_lost,
+             coalesce(sum(toxic) filter (not gone and fails_own), 0) as toxic_lost
+      from j group by part, filter_order, step, own)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from r""")
+def op13_filter_audit(spark, sf):
+    return audit.audited(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
