@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepwright.llm import audit, decontaminate, exact_dedup, language, lines, sentencepieces, sharding, simhash, substrings, token_counts, url_filter
+from prepwright.llm import alignment, audit, decontaminate, exact_dedup, language, lines, sentencepieces, sharding, simhash, substrings, token_counts, url_filter
 from prepwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,14 @@ select doc_id, max(doc_id) over (partition by text) as keep_id, count(*) over (p
 from d""")
 def op10_exact_dedup(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"), digests=True)
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf):
+    import public_tokenizers
+    rows = alignment.alignments(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                                tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    return alignment.weighed(rows.withColumn("groups_sha256", digest).drop("groups"))
+
 
 @query("op13_filter_audit", r"""
 with words as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
