@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepwright.llm import alignment, audit, decontaminate, exact_dedup, language, lines, sentencepieces, sharding, simhash, substrings, token_counts, url_filter
+from prepwright.llm import alignment, audit, decontaminate, exact_dedup, jaccard, language, lines, sentencepieces, sharding, simhash, substrings, token_counts, url_filter
 from prepwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,27 @@ select doc_id, max(doc_id) over (partition by text) as keep_id, count(*) over (p
 from d""")
 def op10_exact_dedup(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"), digests=True)
+
+
+@query("op11_ngram_jaccard", r"""
+with recursive
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') as w from documents),
+g as materialized (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from g group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+near as materialized (
+  select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+links as materialized (select a, b from near union all select b, a from near),
+reach as (select doc_id, doc_id as r from n union select reach.doc_id, links.b from reach join links on links.a = reach.r)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(r.component_id, w.doc_id) as component_id
+from w left join n using (doc_id) left join (select doc_id, min(r) as component_id from reach group by doc_id) r using (doc_id)""")
+def op11_ngram_jaccard(spark, sf):
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op12_token_alignment")
 def op12_token_alignment(spark, sf):
     import public_tokenizers
