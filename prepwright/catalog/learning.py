@@ -8,10 +8,6 @@ from prepwright.catalog.registry import plain, query, r, rounds, sig, significan
 from prepwright.models import bayes, evaluate, explain, training
 from prepwright.operators import rules, sampling
 
-# Attributions of trees are sampled: so many test rows are explained against so many training rows.
-EXPLAINED = {"n": 50, "background": 20}
-
-
 def _classes(spark, sf):
     """Label quality from the other columns of the labels and the shape of their documents."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -64,8 +60,7 @@ def ml_select_regression(spark, sf):
 
 @query("ml_select_multiclass")
 def ml_select_multiclass(spark, sf):
-    df = plain(table(spark, sf, "customer"), "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    return training.select_model(df, "c_mktsegment", "c_custkey")[0]
+    return training.select_model(table(spark, sf, "customer"), "c_mktsegment", "c_custkey")[0]
 
 
 @query("ml_train_one")
@@ -183,7 +178,7 @@ def top_importance(spark, sf):
     {r("b + a * m")} as base_value from s, f where is_test""")
 def xai_linear(spark, sf):
     _, model, prepared = training.baseline(_line(spark, sf), "p_retailprice", "p_partkey")
-    found = explain.model_contributions(model, prepared.test, prepared.train, prepared.features)
+    found = explain.model_contributions(model, prepared.test, prepared)
     return rounds(found, 6, "contribution", "base_value")
 
 
@@ -200,19 +195,19 @@ def _forest(spark, sf):
 @query("xai_global_trees")
 def xai_global_trees(spark, sf):
     _, model, prepared = _forest(spark, sf)
-    return explain.shapley_importance(model, prepared, **EXPLAINED)
+    return explain.model_importance(model, prepared)
 
 
 @query("xai_local")
 def xai_local(spark, sf):
     _, model, prepared = _forest(spark, sf)
-    return explain.explain_rows(model, prepared, sampling.first_rows(prepared.test, 3, ["key"]), EXPLAINED["background"])
+    return explain.model_contributions(model, prepared.test, prepared)
 
 
 @query("ch_importance")
 def ch_importance(spark, sf):
     _, model, prepared = _forest(spark, sf)
-    return explain.top_importance(explain.shapley_importance(model, prepared, **EXPLAINED), 5)
+    return explain.top_importance(explain.model_importance(model, prepared), 5)
 
 
 # ---- insights about models ----------------------------------------------------------
@@ -237,4 +232,4 @@ def insight_all(spark, sf):
     df = _parts(spark, sf)
     scores, model, prepared = training.train_one(df, "p_retailprice", "p_partkey", "Random Forest")
     spread = prepared.test.agg(F.stddev_samp("label")).first()[0]
-    return rules.all_insights(df, scores, spread, explain.shapley_importance(model, prepared, **EXPLAINED))
+    return rules.all_insights(df, scores, spread, explain.model_importance(model, prepared))

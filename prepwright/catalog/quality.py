@@ -314,6 +314,33 @@ def pipe_auto_prepare_text(spark, sf):
     return flows.auto_prepare(dirty(spark, sf, "part"), ["p_partkey"])[1]
 
 
+def _place(c: str) -> str:
+    return f"""(select count(distinct {c}) from c) as {c}_size,
+      case when {c} is not null then dense_rank() over (order by {c} nulls last) - 1 end as {c}_index"""
+
+
+def _unit(c: str) -> str:
+    return f"""{r(f"({c} - (select avg({c}) from c)) / (select stddev_pop({c}) from c)")} as {c}"""
+
+
+@query("pipe_auto_prepare_engineered", with_dirty_part(f"""{MEMBERS},
+    c as materialized (
+      select distinct p_partkey, coalesce(m.suggested, p_name) as p_name, coalesce(b.suggested, p_brand) as p_brand,
+        try_cast(size_text as double) as size_text, coalesce(x.suggested, mixed_text) as mixed_text,
+        try_strptime(date_text, '%Y-%m-%d') as date_text, p_retailprice
+      from d left join member m on m.grp = 'p_name' and m.value = trim(p_name)
+        left join member b on b.grp = 'p_brand' and b.value = p_brand
+        left join member x on x.grp = 'mixed_text' and x.value = mixed_text)
+    select {", ".join(map(_unit, ("p_partkey", "size_text", "p_retailprice")))},
+      {", ".join(map(_place, ("p_name", "p_brand", "mixed_text")))}, date_text from c"""))
+def pipe_auto_prepare_engineered(spark, sf):
+    """The last stage: values of text columns as places, numbers scaled."""
+    texts = ["p_name", "p_brand", "mixed_text"]
+    out = flows.auto_prepare(dirty(spark, sf, "part"), ["p_partkey"], sparse=texts)[2]
+    out = out.withColumns({f"{c}_{f}": F.col(c)[f] for c in texts for f in ("size", "index")}).drop(*texts)
+    return rounds(out, 6, "p_partkey", "size_text", "p_retailprice")
+
+
 @query("pipe_diagnose", on_diagnosis(f"""
     select 'issue' as part, issue as name, severity as status, {r("value")} as value from issue
     union all select 'health', dimension, status, value from ({_HEALTH})

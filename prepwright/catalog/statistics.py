@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from prepwright.catalog.registry import (
@@ -298,6 +299,41 @@ def enc_onehot_wide(spark, sf):
     return encode.one_hot(df, sparse=["day"]).select("o_orderkey", "day.size", "day.index")
 
 
+@query("enc_onehot_vector", """
+    with cells as (
+      select p_partkey, 0 as ord, 'p_size' as feature, cast(p_size as double) as value, null as level from part
+      union all select p_partkey, 1, 'p_name_' || p_name, 1.0, p_name from part
+      union all select p_partkey, 2, 'p_brand_' || p_brand, 1.0, p_brand from part)
+    select p_partkey, feature, value, (select 1 + count(distinct p_name) + count(distinct p_brand) from part) as size,
+           cast(dense_rank() over (order by ord, level) - 1 as integer) as place from cells""")
+def enc_onehot_vector(spark, sf):
+    """The values of all text columns as ones of a sparse vector, and their names."""
+    df = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    out, names = encode.feature_vector(df, ["p_size"], ["p_name", "p_brand"])
+    cells = out.select("p_partkey", F.posexplode(vector_to_array("features")).alias("place", "value"),
+                       F.size(vector_to_array("features")).cast("long").alias("size")).filter("value <> 0 or place = 0")
+    return cells.join(names, "place").select("p_partkey", "feature", "value", "size", F.col("place").cast("int").alias("place"))
+
+
+_LEVELS = union_all([f"select rid, {i} as o, '{c}' as c, {c} as v from n where {c} is not null"
+                     for i, c in enumerate(("l_returnflag", "l_linestatus", "month"))])
+
+
+@query("feat_level_pairs", on_dirty("lineitem", f"""
+    , n as materialized (select row_number() over () as rid, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m') as month from d),
+    e as materialized ({_LEVELS}),
+    v as (select o, c, v, count(*) as k from e group by all), t as (select count(*)::double as n from d),
+    j as (select a.o as oa, a.v as va, b.o as ob, b.v as vb, count(*) as n from e a join e b using (rid) group by all),
+    p as (select a.c as column_a, a.v as level_a, b.c as column_b, b.v as level_b, coalesce(j.n, 0) as n,
+            (coalesce(j.n, 0) * t.n - a.k::double * b.k) / sqrt(a.k * (t.n - a.k)) / sqrt(b.k * (t.n - b.k)) as corr
+          from v a cross join v b cross join t left join j on j.oa = a.o and j.va = a.v and j.ob = b.o and j.vb = b.v
+          where (a.o < b.o or a.o = b.o and a.v < b.v) and a.k < t.n and b.k < t.n)
+    select column_a, level_a, column_b, level_b, n, {r("corr")} as corr from p where abs(round(corr, 12)) >= 0.6"""))
+def feat_level_pairs(spark, sf):
+    df = dirty(spark, sf, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    return rounds(encode.level_correlations(df, ["l_returnflag", "l_linestatus", "month"], 0.6), 6, "corr")
+
+
 @query("enc_label", on_dirty("customer", """
     , v as (select value, row_number() over (order by first, value) - 1 as code from (
         select c_mktsegment as value, min(c_custkey) as first from d where c_mktsegment is not null group by c_mktsegment))

@@ -27,6 +27,19 @@ def src_csv(spark, sf):
     return readers.read_csv(spark, path)
 
 
+_BREAKS = """
+    select p_partkey, cast(p_size as bigint) as p_size, case when p_partkey % 3 = 0 then translate(p_name, ' ', '{n}')
+      when p_partkey % 3 = 1 then concat('"', p_name, '", {n}{n}said') else p_name end as p_name from {part}"""
+
+
+@query("src_csv_breaks", _BREAKS.replace("{n}", "\n").format(part="part"))
+def src_csv_breaks(spark, sf):
+    """Names with line breaks and quotes, written and read again."""
+    path = f"{scratch_path(spark, 'breaks')}.csv"
+    writers.write_csv(spark.sql(_BREAKS.replace("{n}", "\n"), part=table(spark, sf, "part")), path)
+    return readers.load(spark, path)
+
+
 @query("src_parquet", "select * from orders")
 def src_parquet(spark, sf):
     return readers.read_parquet(spark, f"{sf}/orders.parquet")
@@ -231,8 +244,8 @@ def flt_outlier_iqr_rows(spark, sf):
 
 
 @query("flt_outlier_zscore_rows", on_dirty("lineitem", """
-    , s as (select avg(l_extendedprice) as m, stddev_pop(l_extendedprice) as sd from d)
-    select d.* from d, s where abs((l_extendedprice - m) / sd) > 3"""))
+    select * from d where abs((l_extendedprice - (select avg(l_extendedprice) from d))
+                              / (select stddev_pop(l_extendedprice) from d)) > 3"""))
 def flt_outlier_zscore_rows(spark, sf):
     return columns.zscore_outlier_rows(dirty(spark, sf, "lineitem"), "l_extendedprice")
 
@@ -311,6 +324,21 @@ def imp_adaptive(spark, sf):
     return rounds(flows.adaptive_clean(dirty(spark, sf, "lineitem")), 6, "l_quantity", "l_discount")
 
 
+_NESTED = """select c_custkey, case when c_custkey % 3 = 0 then null else c_acctbal end as c_acctbal,
+    case when c_custkey % 4 = 0 then null else c_mktsegment end as c_mktsegment,
+    case when c_custkey % 5 = 0 then null else [array] end as pair from {customer}"""
+
+
+@query("imp_adaptive_nested", f"""
+    with d as ({_NESTED.replace("[array]", "c_mktsegment || '|' || c_name").format(customer="customer")})
+    select c_custkey, {r("coalesce(c_acctbal, (select quantile_cont(c_acctbal, 0.5) from d))")} as c_acctbal,
+           coalesce(c_mktsegment, {_MODE.format(c="c_mktsegment")}) as c_mktsegment, pair from d""")
+def imp_adaptive_nested(spark, sf):
+    df = spark.sql(_NESTED.replace("[array]", "array(c_mktsegment, c_name)"), customer=table(spark, sf, "customer"))
+    filled = rounds(impute.impute_adaptive(df), 6, "c_acctbal")
+    return filled.withColumn("pair", F.array_join("pair", "|"))
+
+
 # ---- deduplication ------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ def lit(value: float | None) -> str:
     if value is None:
         return "cast(null as double)"
     value = float(value)
-    return f"double('{value}')" if value in (float("inf"), float("-inf")) else f"{value!r}D"
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
 
 
 def text_lit(value: str) -> str:
@@ -66,6 +68,12 @@ def comparable(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in maps]
 
 
+def flat(df: DataFrame) -> list[str]:
+    """Columns of single values: all but arrays, structs, maps and variants."""
+    nested = set(_pick(df.schema, T.ArrayType, T.StructType, T.MapType, T.VariantType))
+    return [c for c in df.columns if c not in nested]
+
+
 def require(df: DataFrame, *names: str) -> None:
     for name in names:
         if name not in df.columns:

@@ -28,9 +28,9 @@ MAX_ITERATIONS = 300
 TOLERANCE = 1e-3
 
 
-def sufficient_statistics(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+def sufficient_statistics(df: DataFrame, features: str = "features") -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, centred cross-product matrix) of the features with the label appended."""
-    joint = VectorAssembler(inputCols=["features", "label"], outputCol="_xy").transform(df.select("features", "label"))
+    joint = VectorAssembler(inputCols=[features, "label"], outputCol="_xy").transform(df.select(features, "label"))
     row = joint.select(Summarizer.metrics("count", "mean", "std").summary(F.col("_xy")).alias("s")).first()["s"]
     mean, sd = row["mean"].toArray(), row["std"].toArray()
     corr = np.nan_to_num(Correlation.corr(joint, "_xy").first()[0].toArray())
@@ -65,6 +65,7 @@ class BayesianRidgeModel:
     noise: float
     covariance: np.ndarray
     centre: np.ndarray
+    features_col: str = "features"
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction``, ``uncertainty`` and the 95 % bounds."""
@@ -77,7 +78,7 @@ class BayesianRidgeModel:
 
         schema = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType())])
         udf = F.pandas_udf(predict, schema)
-        out = df.withColumn("_p", udf(vector_to_array("features")))
+        out = df.withColumn("_p", udf(vector_to_array(self.features_col)))
         return out.withColumns({
             "prediction": F.col("_p.mean"), "uncertainty": F.col("_p.sd"),
             "lower_95": F.col("_p.mean") - 1.96 * F.col("_p.sd"),
@@ -85,13 +86,16 @@ class BayesianRidgeModel:
 
 
 class BayesianRidge:
-    """Estimator with the ``fit``/``transform`` shape of Spark ML, on ``features`` and ``label``."""
+    """Estimator with the ``fit``/``transform`` shape of Spark ML, on a vector column and ``label``."""
+
+    def __init__(self, features_col: str = "features"):
+        self.features_col = features_col
 
     def fit(self, df: DataFrame) -> BayesianRidgeModel:
-        n, mean, cross = sufficient_statistics(df)
+        n, mean, cross = sufficient_statistics(df, self.features_col)
         xtx, xty, yty = cross[:-1, :-1], cross[:-1, -1], cross[-1, -1]
         w, noise, cov = maximise_evidence(n, xtx, xty, yty)
-        return BayesianRidgeModel(w, float(mean[-1] - mean[:-1] @ w), float(noise), cov, mean[:-1])
+        return BayesianRidgeModel(w, float(mean[-1] - mean[:-1] @ w), float(noise), cov, mean[:-1], self.features_col)
 
 
 def prediction_interval(train: DataFrame, test: DataFrame) -> DataFrame:

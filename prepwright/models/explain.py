@@ -1,18 +1,25 @@
-"""Feature attributions: exact for linear models, sampled Shapley values for others."""
+"""Feature attributions, exact for linear models and for trees."""
 
 from __future__ import annotations
 
-import random
+import sys
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepwright import kinds
 from prepwright.kinds import as_double, col
+from prepwright.models import trees
+from prepwright.session import is_broadcastable
 
-PERMUTATIONS = 4
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def linear_contributions(df: DataFrame, coefficients: dict[str, float]) -> DataFrame:
@@ -31,97 +38,87 @@ def linear_importance(df: DataFrame, coefficients: dict[str, float]) -> DataFram
                                for i, c in enumerate(coefficients)]).orderBy(F.desc("importance"), "feature")
 
 
-def model_contributions(model, rows: DataFrame, train: DataFrame, names: list[str]) -> DataFrame:
-    """(key, class, feature, contribution, base_value) of a trained linear model, exactly.
+def model_contributions(model, rows: DataFrame, prepared) -> DataFrame:
+    """(key, class, feature, contribution, base_value) of a trained model for every row of ``rows``, exactly.
 
-    A contribution is coefficient * (x - mean of x in training), in units of the prediction for a
-    regression and of the margin for a classifier, which has a row per class (one if there are two).
+    For a linear model a contribution is coefficient * (x - mean of x in training), in units of the prediction
+    for a regression and of the margin for a classifier. For trees it is the Shapley value in units of the
+    prediction, of a forest's probability, or of a boosted classifier's margin; what is left out of a row follows
+    the training rows through each tree. There is a row per class, one if there are two. Contributions and base
+    value of a row add up to its output; features without any part in a model have no row.
     """
+    if trees.has_trees(model):
+        found, names = trees.shapley_values(model, rows), prepared.tree_names()
+    else:
+        found, names = _linear_contributions(model, rows, prepared.train), prepared.names
+    return found.join(F.broadcast(names) if is_broadcastable(names) else names, "place").select(
+        "key", "class", "feature", "contribution", "base_value")
+
+
+def _coefficients(model, train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients (class, place), the means of training and the outputs at them, as large as the model itself."""
     matrix = model.coefficientMatrix.toArray() if hasattr(model, "coefficientMatrix") else model.coefficients.toArray()[None, :]
-    starts = model.interceptVector.toArray() if hasattr(model, "interceptVector") else [model.intercept]
+    starts = model.interceptVector.toArray() if hasattr(model, "interceptVector") else np.array([model.intercept])
     means = train.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
-    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    # As many numbers as the model has itself.
-    classes = F.array(*[F.struct(F.lit(i).alias("class"), doubles(w).alias("w"), F.lit(float(b + w @ means)).alias("base_value"))
-                        for i, (w, b) in enumerate(zip(matrix, starts))])
-    cells = rows.select("key", vector_to_array("features").alias("x"), F.explode(classes).alias("c"))
-    parts = F.transform(F.arrays_zip("x", F.col("c.w").alias("w"), doubles(means).alias("m")), lambda z: z["w"] * (z["x"] - z["m"]))
-    return cells.select("key", "c.class", "c.base_value", F.posexplode(parts).alias("i", "contribution")).select(
-        "key", "class", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1).alias("feature"), "contribution", "base_value")
+    return matrix, means, starts + matrix @ means
+
+
+def _linear_contributions(model, rows: DataFrame, train: DataFrame) -> DataFrame:
+    """(key, class, place, contribution, base_value), a row for every feature with a coefficient."""
+    matrix, means, base = _coefficients(model, train)
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((matrix, means, base))
+    cells = rows.select("key", F.explode(F.array(*[F.lit(i) for i in range(len(matrix))])).alias("class"), vector_to_array("features").alias("x"))
+
+    def run(batches):
+        matrix, means, base = sent.value
+        used = [np.flatnonzero(w) for w in matrix]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k = batch.column("class")[i].as_py()
+                at = used[k]
+                x = batch.column("x")[i].values.to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(np.full(len(at), i))), pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)),
+                     pa.array(matrix[k, at] * (x[at] - means[at])), pa.array(np.full(len(at), base[k]))],
+                    names=["key", "class", "place", "contribution", "base_value"])
+    kind = rows.schema["key"].dataType.simpleString()
+    return cells.mapInArrow(run, f"key {kind}, class int, place int, contribution double, base_value double")
+
+
+def _linear_importance(model, prepared) -> DataFrame:
+    """(place, importance): mean absolute contribution over the test rows and the classes.
+
+    Places behind the numbers hold zeros and ones, whose mean distance from a mean follows from their shares alone.
+    """
+    matrix, means, _ = _coefficients(model, prepared.train)
+    spread = np.zeros(len(means))
+    shares = prepared.test.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+    spread[:] = shares * (1 - means) + (1 - shares) * means
+    if prepared.n_numbers:
+        numbers = VectorSlicer(inputCol="features", outputCol="_x", indices=list(range(prepared.n_numbers))).transform(prepared.test)
+        row = numbers.select(vector_to_array("_x").alias("x")).agg(*[F.avg(F.abs(F.col("x")[i] - F.lit(float(means[i])))) for i in range(prepared.n_numbers)])
+        spread[:prepared.n_numbers] = row.first()
+    found = pd.DataFrame({"place": np.arange(len(means)), "importance": np.abs(matrix).mean(axis=0) * spread})
+    return prepared.test.sparkSession.createDataFrame(found)
 
 
 def model_importance(model, prepared) -> DataFrame:
-    """(feature, importance) of a trained linear model: mean absolute contribution over rows and classes of the test part."""
-    return model_contributions(model, prepared.test, prepared.train, prepared.features).groupBy("feature").agg(
-        F.avg(F.abs("contribution")).alias("importance")).orderBy(F.desc("importance"), "feature")
-
-
-def _take(df: DataFrame, n: int | None, seed: int) -> DataFrame:
-    """A repeatable sample of n rows, or all rows."""
-    return df if n is None else df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("key").cast("string"))), "key").limit(n)
-
+    """(feature, importance): mean absolute contribution over all rows of the test part and all classes, largest first.
 
-def _output(model, df: DataFrame) -> Column:
-    """Model output to explain: the prediction, or the probability of the last class."""
-    if "probability" in model.transform(df.limit(0)).columns:
-        return F.element_at(vector_to_array("probability"), -1)
-    return F.col("prediction")
-
-
-def shapley_values(model, rows: DataFrame, background: DataFrame, names: list[str],
-                   permutations: int = PERMUTATIONS, seed: int = 42) -> DataFrame:
-    """(key, feature, contribution, base_value) by permutation sampling.
-
-    Every row is morphed into every background row, one feature at a time in a seeded
-    order; a feature earns the change of the output at its step. The background and the
-    orders are bounded parameters carried as literals, so the job is one row-wise explode,
-    one model pass and one aggregate.
+    Features without any part in the model have importance 0.
     """
-    d = len(names)
-    shown = [list(map(float, r[0])) for r in background.select(vector_to_array("features")).collect()]
-    draw = random.Random(seed)
-    orders = [draw.sample(range(1, d + 1), d) for _ in range(permutations)]
-    doubles = lambda xs: F.array(*[F.lit(x) for x in xs])
-    x = F.col("x")
-    base = rows.select("key", vector_to_array("features").alias("x"))
-    base = base.select("key", "x", F.explode(F.array(*[doubles(b) for b in shown])).alias("b"))
-    base = base.select("key", "x", "b", F.explode(F.array(*[doubles(o) for o in orders])).alias("o"))
-    steps = base.select("key", "x", "b", "o", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("step"))
-    # Features placed up to this step come from the row, the others from the background.
-    mixed = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda i: F.when(
-        F.array_position("o", i) <= F.col("step"), F.element_at(x, i)).otherwise(F.element_at("b", i)))
-    ready = steps.select("key", "o", "step", array_to_vector(mixed).alias("features"))
-    scored = model.transform(ready).select("key", "o", "step", _output(model, ready).alias("out"))
-    gained = F.when(F.col("step") > 0, F.struct(F.element_at("o", F.greatest("step", F.lit(1))).alias("f"),
-                                               F.col("out").alias("v")))
-    lost = F.when(F.col("step") < d, F.struct(F.element_at("o", F.least(F.col("step") + 1, F.lit(d))).alias("f"),
-                                             (-F.col("out")).alias("v")))
-    origin = F.when(F.col("step") == 0, F.struct(F.lit(0).alias("f"), F.col("out").alias("v")))
-    parts = scored.select("key", F.inline(F.array_compact(F.array(gained, lost, origin))))
-    sums = parts.groupBy("key", "f").agg((F.sum("v") / F.lit(len(shown) * permutations)).alias("v"))
-    labels = F.array(*[F.lit(n) for n in names])
-    bases = sums.where("f = 0").select("key", F.col("v").alias("base_value"))
-    return sums.where("f > 0").join(bases, "key").select(
-        "key", F.element_at(labels, F.col("f")).alias("feature"), F.col("v").alias("contribution"), "base_value")
-
-
-def shapley_importance(model, prepared, n: int | None = None, background: int | None = None, **options) -> DataFrame:
-    """(feature, importance): mean absolute contribution over the test rows, or ``n`` of them.
-
-    The background is the training rows, or as many of them as named. The work is the product of
-    the two, and the background reaches the driver: name both for large tables.
-    """
-    values = shapley_values(model, _take(prepared.test, n, 42), _take(prepared.train, background, 7),
-                            prepared.features, **options)
-    return values.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance")).orderBy(
+    if trees.has_trees(model):
+        names = prepared.tree_names()
+        # Rows without a part in a class count there as well.
+        cells = float(max(prepared.test.count() * trees.outputs(model), 1))
+        found = trees.shapley_values(model, prepared.test).groupBy("place").agg((F.sum(F.abs("contribution")) / cells).alias("importance"))
+    else:
+        names, found = prepared.names, _linear_importance(model, prepared)
+    return names.join(found, "place", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance")).orderBy(
         F.desc("importance"), "feature")
 
 
-def explain_rows(model, prepared, rows: DataFrame, background: int | None = None, **options) -> DataFrame:
-    """Base value and contributions of chosen rows against the training rows, or as many as named."""
-    return shapley_values(model, rows, _take(prepared.train, background, 7), prepared.features, **options)
-
-
 def top_importance(importance: DataFrame, k: int = 10) -> DataFrame:
     """The k most important features, least important first."""
     return importance.orderBy(F.desc("importance"), "feature").limit(k).orderBy("importance", F.desc("feature"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,34 +15,85 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepwright import kinds
-from prepwright.kinds import col
-from prepwright.models import bayes
+from prepwright.kinds import as_double, col
+from prepwright.models import bayes, softmax
 from prepwright.models.evaluate import accuracy, errors, r2
+from prepwright.operators import encode
 from prepwright.operators.profile import epoch_seconds
 from prepwright.operators.quality import infer_task
 from prepwright.operators.sampling import random_split, stratified_split
-from prepwright.session import cut_lineage
+from prepwright.session import attach, cut_lineage
 
 MIN_ROWS = 5
 SCORE_SCHEMA = "model string, metric string, train_score double, test_score double"
 
 
+# Parts of the training rows; a row's label mean of its text value comes from the other parts.
+FOLDS = 5
+
+
 @dataclass
 class Prepared:
-    """Train and test rows with ``features``, ``label`` and the names behind them."""
+    """Train and test rows: key, ``features``, ``label`` and, if a text column has very many values, ``tree_features``.
+
+    ``names`` (place, feature) names the places of ``features``, the first ``n_numbers`` of which are numbers and the
+    others ones of text values; ``labels`` (place, level) names the classes. Both are stored tables.
+    """
 
     task: str
     n_classes: int
     train: DataFrame
     test: DataFrame
-    features: list[str]
-    labels: list[str]
+    names: DataFrame
+    n_numbers: int
+    labels: DataFrame | None
+    tree_list: list[str] | None = None
+
+    @property
+    def tree_column(self) -> str:
+        return "features" if self.tree_list is None else "tree_features"
 
+    def tree_names(self) -> DataFrame:
+        """(place, feature) of what trees are trained on."""
+        if self.tree_list is None:
+            return self.names
+        return self.names.sparkSession.createDataFrame(list(enumerate(self.tree_list)), "place long, feature string")
 
-def prepare(df: DataFrame, target: str, key: str, share: float = 0.2, seed: int = 42) -> Prepared:
+
+def _with_label_means(rows: DataFrame, wide: list[str], n_classes: int) -> tuple[DataFrame, list[str]]:
+    """Add a number per wide text column, or one per class if there are more than two: the mean label of its value.
+
+    A training row's mean is taken from the other FOLDS - 1 parts of the training rows, so a value that only it has
+    tells nothing of its label; one more row with the overall mean counts in, and is all there is for values that
+    are missing or unknown.
+    """
+    targets = [f"cast(label = {k} as double)" for k in range(n_classes)] if n_classes > 2 else ["label"]
+    fold = F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int")
+    train = rows.where(~F.col("is_test")).withColumn("_fold", fold)
+    prior = train.selectExpr(*[f"avg({t}) as p{k}" for k, t in enumerate(targets)]).first()
+    names = []
+    rows = rows.withColumn("_fold", F.when(~F.col("is_test"), fold))
+    for i, c in enumerate(wide):
+        found = train.where(col(c).isNotNull()).groupBy(col(c)).agg(
+            F.array(*[F.count_if(F.col("_fold") == f) for f in range(FOLDS)]).alias("_n"),
+            *[F.array(*[F.expr(f"sum(if(_fold = {f}, {t}, 0D))") for f in range(FOLDS)]).alias(f"_s{k}") for k, t in enumerate(targets)])
+        columns = rows.columns
+        rows = attach(rows, found, [c])
+        outside = lambda a: f"aggregate({a}, 0D, (x, y) -> x + y) - if(_fold is null, 0, {a}[_fold])"
+        rows = rows.select(*map(col, columns), *[
+            F.expr(f"coalesce(({outside(f'_s{k}')} + {kinds.lit(prior[k])}) / ({outside('_n')} + 1), {kinds.lit(prior[k])})").alias(f"_mean{i}_{k}")
+            for k in range(len(targets))])
+        names += [(f"_mean{i}_{k}", c if len(targets) == 1 else f"{c}={k}") for k in range(len(targets))]
+    made = [m for m, _ in names]
+    return rows.withColumn("_means", array_to_vector(F.array(*made))).drop("_fold", *made), [n for _, n in names]
+
+
+def prepare(df: DataFrame, target: str, key: str, share: float = 0.2, seed: int = 42, wide: int = encode.WIDE) -> Prepared:
     """Drop incomplete rows, split, one-hot encode and assemble.
 
-    ``key`` is a unique column that decides the split; it is not a feature.
+    ``key`` is a unique column that decides the split; it is not a feature. Text values become ones of a sparse
+    vector, whose names are a table. Trees get a text column with more than ``wide`` values as one number instead,
+    the mean label of its value by other training rows (one number per class if there are more than two).
     """
     kinds.require(df, target, key)
     df = kinds.nan_to_null(df).na.drop()
@@ -54,43 +106,66 @@ def prepare(df: DataFrame, target: str, key: str, share: float = 0.2, seed: int
     inputs = [c for c in df.columns if c not in (target, key)]
     words = [c for c in kinds.text(df) if c in inputs]
     nums = [f.name for f in df.schema if f.name in inputs and isinstance(f.dataType, (T.NumericType, T.BooleanType))]
-    # The dropped last slot is the one kept for unseen values, so every real level has a column.
-    stages = [StringIndexer(inputCols=words, outputCols=[f"{c}__i" for c in words], handleInvalid="keep",
-                            stringOrderType="alphabetAsc"),
-              OneHotEncoder(inputCols=[f"{c}__i" for c in words], outputCols=[f"{c}__v" for c in words],
-                            dropLast=True)] if words else []
-    stages.append(VectorAssembler(inputCols=nums + [f"{c}__v" for c in words], outputCol="features"))
-    model: PipelineModel = Pipeline(stages=stages).fit(split)
-    names = nums + ([f"{c}_{v}" for c, levels in zip(words, model.stages[0].labelsArray) for v in levels] if words else [])
-    ready = model.transform(split)
-    labels: list[str] = []
+    labels, n_classes = None, 0
     if task == "classification":
-        indexer = StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc").fit(
-            ready.withColumn("_target", col(target).cast("string")))
-        labels = list(indexer.labels)
-        ready = indexer.transform(ready.withColumn("_target", col(target).cast("string")))
-    else:
-        ready = ready.withColumn("label", col(target).cast("double"))
-    ready = cut_lineage(ready.select(col(key).alias("key"), "features", "label", "is_test"))
-    return Prepared(task, len(labels), ready.where(~F.col("is_test")), ready.where("is_test"), names, labels)
+        split = split.withColumn(target, col(target).cast("string"))
+        labels = encode.dictionary(split, [target]).select("place", "level")
+        n_classes = labels.count()
+        known = labels.select(F.col("level").alias(target), F.col("place").cast("double").alias("_label"))
+        split = attach(split, known, [target]).withColumn(target, F.col("_label")).drop("_label")
+    # Names of the table may clash with those of the result, so they get numbers.
+    renamed = split.select(col(key).alias("key"), col(target).cast("double").alias("label"), "is_test",
+                           *[as_double(c).alias(f"n{i}") for i, c in enumerate(nums)], *[col(c).alias(f"w{i}") for i, c in enumerate(words)])
+    own = {f"n{i}": c for i, c in enumerate(nums)} | {f"w{i}": c for i, c in enumerate(words)}
+    numbers, texts = [c for c in own if c[0] == "n"], [c for c in own if c[0] == "w"]
+    ready, names = encode.feature_vector(renamed, numbers, texts)
+    names = cut_lineage(names.withColumn("_c", F.regexp_extract("feature", "^[nw][0-9]+", 0)).select(
+        "place", F.concat(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("_c")],
+                          F.expr("substr(feature, length(_c) + 1)")).alias("feature")) if own else names)
+    sizes = encode.count_levels(ready, texts)
+    large = [c for c in texts if sizes[c] > wide]
+    kept = ["key", "features", "label", "is_test"]
+    tree_list = None
+    if large:
+        starts, at = {}, len(nums)
+        for c in texts:
+            starts[c], at = at, at + sizes[c]
+        small = [*range(len(nums)), *[i for c in texts if c not in large for i in range(starts[c], starts[c] + sizes[c])]]
+        # At most the numbers and ``wide`` names of each column.
+        listed = {r["place"]: r["feature"] for r in names.where(F.col("place") < len(nums)).unionByName(
+            reduce(DataFrame.unionByName, [names.where((F.col("place") >= starts[c]) & (F.col("place") < starts[c] + sizes[c]))
+                                           for c in texts if c not in large], names.limit(0))).collect()}
+        ready, means = _with_label_means(ready, large, n_classes)
+        if small:
+            ready = VectorSlicer(inputCol="features", outputCol="_small", indices=small).transform(ready)
+        ready = VectorAssembler(inputCols=["_small", "_means"] if small else ["_means"], outputCol="tree_features").transform(ready)
+        tree_list = [listed[i] for i in small] + [own[m.split("=")[0]] + m[len(m.split("=")[0]):] for m in means]
+        kept.append("tree_features")
+    ready = cut_lineage(ready.select(*kept))
+    if n_classes:
+        ready = ready.withColumn("label", F.col("label").alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": n_classes}}))
+    return Prepared(task, n_classes, ready.where(~F.col("is_test")), ready.where("is_test"), names, len(nums), labels, tree_list)
 
 
 def candidates(prepared: Prepared, n_train: int, trees: int = 100, depth: int = 10, boosts: int = 100,
                seed: int = 42) -> dict:
     """Estimator per model name, best-known first."""
+    shape = {"featuresCol": prepared.tree_column, "seed": seed}
     if prepared.task == "classification":
-        boost = GBTClassifier(maxIter=boosts, stepSize=0.1, maxDepth=3, seed=seed)
+        boost = GBTClassifier(maxIter=boosts, stepSize=0.1, maxDepth=3, **shape)
         return {
             "Logistic Regression": LogisticRegression(maxIter=1000, regParam=1.0 / max(n_train, 1), standardization=False),
-            "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed),
-            # Boosted classifiers are binary in Spark ML; more classes are trained one against the rest.
-            "Gradient Boosting": boost if prepared.n_classes <= 2 else OneVsRest(classifier=boost, parallelism=4),
+            "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, **shape),
+            # Boosted classifiers are binary in Spark ML.
+            "Gradient Boosting": boost if prepared.n_classes <= 2 else
+            softmax.SoftmaxBoosting(prepared.n_classes, boosts, features_col=prepared.tree_column),
         }
     return {
-        "Linear Regression": LinearRegression(solver="normal"),
-        "Random Forest": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed),
-        "Gradient Boosting": GBTRegressor(maxIter=boosts, stepSize=0.1, maxDepth=3, seed=seed),
-        "Bayesian Ridge": bayes.BayesianRidge(),
+        # Beyond 4,096 features the normal equations give way to iteration.
+        "Linear Regression": LinearRegression(solver="auto"),
+        "Random Forest": RandomForestRegressor(numTrees=trees, maxDepth=depth, **shape),
+        "Gradient Boosting": GBTRegressor(maxIter=boosts, stepSize=0.1, maxDepth=3, **shape),
+        "Bayesian Ridge": bayes.BayesianRidge(prepared.tree_column),
     }
 
 
@@ -155,9 +230,9 @@ def baseline(df: DataFrame, target: str, key: str):
 
 def predictions(model, prepared: Prepared) -> DataFrame:
     """(key, actual, predicted) on the test rows, class names restored."""
-    out = model.transform(prepared.test)
-    if prepared.labels:
-        names = F.array(*[F.lit(v) for v in prepared.labels])
-        pick = lambda c: F.element_at(names, F.col(c).cast("int") + 1)
-        return out.select("key", pick("label").alias("actual"), pick("prediction").alias("predicted"))
-    return out.select("key", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
+    out = model.transform(prepared.test).select("key", "label", "prediction")
+    if prepared.labels is None:
+        return out.select("key", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
+    for place, name in (("label", "actual"), ("prediction", "predicted")):
+        out = attach(out, prepared.labels.select(F.col("place").cast("double").alias(place), F.col("level").alias(name)), [place])
+    return out.select("key", "actual", "predicted")

@@ -2,35 +2,135 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prepwright import kinds
 from prepwright.kinds import as_double, col, num
-from prepwright.session import attach, cut_lineage
+from prepwright.session import attach, cut_lineage, scratch_path
+
+
+# A text column with more values than this stays one column.
+WIDE = 1_000
+
+
+def _level_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(ord, column, level) of every present value of the columns; ``ord`` is the column's position."""
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("column"), col(c).alias("level"))
+                                         for i, c in enumerate(columns)])))
+    return cells.where("level is not null")
+
+
+def count_levels(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Distinct values per column, counted in Spark: one number per column reaches the driver."""
+    if not columns:
+        return {}
+    found = _level_cells(df, columns).distinct().groupBy("column").agg(F.count("*").alias("n")).collect()
+    return {c: 0 for c in columns} | {r["column"]: r["n"] for r in found}
+
+
+def dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, level, place): all distinct values of the columns, numbered from 0 column by column in sorted order.
+
+    The table is stored and stays distributed, whatever the number of values.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, level string, place long")
+    found = _level_cells(df, columns).distinct().withColumn("_o", F.struct("ord", "level"))
+    places = _numbered(found.withColumn("_v", F.struct("column", "level")), "_o", "_v")
+    return cut_lineage(places.select("_v.column", "_v.level", F.col("_code").alias("place")))
+
+
+def attach_places(df: DataFrame, columns: list[str], levels: DataFrame, prefix: str = "_at") -> DataFrame:
+    """Add ``{prefix}{i}``, the place of each column's value in a dictionary; missing and unknown values have none."""
+    for i, c in enumerate(columns):
+        places = levels.where(F.col("column") == c).select(F.col("level").alias(c), F.col("place").alias(f"{prefix}{i}"))
+        df = attach(df, places, [c]).select(*map(col, df.columns), F.col(f"{prefix}{i}"))
+    return df
+
+
+def feature_vector(df: DataFrame, nums: list[str], words: list[str], output: str = "features") -> tuple[DataFrame, DataFrame]:
+    """Add a sparse vector of the numeric columns and of a one per text value; also (place, feature), its names.
+
+    Numbers come first, then the values of each text column in sorted order; a missing value has no one. The
+    vector is written in the stored form of Spark ML's sparse vectors and read back as one, so neither
+    values nor names pass the driver. ``df`` must be storable.
+    """
+    kinds.require(df, *nums, *words)
+    levels = dictionary(df, words)
+    size = len(nums) + levels.count()
+    if size >= 1 << 31:
+        raise ValueError(f"{size} features are more than a vector can hold")
+    placed = attach_places(df, words, levels)
+    ones = [F.col(f"_at{i}").cast("int") + len(nums) for i in range(len(words))]
+    there = F.array_compact(F.array(*ones)) if words else F.array().cast("array<int>")
+    indices = F.concat(F.array(*[F.lit(i) for i in range(len(nums))]).cast("array<int>"), there)
+    values = F.concat(F.array(*[as_double(c) for c in nums]).cast("array<double>"), F.transform(there, lambda _: F.lit(1.0)))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values"))
+    rows = placed.select(*map(col, df.columns), vector.alias(output))
+    path = scratch_path(df.sparkSession, "vectors")
+    rows.write.parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField(output, VectorUDT())])
+    names = levels.select((F.col("place") + len(nums)).alias("place"), F.concat_ws("_", "column", "level").alias("feature"))
+    if nums:
+        names = df.sparkSession.createDataFrame(list(enumerate(nums)), "place long, feature string").unionByName(names)
+    return df.sparkSession.read.schema(schema).parquet(path), names
+
+
+def level_correlations(df: DataFrame, columns: list[str], threshold: float = 0.9) -> DataFrame:
+    """(column_a, level_a, column_b, level_b, n, corr): pairs of one-hot columns with abs(corr) at or above ``threshold``.
+
+    ``n`` counts rows with both values. All follows from one table of how often values occur together. Two values
+    that never do are as strongly correlated only if both are frequent, so of those only values of a quarter of the
+    rows or more are paired (four a column at most); ``threshold`` must be 0.5 or more for that.
+    """
+    kinds.require(df, *columns)
+    if not 0.5 <= threshold <= 1:
+        raise ValueError("the threshold must lie between 0.5 and 1")
+    values = F.array_compact(F.array(*[F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("ord"), F.lit(c).alias("column"), col(c).alias("level")))
+                                       for i, c in enumerate(columns)]))
+    pairs = F.flatten(F.transform(values, lambda x: F.transform(
+        F.filter(values, lambda y: y["ord"] >= x["ord"]), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    together = cut_lineage(df.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+    single = cut_lineage(together.where("a = b").select(F.col("a").alias("v"), F.col("n").alias("of")))
+    rows = df.count()
+    often = single.where(F.col("of") >= rows / 4)
+    apart = often.select(F.col("v").alias("a")).join(F.broadcast(often.select(F.col("v").alias("b"))), F.col("a") < F.col("b"))
+    found = together.where("a <> b").unionByName(apart.withColumn("n", F.lit(0).cast("long"))).groupBy("a", "b").agg(F.max("n").alias("n"))
+    for side in ("a", "b"):
+        found = found.join(single.select(F.col("v").alias(side), F.col("of").alias(f"n_{side}")), side)
+    spread = lambda c: F.col(c).cast("double") * (F.lit(rows) - F.col(c))
+    corr = (F.col("n").cast("double") * rows - F.col("n_a").cast("double") * F.col("n_b")) / F.sqrt(spread("n_a")) / F.sqrt(spread("n_b"))
+    found = found.where((F.col("n_a") < rows) & (F.col("n_b") < rows)).withColumn("corr", corr)
+    return found.where(F.abs(F.round("corr", 12)) >= threshold).select(
+        F.col("a.column").alias("column_a"), F.col("a.level").alias("level_a"), F.col("b.column").alias("column_b"),
+        F.col("b.level").alias("level_b"), "n", "corr")
+
 
 def fit_levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     """Sorted distinct values per column, for a table that gets a column of each."""
     levels: dict[str, list[str]] = {c: [] for c in columns}
     if not columns:
         return levels
-    cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns])))
-    for r in cells.where("value is not null").distinct().collect():
-        levels[r["column"]].append(r["value"])
+    for r in _level_cells(df, columns).select("column", "level").distinct().collect():
+        levels[r["column"]].append(r["level"])
     return {c: sorted(values) for c, values in levels.items()}
 
 
-def one_hot(df: DataFrame, columns: list[str] | None = None, sparse: list[str] | None = None) -> DataFrame:
+def one_hot(df: DataFrame, columns: list[str] | None = None, sparse: list[str] | None = None, wide: int = WIDE) -> DataFrame:
     """Boolean column per value of every text column; a missing value is false everywhere.
 
-    The ``sparse`` ones among them stay one column instead, whatever the number of values: a
-    struct of ``size``, the number of distinct values, and ``index``, the place of the row's
-    value among the sorted values, or NULL if it is missing. No value list reaches the driver.
+    Columns with more than ``wide`` values, and those named in ``sparse``, stay one column instead: a
+    struct of ``size``, the number of distinct values, and ``index``, the place of the row's value among
+    the sorted values, or NULL if it is missing. Values are counted first, so the driver never holds
+    more than ``wide`` of a column.
     """
     columns = kinds.text(df) if columns is None else columns
-    sparse = [c for c in columns if c in (sparse or [])]
+    sizes = count_levels(df, [c for c in columns if c not in (sparse or [])])
+    sparse = [c for c in columns if c in (sparse or []) or sizes[c] > wide]
     levels = fit_levels(df, [c for c in columns if c not in sparse])
     kept = [col(c) for c in df.columns if c not in levels]
     out = df.select(*kept, *[col(c).eqNullSafe(F.lit(v)).alias(f"{c}_{v}") for c in levels for v in levels[c]])

@@ -47,7 +47,7 @@ def impute(df: DataFrame, how: str, columns: list[str] | None = None, text: str
     """Fill missing values by mean, median or mode, or drop incomplete rows.
 
     ``text="mode"`` fills non-numeric columns by their most frequent value under mean and
-    median; ``text="skip"`` leaves them missing.
+    median; ``text="skip"`` leaves them missing. Gaps in arrays, structs and maps stay.
     """
     df = kinds.nan_to_null(df)
     if how == "none":
@@ -56,7 +56,7 @@ def impute(df: DataFrame, how: str, columns: list[str] | None = None, text: str
         return df.na.drop("any", subset=columns)
     if how not in ("mean", "median", "mode"):
         raise ValueError(f"gaps are not filled by {how!r}")
-    chosen = [c for c in (kinds.comparable(df) if columns is None else columns) if c in df.columns]
+    chosen = [c for c in (kinds.flat(df) if columns is None else columns) if c in kinds.flat(df)]
     if how != "mode" and text == "skip":
         chosen = [c for c in chosen if c in set(kinds.numeric(df))]
     return apply_fill(df, fit_fill(df, {c: how for c in chosen})) if chosen else df
@@ -68,15 +68,15 @@ def impute_custom(df: DataFrame, value) -> DataFrame:
 
 
 def impute_per_column(df: DataFrame, actions: dict[str, str]) -> DataFrame:
-    """Per-column action: None, Mean, Median, Mode or Drop; all fits share their scans."""
+    """Per-column action: None, Mean, Median, Mode or Drop; all fits share their scans. Gaps in nested columns stay."""
     df = kinds.nan_to_null(df)
     dropped = [c for c, a in actions.items() if a == "Drop"]
-    fits = {c: a.lower() for c, a in actions.items() if a not in ("Drop", "None") and c in df.columns}
+    fits = {c: a.lower() for c, a in actions.items() if a not in ("Drop", "None") and c in kinds.flat(df)}
     df = apply_fill(df, fit_fill(df, fits)) if fits else df
     return df.drop(*dropped)
 
 
 def impute_adaptive(df: DataFrame) -> DataFrame:
-    """Most frequent value for non-numeric columns, median for numeric ones."""
+    """Most frequent value for non-numeric columns, median for numeric ones. Gaps in arrays, structs and maps stay."""
     df = kinds.nan_to_null(df)
-    return apply_fill(df, fit_fill(df, {c: "median" for c in kinds.comparable(df)}))
+    return apply_fill(df, fit_fill(df, {c: "median" for c in kinds.flat(df)}))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -241,10 +242,13 @@ def skewness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def fit_fences(df: DataFrame, columns: list[str], factor: float = 1.5) -> dict[str, tuple[float, float]]:
-    """Lower and upper interquartile fence per column; columns without values are absent."""
+    """Lower and upper interquartile fence per column.
+
+    Columns without values are absent, and so are those of which both quartiles are the same infinity, which have no range.
+    """
     fences = {}
     for c, (q1, q3) in fit_quartiles(df, columns, (0.25, 0.75)).items():
-        if q1 is not None:
+        if q1 is not None and not math.isnan(q3 - q1):
             fences[c] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return fences
 

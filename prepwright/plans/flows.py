@@ -55,10 +55,10 @@ def auto_prepare(df: DataFrame, order_by: list[str] | None = None,
                  sparse: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cleaned, corrected, engineered) with the default choices of every stage.
 
-    Text columns with more values than a table should have columns are named in ``sparse``.
+    Text columns in ``sparse`` and those with more values than a table should have columns are encoded in one column.
     """
     nums = set(kinds.numeric(df))
-    cleaned = cut_lineage(clean(df, {c: "Median" if c in nums else "Mode" for c in kinds.comparable(df)}))
+    cleaned = cut_lineage(clean(df, {c: "Median" if c in nums else "Mode" for c in kinds.flat(df)}))
     corrected = cut_lineage(correct_text(cleaned, order_by=order_by))
     return cleaned, corrected, encode.standard_scale(encode.one_hot(corrected, sparse=sparse))
 

@@ -17,12 +17,21 @@ MAX_FILE_MB = 25
 EXTENSIONS = ["csv"]
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a line holds an odd number of quotes, as it must where a quoted value goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header; a column gets a type only if every present value has it.
 
     Dates stay text. Integers with missing values become double, an empty column too.
-    Files are split across tasks unless quoted line breaks (``multi_line``) forbid it.
+    Files are split across tasks unless quoted line breaks (``multi_line``) forbid it; whether there
+    are any is seen from the quotes of each line unless the caller says so.
     """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"') \
         .option("multiLine", multi_line).csv(path)
     raw = raw.select(*[F.when(~col(c).isin(MISSING_TOKENS), col(c)).alias(c) for c in raw.columns])
@@ -50,10 +59,10 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, limit: int = 0, sample_n: int = 0, order_by: list[str] | None = None,
-         key: str | None = None) -> DataFrame:
-    """Read by extension, then the first ``limit`` rows, then a sample of ``sample_n``."""
+         key: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Read by extension (``multi_line`` as for ``read_csv``), then the first ``limit`` rows, then a sample of ``sample_n``."""
     from prepwright.operators.sampling import first_rows, sample
-    df = read_csv(spark, path) if path.lower().endswith(".csv") else read_parquet(spark, path)
+    df = read_csv(spark, path, multi_line) if path.lower().endswith(".csv") else read_parquet(spark, path)
     if limit > 0:
         df = first_rows(df, limit, order_by or [df.columns[0]])
     return sample(df, sample_n, key or df.columns[0]) if sample_n > 0 else df

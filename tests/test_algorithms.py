@@ -176,7 +176,7 @@ def test_shapley_values_add_up(spark):
     df = spark.range(200).selectExpr("id as key", "rand(1) as a", "rand(2) as b").selectExpr("key", "a", "b", "a * b as y")
     _, model, prepared = training.train_one(df, "y", "key", "Random Forest", trees=5, depth=4)
     rows = sampling.first_rows(prepared.test, 4, ["key"])
-    total = explain.explain_rows(model, prepared, rows).groupBy("key").agg(
+    total = explain.model_contributions(model, rows, prepared).groupBy("key").agg(
         (F.sum("contribution") + F.max("base_value")).alias("total"))
     for r in total.join(model.transform(rows), "key").collect():
         assert math.isclose(r["total"], r["prediction"], abs_tol=1e-9)
