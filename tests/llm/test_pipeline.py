@@ -6,7 +6,7 @@ import test_lines
 import test_simhash
 
 import corpus_pipeline
-from prepwright.llm import catalog, language
+from prepwright.llm import catalog, language, lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,10 +21,27 @@ def test_other_queries_have_a_row_for_each_document(spark, key):
     assert catalog.QUERIES[key](spark, SF).select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def without_lines(rows):
+    """What the stage lines leaves: long lines within one edit of an earlier one go, and exact repeats of short ones unless blank."""
+    seen, out = set(), []
+    for doc, _, n, text in test_lines.brute(rows, 1, lines.MIN_CHARS):
+        kept = []
+        for line in text.split("\n") if text else []:
+            short = len(line) < lines.MIN_CHARS and line.strip()
+            if short and line in seen:
+                n += 1
+            else:
+                kept.append(line)
+            if short:
+                seen.add(line)
+        out.append((doc, n, "\n".join(kept)))
+    return [(doc, text) for doc, n, text in out if not n or text.strip()]
+
+
 def brute(rows, items, model):
     """What is left after four stages, of rows (doc_id, text) with distinct ids in order."""
     rows = [(d, t) for d, t in rows if t and language.labelled(t, model)[0] != "und" and language.labelled(t, model)[1] >= corpus_pipeline.MIN_SCORE]
-    rows = [(d, t) for (d, _, n, t) in test_lines.brute(rows, 1, 20) if not n or t.strip()]
+    rows = without_lines(rows)
     prints = {d: test_simhash.brute_fingerprint(t) for d, t in rows}
     roots, first = test_simhash.brute_roots(set(prints.values()), 4), {}
     for d, _ in rows:
