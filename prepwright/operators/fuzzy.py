@@ -24,6 +24,7 @@ from prepwright import kinds
 from prepwright.functions.indel import indel_ratio
 from prepwright.functions.text import normal_form, sorted_tokens, strip
 from prepwright.kinds import col
+from prepwright.operators.bitmaps import bitmap, bits_for, possible
 from prepwright.operators.columns import map_by_table
 from prepwright.operators.encode import _numbered
 from prepwright.session import attach, cut_lineage
@@ -113,6 +114,8 @@ def _dealt(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     work = a.groupBy("key").agg(F.count("*").alias("x")).join(b.groupBy("key").agg(F.count("*").alias("y")), "key")
     tasks = work.select("key", F.ceil(F.col("x") * F.col("y") / COMPARISONS_PER_TASK).cast("int").alias("tasks")).where("tasks > 1")
     tasks = cut_lineage(tasks)
+    if tasks.isEmpty():
+        return a.withColumn("salt", F.lit(0)), b.withColumn("salt", F.lit(0))
     a = attach(a, tasks, ["key"]).withColumn("salt", F.explode(F.expr("sequence(0, coalesce(tasks, 1) - 1)")))
     b = attach(b, tasks, ["key"]).withColumn("salt", F.expr("cast(pmod(xxhash64(node, at), coalesce(tasks, 1)) as int)"))
     return a.drop("tasks"), b.drop("tasks")
@@ -133,9 +136,14 @@ def similar_pairs(left: DataFrame, threshold: float, strict: bool = False,
 
     def joined(index: DataFrame, probe: DataFrame, distinct_sets: bool) -> DataFrame:
         """Pairs of which the index side is the shorter text, or as long."""
-        a = _pieces(index, share) if by_pieces else _characters(index, share)
-        b = _occurrences(probe, share) if by_pieces else _characters(probe, share)
-        a, b = (side.alias(name) for name, side in zip("ab", _dealt(*map(cut_lineage, (a, b)))))
+        a = cut_lineage(_pieces(index, share) if by_pieces else _characters(index, share))
+        if by_pieces:
+            # Most substrings equal no piece; a bitmap of the pieces drops them before they are stored or moved.
+            bits = bits_for(a.count())
+            b = possible(_occurrences(probe, share), "key", cut_lineage(bitmap(a, "key", bits)), bits)
+        else:
+            b = _characters(probe, share)
+        a, b = (side.alias(name) for name, side in zip("ab", _dealt(a, cut_lineage(b))))
         na, nb = F.col("a.n"), F.col("b.n")
         total = F.floor(F.lit(1 - share) * (na + nb) + F.lit(1e-9))
         longer = nb >= na if distinct_sets else (nb > na) | ((nb == na) & (F.col("a.node") < F.col("b.node")))
