@@ -28,10 +28,7 @@ class Node:
 
 
 def standard_tree(shards: int, base: int = 24, racks: int = 3, per_rack: int = 4) -> Node:
-    """The first ``base`` shards in regions of ``racks`` racks; each later shard in a region of its own.
-
-    A region, once filled, never changes its weight, so a shard that is added draws keys only to itself.
-    """
+    """The first ``base`` shards in regions of ``racks`` racks; each later shard in a region of its own."""
     regions, step = [], racks * per_rack
     for first in range(0, min(base, shards), step):
         inside = range(first, min(first + step, base, shards))
@@ -43,6 +40,17 @@ def standard_tree(shards: int, base: int = 24, racks: int = 3, per_rack: int = 4
     return Node("root", tuple(regions))
 
 
+def _shards(tree: Node) -> list[int]:
+    return [s for c in tree.children for s in _shards(c)] if tree.children else [tree.shard]
+
+
+def one_more(tree: Node) -> Node:
+    """The tree with the next shard in a region of its own. No other weight changes, so it draws keys only to itself."""
+    new = max(_shards(tree)) + 1
+    region = Node(f"grown{new}", (Node(f"grown{new}/rack0", (Node(f"shard{new}", shard=new),)),))
+    return Node(tree.name, (*tree.children, region))
+
+
 def _draw(key: Column, node: Node) -> Column:
     """Weighted rendezvous: -ln(u) / weight, u in (0, 1) from 52 bits of md5. The smallest draw wins, so a
     child wins with a chance in proportion to its weight and a change of one weight leaves the order of
@@ -97,11 +105,11 @@ def sharded(docs: DataFrame, shards: int = 24, tree: Node | None = None, grown:
     """Put documents into shards by doc_id alone: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the text's UTF-8 bytes plus 8; ``grown_shard`` is the shard in ``grown``, by default the
-    tree with one more shard. A missing text counts as empty; documents without an id share one shard;
+    tree with one more shard, which takes rows only into that one. doc_id may be of any type. A missing text counts as empty; documents without an id share one shard;
     rows that repeat an id go to the same shard and get a slot each. Other columns are not looked at.
     """
     tree = tree or standard_tree(shards)
-    grown = grown or standard_tree(shards + 1)
+    grown = grown or one_more(tree)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
