@@ -158,7 +158,7 @@ def op9_line_dedup(spark, sf):
 @query("op10_exact_dedup", """
 with d as (select doc_id, coalesce(text, '') as text from documents)
 select doc_id, max(doc_id) over (partition by text) as keep_id, count(*) over (partition by text) as group_size,
-       doc_id = max(doc_id) over (partition by text) as kept, sha256(text) as text_sha256
+       row_number() over (partition by text order by doc_id desc nulls last) = 1 as kept, sha256(text) as text_sha256
 from d""")
 def op10_exact_dedup(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"), digests=True)

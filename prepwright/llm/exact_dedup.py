@@ -29,12 +29,13 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digests:
     prefixes are hashed where a length repeats, whole texts where length and prefix repeat. What
     passes from level to level is a bitmap of fixed size, so no text is ever shuffled.
 
-    A missing text counts as empty. Rows that repeat a doc_id with the same text are rows of one
-    document: each counts in group_size, and they stay or go together. An id that is missing is
-    smaller than any other. Other columns of ``docs`` are not looked at; an empty table gives no rows.
+    A missing text counts as empty. Of rows that repeat a doc_id with the same text one stays at most; each
+    counts in group_size. An id that is missing is smaller than any other, and of a group without ids one row
+    stays. doc_id may be of any type. Other columns of ``docs`` are not looked at; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("_text"), F.octet_length(text).alias("size"))
+    # The number tells rows apart that are equal in all else.
+    rows = docs.select("doc_id", text.alias("_text"), F.octet_length(text).alias("size"), F.monotonically_increasing_id().alias("row"))
     by_length = surviving(rows.select("size"))
 
     rows = held(rows, by_length, SKETCH_BITS, ["size"], "alive")
@@ -44,17 +45,17 @@ def exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digests:
 
     rows = held(rows, by_prefix, SKETCH_BITS, ["size", "prefix"], "alive")
     full, last = F.sha2("_text", 256), F.col("alive") & F.col("prefix").isNotNull()
-    rows = rows.select("doc_id", "size", "prefix", last.alias("last"), (full if digests else F.when(last, full)).alias("text_sha256"))
+    rows = rows.select("doc_id", "row", "size", "prefix", last.alias("last"), (full if digests else F.when(last, full)).alias("text_sha256"))
     rows = stored(rows, "exact-rows")
 
     groups = stored(rows.filter("last").groupBy("size", "prefix", "text_sha256")
-                    .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+                    .agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
                     .filter("group_size > 1"), "exact-groups")
     # One row per group on the right: a group that holds much of the table is split on the left.
     found = rows.join(groups, ["size", "prefix", "text_sha256"], "left")
     return found.select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (F.col("group_size").isNull() | F.col("row").eqNullSafe(F.col("keep.row"))).alias("kept"),
         "text_sha256")

@@ -20,11 +20,23 @@ def test_exact_duplicates_agree_with_brute_force(spark):
         for text, ids in groups.items():
             named = [i for i in ids if i is not None]
             keep = max(named) if named else None
-            for i in ids:
-                wanted[i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()] += 1
+            for k, i in enumerate(ids):
+                wanted[i, keep, len(ids), i == keep and keep not in ids[:k], hashlib.sha256(text.encode()).hexdigest()] += 1
         assert Counter(map(tuple, found)) == wanted
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "x"), (1, "x"), (None, "z"), (None, "z"), (None, "x"), (2, "y"), (2, "other"), (3, None), (3, ""), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for df in (docs, docs.withColumn("doc_id", F.col("doc_id").cast("string"))):
+        found = exact_dedup.exact_duplicates(df, digests=True).collect()
+        kept = Counter(r["text_sha256"] for r in found if r["kept"])
+        assert len(found) == len(rows) and set(kept.values()) == {1} and len(kept) == 5
+        assert all(r["doc_id"] == r["keep_id"] for r in found if r["kept"])
+        name = str if df is not docs else int
+        assert {(r["keep_id"], r["group_size"]) for r in found} == {(None, 2), *((name(i), n) for i, n in ((1, 3), (2, 2), (2, 1), (3, 2)))}
+
+
 def test_full_reads_only_where_length_and_prefix_repeat(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, "abd"), (3, "xyz"), (4, "long text"), (5, "abc")], "doc_id bigint, text string")
     digests = {r["doc_id"]: r["text_sha256"] for r in exact_dedup.exact_duplicates(docs, prefix_chars=2).collect()}
@@ -75,6 +87,22 @@ def test_shards(spark):
     assert all(again[r["doc_id"]] == r["shard"] for r in found if r["doc_id"] is not None and r["doc_id"] % 5 == 0)
 
 
+@pytest.mark.parametrize("shards", [1, 3, 10, 13, 23, 26])
+def test_one_more_shard_takes_rows_only_into_itself(spark, shards):
+    docs = spark.range(600).selectExpr("id as doc_id", "'' as text")
+    found = sharding.sharded(docs, shards).collect()
+    assert {r["shard"] for r in found} <= set(range(shards))
+    moved = {r["grown_shard"] for r in found if r["shard"] != r["grown_shard"]}
+    assert moved == {shards}
+
+
+def test_a_grown_tree_changes_no_other_weight():
+    for shards in range(1, 101):
+        tree = sharding.standard_tree(shards)
+        grown = sharding.one_more(tree)
+        assert grown.children[:-1] == tree.children and sorted(sharding._shards(grown)) == list(range(shards + 1))
+
+
 def test_weights_confine_movement(spark):
     def tree(weight):
         racks = [sharding.Node(f"rack{k}", tuple(sharding.Node(f"s{k}{i}", shard=2 * k + i, own_weight=weight if (k, i) == (2, 1) else 1.0)
