@@ -110,6 +110,17 @@ def fuzzy_pairs(spark, sf):
     return fuzzy.fuzzy_pairs(dirty(spark, sf, "part"), 85, order_by=["p_partkey"])
 
 
+@query("fuzzy_pair_classes", with_dirty_part(f"""
+    {value_nodes(PART_TEXT, "p_partkey", "{c}",
+                 "list_aggregate(list_sort(list_filter(string_split({v}, ' '), lambda w: w <> '')), 'string_agg', ' ')")},
+    {similar_ctes(85)},
+    links as (select id, count(*) as n from (select u as id from edge union all select v from edge) group by id)
+    select grp as "column", value, first_value(value) over (partition by grp, txt order by node.id) as representative,
+           coalesce(links.n, 0) as n_links from node left join links using (id)"""))
+def fuzzy_pair_classes(spark, sf):
+    return fuzzy.pair_classes(dirty(spark, sf, "part"), 85, order_by=["p_partkey"])[0]
+
+
 @query("fuzzy_groups", with_dirty_part(f"""{MEMBERS}
     select grp as "column", string_agg(value, '|' order by value) as original, suggested
     from member group by grp, leader, suggested"""))

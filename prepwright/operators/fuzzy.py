@@ -259,6 +259,36 @@ def fuzzy_pairs(df: DataFrame, threshold: float = 85, columns: list[str] | None
         F.col("grp").alias("column"), "value_a", "value_b", F.floor("score").cast("long").alias("score"))
 
 
+def pair_classes(df: DataFrame, threshold: float = 85, columns: list[str] | None = None,
+                 order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``fuzzy_pairs`` says, without a row per pair of mutually similar values: (members, links).
+
+    Members are (column, value, representative, n_links): values with the same sorted words are one class, which its
+    first value stands for, and n_links is the number of other values of the column that a value resembles. Links are
+    (column, value_a, value_b, score) between representatives. Two values of a class score 100; two of different
+    classes score as their representatives do, so all pairs follow from the two tables.
+    """
+    columns = kinds.text(df) if columns is None else columns
+    if not columns:
+        spark = df.sparkSession
+        return (spark.createDataFrame([], "column string, value string, representative string, n_links long"),
+                spark.createDataFrame([], "column string, value_a string, value_b string, score long"))
+    values = cut_lineage(_column_values(df, columns, order_by or [], lambda c: c, sorted_tokens))
+    sizes = values.groupBy("grp", "txt").agg(F.min(F.struct("first", "value")).alias("_f"), F.count("*").alias("n"))
+    classes = number_nodes(sizes.select("grp", F.col("_f.value").alias("value"), "txt", F.col("_f.first").alias("first"), "n"))
+    pairs = cut_lineage(similar_pairs(classes, threshold))
+    side = lambda c, name: classes.select(F.col("node").alias(c), F.col("value").alias(name))
+    links = pairs.join(classes.select(F.col("node").alias("u"), "grp"), "u").join(side("u", "value_a"), "u").join(side("v", "value_b"), "v").select(
+        F.col("grp").alias("column"), "value_a", "value_b", F.floor("score").cast("long").alias("score"))
+    both = pairs.select("u", "v").unionAll(pairs.select("v", "u"))
+    outside = both.join(classes.select(F.col("node").alias("v"), "n"), "v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("_others"))
+    counted = classes.join(outside, "node", "left").select(
+        "grp", "txt", F.col("value").alias("representative"), (F.col("n") - 1 + F.coalesce("_others", F.lit(0))).alias("n_links"))
+    # A class of very many values is one row on the right and is split on the left.
+    members = values.join(counted, ["grp", "txt"]).select(F.col("grp").alias("column"), "value", "representative", "n_links")
+    return members, links
+
+
 def group_members(df: DataFrame, columns: list[str] | None = None, threshold: float = 85,
                   order_by: list[str] | None = None) -> DataFrame:
     """(column, value, leader, suggested) for trimmed values in groups of two or more.
