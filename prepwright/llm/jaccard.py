@@ -16,37 +16,69 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.llm.common import join_few, map_batches, release, stored
+from prepwright.llm.common import join_few, map_batches, release, stored, text_key
 from prepwright.llm.components import components
 
 SHINGLE = 4
 PERCENT = 85
-FRAGMENTS = 16
+FRAGMENTS = 8
+# Each fragment is cut into so many cells, whose sizes alone rule most unrelated pairs out, and each cell
+# into so many fine ones, which do so for longer texts.
+CELLS = 8
+FINE = 16
 SEED = 42
 # The order is by the number of documents in so many classes of n-grams, then by hash.
 CLASS_BITS = 16
 REST_BITS = 64 - CLASS_BITS
-# Sets of one list that are compared at once, and pairs that leave a task at once.
+# Lists of so many sets are their pairs. Longer ones are cut into tiles of about so many sets, compared by cells.
+SHORT = 8
 TILE = 512
+# Pairs that leave a task at once.
 PAIRS = 1 << 18
-# So often each set is compared with one set of its lists before all pairs of what is still apart are looked at.
-ROUNDS = 2
 
 
-def grams(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct XXH64 hashes of the text's n-grams of words.
+# Odd numbers of the hash of neighbouring words, and of the one that mixes its bits.
+FACTOR, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+# Hashes of words kept by a Python worker; longer words are hashed anew.
+KEPT_WORDS, KEPT_BYTES = 200_000, 64
+
+
+class _Words(dict):
+    """XXH64 of words, made when they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_WORDS = _Words()
+
+
+def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's n-grams of words, made of the words' XXH64.
 
     Words lie between ASCII white space, A-Z in lower case; fewer words than ``shingle`` are one n-gram, none none.
     """
     words = (text or "").encode().lower().split()   # both look at ASCII only
     if not words:
         return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = (digest(joined[a:b - 1], seed) for a, b in zip([0, *ends], ends[min(shingle, len(words)) - 1:]))
-    return np.unique(np.fromiter(hashes, np.uint64, n))
+    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    found = np.full(n, size, np.uint64)
+    for i in range(size):
+        found *= FACTOR
+        found += hashes[i:i + n]
+    found ^= found >> np.uint64(30)
+    found *= MIX_1
+    found ^= found >> np.uint64(27)
+    found *= MIX_2
+    found ^= found >> np.uint64(31)
+    return np.unique(found)
 
 
 def _lists(arrays: list[np.ndarray], kind=np.uint64) -> pa.Array:
@@ -64,22 +96,21 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 
 
 def gram_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """row, doc_id, n (n-grams), set_id (a 64-bit hash of the whole set; missing if it is empty) and grams."""
+    """doc_id, text_hash, n (n-grams), set_id (a 64-bit hash of the whole set; missing if it is empty) and grams."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             found = [grams(t, shingle) for t in batch.column("text").to_pylist()]
             ids = [xxhash.xxh3_64_intdigest(g.tobytes()) for g in found]
-            yield {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n": [len(g) for g in found],
+            yield {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": [len(g) for g in found],
                    "set_id": [i - (i >> 63 << 64) if len(g) else None for i, g in zip(ids, found)], "grams": _lists(found)}
-    return map_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), run,
-                       f"row bigint, doc_id {kind}, n bigint, set_id bigint, grams array<bigint>")
+    return map_batches(docs.select(*text_key(), "text"), run, f"doc_id {kind}, text_hash bigint, n bigint, set_id bigint, grams array<bigint>")
 
 
 @dataclass(frozen=True)
 class Order:
-    """The global order: the place of each class of n-grams, and the places at which fragments after the first begin."""
+    """The global order: the place of each class of n-grams, and the places at which fine cells after the first begin."""
 
     places: np.ndarray
     cuts: np.ndarray
@@ -88,12 +119,23 @@ class Order:
         """The n-grams as ascending numbers, whose order is the global one."""
         return np.sort(self.places[hashes >> np.uint64(REST_BITS)] << np.uint64(REST_BITS) | hashes & np.uint64((1 << REST_BITS) - 1))
 
-    def fragments(self, keys: np.ndarray) -> list[np.ndarray]:
-        return np.split(keys, np.searchsorted(keys, self.cuts << np.uint64(REST_BITS)))
+    def fine(self, keys: np.ndarray) -> np.ndarray:
+        """At which of the keys the fine cells after the first begin."""
+        return np.searchsorted(keys, self.cuts << np.uint64(REST_BITS))
+
+    def sizes(self, keys: np.ndarray) -> np.ndarray:
+        return np.diff(self.fine(keys)[FINE - 1::FINE], prepend=0, append=len(keys)).astype(np.int32)
+
+    def fragments(self, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each fragment the keys and the sizes of its fine cells."""
+        fine = self.fine(keys)
+        sizes = np.diff(fine, prepend=0, append=len(keys)).astype(np.int32).reshape(-1, CELLS * FINE)
+        return list(zip(np.split(keys, fine[CELLS * FINE - 1::CELLS * FINE]), sizes))
 
 
 def order_of(sets: DataFrame, fragments: int = FRAGMENTS) -> Order:
-    """Classes by the number of documents that hold an n-gram of theirs, cut into fragments of like numbers of n-grams.
+    """Classes by the number of documents that hold an n-gram of theirs, cut into fine cells of like numbers of n-grams;
+    FINE of them are a cell, and CELLS cells a fragment.
 
     Any order gives the same links; rare first gives few candidates. The driver gets a number per class (65,536).
     """
@@ -111,7 +153,8 @@ def order_of(sets: DataFrame, fragments: int = FRAGMENTS) -> Order:
     places = np.empty(len(counts), np.uint64)
     places[ordered] = np.arange(len(counts), dtype=np.uint64)
     through = np.cumsum(counts[ordered])
-    cuts = np.searchsorted(through, through[-1] * np.arange(1, fragments) / fragments)
+    parts = fragments * CELLS * FINE
+    cuts = np.searchsorted(through, through[-1] * np.arange(1, parts) / parts)
     return Order(places, cuts.astype(np.uint64))
 
 
@@ -131,74 +174,99 @@ def prefixes(sets: DataFrame, order: Order, percent: int = PERCENT) -> DataFrame
     return map_batches(sets.filter("n > 0").select("set_id", "grams"), run, "token bigint, set_id bigint")
 
 
-def segments(sets: DataFrame, order: Order) -> DataFrame:
-    """(set_id, n, sizes, fragment, grams): each set cut at the fragments, and how many n-grams fall into each."""
+def shapes(sets: DataFrame, order: Order) -> DataFrame:
+    """(doc_id, text_hash, set_id, n, sizes): how many n-grams of each set lie in each cell."""
+    keys = ["doc_id", "text_hash", "set_id", "n"]
+
     def run(batches):
         for batch in batches:
-            for set_id, hashes in zip(batch.column("set_id").to_pylist(), _arrays(batch.column("grams"))):
-                parts = order.fragments(order.keys(hashes))
-                sizes = [len(p) for p in parts]
-                full = [i for i, p in enumerate(parts) if len(p)]
-                yield {"set_id": [set_id] * len(full), "n": [len(hashes)] * len(full), "sizes": [sizes] * len(full),
-                       "fragment": full, "grams": _lists([parts[i] for i in full])}
-    return map_batches(sets.select("set_id", "grams"), run, "set_id bigint, n bigint, sizes array<int>, fragment int, grams array<bigint>")
+            found = [order.sizes(order.keys(g)) for g in _arrays(batch.column("grams"))]
+            yield {c: batch.column(c) for c in keys} | {"sizes": _lists(found, np.int32)}
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    return map_batches(sets.filter("n > 0").select(*keys, "grams"), run, f"doc_id {kind}, text_hash bigint, set_id bigint, n bigint, sizes array<int>")
+
+
+def segments(texts: DataFrame, order: Order, shingle: int) -> DataFrame:
+    """(set_id, fragment, cells, grams): the sets of texts, each cut at the fragments, and the sizes of the fine cells."""
+    def run(batches):
+        for batch in batches:
+            for set_id, text in zip(batch.column("set_id").to_pylist(), batch.column("text").to_pylist()):
+                parts = [(f, p, c) for f, (p, c) in enumerate(order.fragments(order.keys(grams(text, shingle)))) if len(p)]
+                yield {"set_id": [set_id] * len(parts), "fragment": [f for f, _, _ in parts],
+                       "cells": _lists([c for _, _, c in parts], np.int32), "grams": _lists([p for _, p, _ in parts])}
+    return map_batches(texts.select("set_id", "text"), run, "set_id bigint, fragment int, cells array<int>, grams array<bigint>")
 
 
 def _may_be_near(percent: int) -> str:
-    """SQL: what the fragments have in common at most is enough for both sizes."""
+    """SQL: what the cells have in common at most is enough for both sizes."""
     return ("aggregate(zip_with(a_sizes, b_sizes, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) "
             f"* {100 + percent} >= {percent} * (a_n + b_n)")
 
 
-def verified(pairs: DataFrame, parts: DataFrame, shapes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that are similar: 100 * intersection >= percent * union.
+def verified(pairs: DataFrame, docs: DataFrame, shaped: DataFrame, order: Order, shingle: int, percent: int) -> DataFrame:
+    """Those of the pairs that are similar: 100 * intersection >= percent * union. Columns beside a and b stay.
 
-    Pairs whose fragments cannot have enough in common go first. The others' overlaps are counted in each
-    fragment by itself and summed.
+    Pairs whose cells cannot have enough in common go first. The sets of the others are made anew from their texts and
+    cut. Each fragment's overlap is bounded by its fine cells, then counted, by itself, and summed per pair.
+    """
+    shape = lambda side: shaped.selectExpr(f"set_id as {side}", f"n as {side}_n", f"sizes as {side}_sizes")
+    likely = stored(pairs.join(shape("a"), "a").join(shape("b"), "b").filter(_may_be_near(percent)).drop("a_sizes", "b_sizes"), "jaccard-likely")
+    wanted = likely.selectExpr("explode(array(a, b)) as set_id").distinct().join(shaped, "set_id").select("doc_id", "text_hash", "set_id")
+    # A text may stand in repeated rows; it is taken once.
+    texts = join_few(docs.select(*text_key(), "text"), stored(wanted, "jaccard-wanted"), "inner").dropDuplicates(["set_id"])
+    parts = stored(segments(texts, order, shingle), "jaccard-segments")
+    left = likely
+    for column, common in (("cells", "aggregate(zip_with(a_part, b_part, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"),
+                           ("grams", "size(array_intersect(a_part, b_part))")):
+        part = lambda side: parts.selectExpr(f"set_id as {side}", "fragment", f"{column} as {side}_part")  # noqa: B023, E731
+        sums = left.select("a", "b").join(part("a"), "a").join(part("b"), ["b", "fragment"]).selectExpr("a", "b", f"{common} as common")
+        sums = sums.groupBy("a", "b").agg(F.sum("common").alias("common"))
+        left = stored(left.join(sums, ["a", "b"]).filter(f"common * {100 + percent} >= {percent} * (a_n + b_n)").drop("common"), f"jaccard-by-{column}")
+    found = left.select(*pairs.columns)
+    release(likely, parts)
+    return found
+
+
+def _one_each(lists: DataFrame) -> DataFrame:
+    """(a, b, set_id, other): for each set of some list one other of its lists, in like lists the same one.
+
+    Both steps are minima of a draw, so a list of any length is no more than a row per task; ``other`` has the smaller draw.
     """
-    shape = lambda side: shapes.selectExpr(f"set_id as {side}", f"n as {side}_n", f"sizes as {side}_sizes")
-    part = lambda side: parts.selectExpr(f"set_id as {side}", "fragment", f"grams as {side}_grams")
-    likely = pairs.join(shape("a"), "a").join(shape("b"), "b").filter(_may_be_near(percent)).select("a", "b", "a_n", "b_n")
-    partial = likely.join(part("a"), "a").join(part("b"), ["b", "fragment"]).selectExpr(
-        "a", "b", "a_n", "b_n", "size(array_intersect(a_grams, b_grams)) as common")
-    return (partial.groupBy("a", "b", "a_n", "b_n").agg(F.sum("common").alias("common"))
-            .filter(f"common * {100 + percent} >= {percent} * (a_n + b_n)").select("a", "b"))
-
-
-def _with_roots(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The lists' sets with the set that stands for what they are linked with so far."""
-    if roots is None:
-        return lists.withColumn("root", F.col("set_id"))
-    return lists.join(roots.withColumnRenamed("value", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-
-
-def _one_each(lists: DataFrame, turn: int) -> DataFrame:
-    """A pair (a, b) for each set with others in its lists that it is not linked with: it and one of them, in like
-    lists the same one. Both steps are minima, so a list of any length is no more than a row per task."""
-    draw = F.struct(F.xxhash64(F.lit(turn), "set_id").alias("draw"), F.col("set_id").alias("other"), F.col("root").alias("other_root"))
-    chosen = lists.groupBy("token", "band").agg(F.min(draw).alias("chosen"), F.min("root").alias("low"), F.max("root").alias("high"))
-    chosen = stored(chosen.filter("low <> high").select("token", "band", "chosen"), "jaccard-chosen")
-    pairs = (lists.join(chosen, ["token", "band"]).filter("root <> chosen.other_root")
-             .groupBy("set_id").agg(F.min("chosen").alias("chosen")))
-    return pairs.select(F.least("set_id", "chosen.other").alias("a"), F.greatest("set_id", "chosen.other").alias("b")).distinct()
-
-
-def _all_apart(lists: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of all sets that share a list, are not linked so far and may be near by their fragments.
-
-    Lists of two are their pair. Longer ones are dealt into tiles of about TILE sets, whose pairs are compared by
-    the sizes of fragments in numpy; only those that may be near leave the task.
+    draw = F.struct(F.xxhash64(F.lit(SEED), "set_id").alias("draw"), F.col("set_id").alias("other"))
+    chosen = stored(lists.groupBy("token", "band").agg(F.min(draw).alias("chosen"), F.count("*").alias("n")).filter("n > 1").drop("n"), "jaccard-chosen")
+    pairs = lists.join(chosen, ["token", "band"]).groupBy("set_id").agg(F.min("chosen").alias("chosen")).filter("set_id <> chosen.other")
+    return pairs.select(F.least("set_id", "chosen.other").alias("a"), F.greatest("set_id", "chosen.other").alias("b"), "set_id", "chosen.other")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(set_id, root) of linked sets: where two steps from a set to the other it was compared with lead.
+
+    Draws fall with each step, so steps make no circle; longer ways are left to what follows.
+    """
+    steps = links.select("set_id", F.col("other").alias("root"))
+    for _ in range(2):
+        ahead = steps.select(F.col("set_id").alias("root"), F.col("root").alias("_next"))
+        steps = steps.join(ahead, "root", "left").select("set_id", F.coalesce("_next", "root").alias("root"))
+    return steps
+
+
+def _all_apart(lists: DataFrame, shaped: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of all sets that share a list and are not linked so far, but for those that cells rule out.
+
+    Lists of SHORT sets at most are their pairs, which ``verified`` looks at. Longer ones are dealt into tiles of
+    about TILE sets, whose pairs are compared by the sizes of cells in numpy; only those that may be near leave the task.
     """
     keys = ["token", "band"]
-    sizes = lists.groupBy(*keys).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
-                                     F.min("set_id").alias("a"), F.max("set_id").alias("b"))
-    sizes = stored(sizes.filter("low <> high"), "jaccard-lists")
-    shaped = shapes.selectExpr("set_id", "sizes")
-    dealt = (lists.join(sizes.filter("n > 2").selectExpr(*keys, f"cast(ceil(n / {TILE}) as int) as tiles"), keys)
-             .join(shaped, "set_id").withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int")))
+    sizes = lists.groupBy(*keys).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = stored(sizes.filter("low <> high").selectExpr(*keys, "n", f"cast(ceil(n / {TILE}) as int) as tiles"), "jaccard-lists")
+    apart = stored(lists.join(sizes, keys).select(*keys, "n", "tiles", "set_id", "root"), "jaccard-apart")
+    short = apart.filter(f"n <= {SHORT}").groupBy(*keys).agg(F.collect_list(F.struct("set_id", "root")).alias("m"))
+    # Sets that share many n-grams share many equal pairs.
+    pairs = short.selectExpr("""inline(flatten(transform(m, x -> transform(filter(m, y -> y.set_id > x.set_id and y.root <> x.root),
+                                                                       y -> struct(x.set_id as a, y.set_id as b)))))""")
+    dealt = apart.filter(f"n > {SHORT}").join(shaped.select("set_id", "sizes"), "set_id").withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int"))
     member = F.struct("set_id", "root", "sizes")
     tiles = stored(dealt.groupBy(*keys, "tiles", "tile").agg(F.array_sort(F.collect_list(member)).alias("members")), "jaccard-tiles")
-    # Sets that share many n-grams share many equal lists.
     alone = tiles.filter("tiles = 1").select("members").distinct().select(F.col("members").alias("left"), F.col("members").alias("right"))
     several = tiles.filter("tiles > 1")
     met = (several.selectExpr(*keys, "tile", "members as left", "explode(sequence(tile, tiles - 1)) as other")
@@ -210,14 +278,14 @@ def _all_apart(lists: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
                 (a, a_root, a_sizes), (b, b_root, b_sizes) = map(_members, (left, right))
                 total = a_sizes.sum(axis=1)[:, None] + b_sizes.sum(axis=1)[None, :]
                 common = np.zeros(total.shape, np.int64)
-                for f in range(a_sizes.shape[1]):
-                    common += np.minimum(a_sizes[:, f, None], b_sizes[None, :, f])
+                for cell in range(a_sizes.shape[1]):
+                    common += np.minimum(a_sizes[:, cell, None], b_sizes[None, :, cell])
                 x, y = np.nonzero((common * (100 + percent) >= percent * total) & (a_root[:, None] != b_root[None, :]))
                 low, high = np.minimum(a[x], b[y]), np.maximum(a[x], b[y])
                 for at in range(0, len(low), PAIRS):
                     yield {"a": pa.array(low[at:at + PAIRS]), "b": pa.array(high[at:at + PAIRS])}
     longer = map_batches(alone.unionAll(met), compare, "a bigint, b bigint")
-    return sizes.filter("n = 2").select("a", "b").unionAll(longer).distinct()
+    return pairs.unionAll(longer).distinct()
 
 
 def _members(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,12 +294,13 @@ def _members(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows.field("set_id").to_numpy(), rows.field("root").to_numpy(), sizes
 
 
-def near_links(sets: DataFrame, classes: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
-    """Rows (value, root): the sets that are linked with others, and the smallest set_id they reach.
+def near_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
+               fragments: int = FRAGMENTS) -> DataFrame:
+    """Links (a, b) of set_ids that connect just what pairs of similar sets connect. ``sets`` is a stored table and goes.
 
     Sets of a token's list whose sizes allow it are candidates. First each set is compared with one other of its
-    lists, ROUNDS times; a dense group is mostly linked by then. Then all pairs of sets that share a list and are
-    not linked yet are looked at, so no link that matters is lost and a group of m copies does not make m * m pairs.
+    lists; a dense group is mostly linked by then. Then all pairs of sets that share a list and are not linked yet are
+    looked at, so no link that matters is lost and a group of m copies does not make m * m pairs.
     """
     order = order_of(sets, fragments)
     firsts = prefixes(sets, order, percent)
@@ -243,24 +312,17 @@ def near_links(sets: DataFrame, classes: DataFrame, percent: int = PERCENT, frag
     lists = postings.join(classes.select("set_id", "n"), "set_id").selectExpr(
         "token", "set_id", f"explode(array(cast(floor(ln(n) / {width}) as int), cast(floor(ln(n) / {width}) as int) + 1)) as band")
     lists = stored(lists, "jaccard-postings")
-    wanted = stored(lists.select("set_id").distinct().join(classes, "set_id").select("row"), "jaccard-wanted")
-    parts = stored(segments(join_few(sets.select("row", "set_id", "grams"), wanted, "inner", ("row",)), order), "jaccard-segments")
-    shapes = stored(parts.groupBy("set_id").agg(F.first("n").alias("n"), F.first("sizes").alias("sizes")), "jaccard-shapes")
-    release(shared, wanted)
-
-    checked = links = roots = None
-    for turn in range(ROUNDS + 1):
-        now = _with_roots(lists, roots)
-        pairs = _one_each(now, turn) if turn < ROUNDS else _all_apart(now, shapes, percent)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "jaccard-pairs")
-        found = stored(verified(pairs, parts, shapes, percent), "jaccard-links")
-        links = found if links is None else links.unionAll(found)
-        checked = pairs if checked is None else checked.unionAll(pairs)
-        if turn < ROUNDS:
-            roots = stored(components(links), "jaccard-roots")
-    return links
+    wanted = stored(lists.select("set_id").distinct().join(classes, "set_id").select("own.doc_id", "own.text_hash"), "jaccard-wanted")
+    shaped = stored(join_few(shapes(sets, order), wanted, "inner").dropDuplicates(["set_id"]), "jaccard-shapes")
+    release(shared, wanted, sets)
+
+    compared = stored(_one_each(lists), "jaccard-pairs")
+    links = verified(compared, docs, shaped, order, shingle, percent)
+    known = lists.join(_roots(links), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rest = _all_apart(known, shaped, percent).join(compared, ["a", "b"], "left_anti")
+    found = verified(stored(rest, "jaccard-pairs"), docs, shaped, order, shingle, percent)
+    release(lists, shaped)
+    return links.select("a", "b").unionAll(found)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
@@ -274,9 +336,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     an empty table gives no rows.
     """
     sets = stored(gram_sets(docs, shingle), "jaccard-sets")
-    full = sets.filter("n > 0")
-    classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n").alias("n")), "jaccard-classes")
-    links = near_links(sets, classes, percent, fragments)
+    slim = stored(sets.select("doc_id", "text_hash", "n", "set_id"), "jaccard-documents")
+    full = slim.filter("n > 0")
+    classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("own"), F.min("n").alias("n")),
+                     "jaccard-classes")
+    links = near_links(docs, sets, classes, shingle, percent, fragments)
     repeats = (full.filter("doc_id is not null").groupBy("doc_id")
                .agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).filter("b <> top").select("doc_id", "b"))
     linked = full.join(repeats, "doc_id").select(F.col("set_id").alias("a"), "b").filter("a <> b").distinct()
@@ -287,4 +351,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     ids = stored(grouped.join(least, "root").select("set_id", "component_id"), "jaccard-components")
     # One row per set on the right: a set of very many copies is split on the left.
     rows = full.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(ids, "set_id").select("doc_id", "n_shingles", "component_id")
-    return rows.unionAll(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return rows.unionAll(slim.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
