@@ -37,7 +37,9 @@ def by_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = lines.without_repeats(docs, short=True)
     kept = found.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        # In the type that the column has, which need not be a number.
+        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, n_chars).otherwise(F.col("n_chars")))
     return kept.select(*_columns(docs))
 
 
