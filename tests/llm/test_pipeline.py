@@ -63,7 +63,7 @@ def test_pipeline_agrees_with_brute_force(spark):
 def test_stages_keep_the_columns_and_take_all_cases(spark):
     docs = cases.frame(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        for df in (docs, cases.frame(spark, []), cases.clashing(docs, "ats", "text_hash", "spans", "n_removed", "key")):
+        for df in (docs, cases.frame(spark, []), cases.clashing(docs, "ats", "text_hash", "spans", "n_removed", "key", "n_chars")):
             out = stage(spark, df, SF)
             assert out.columns == df.columns, name
             assert out.count() <= df.count()
