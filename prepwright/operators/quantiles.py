@@ -1,10 +1,10 @@
-"""Exact, linearly interpolated quantiles whose memory does not grow with the data.
+"""Exact, linearly interpolated quantiles in two scans whose memory does not grow with the data.
 
-Spark's exact ``percentile`` keeps one counter per distinct value in a single task, so it
-is used only where an action has shown that few values take part. Otherwise the wanted
-ranks are located by counting: the value range is cut into bins, rows are counted per bin
-(combined map-side), and the bin holding a rank becomes the next range. A pass narrows by
-BINS and is one scan of the columns involved, whatever the size of the table.
+Spark's exact ``percentile`` keeps one counter per distinct value in a single task, so it is used only where
+an action has shown that few values take part. Otherwise the first scan makes a mergeable sketch per column,
+whose rank error is known: its values a little below and above a wanted rank bracket it for certain. The second
+scan counts the rows below each bracket and stores the counted values inside it, a few rows in ten thousand; the
+rank is then found in that table, by bins if it is still large.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from prepwright.session import attach, cut_lineage
 
 DIRECT_VALUES = 50_000
 BINS = 1_000
+# A sketched rank is off by one row in so many at most.
+ACCURACY = 10_000
 LARGEST = sys.float_info.max
 
 
@@ -55,32 +57,94 @@ def fit_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]],
     # Infinities take part as the largest finite numbers; least and greatest would drop NULL.
     values = {name: F.when(F.abs(v) <= LARGEST, v).when(v.isNotNull(), F.signum(v) * LARGEST)
               for name, (v, _) in wanted.items()}
-    sized = df.agg(*[a for i, v in enumerate(values.values()) for a in (
-        F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"),
-        F.approx_count_distinct(v).alias(f"d{i}"))]).first()
+    edges = {name: [min(1.0, max(0.0, p + step / ACCURACY)) for p in ps for step in (-2, 2)] for name, (_, ps) in wanted.items()}
+    sized = df.agg(*[a for i, (name, v) in enumerate(values.items()) for a in (
+        F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"), F.approx_count_distinct(v).alias(f"d{i}"),
+        F.percentile_approx(v, F.array(*map(F.lit, edges[name])), ACCURACY).alias(f"e{i}"))]).first()
     total = {name: sized[f"n{i}"] for i, name in enumerate(wanted)}
     answer: dict[tuple[str, float], float | None] = {}
     direct: dict[Range, list[float]] = {}
-    search: dict[Range, list[float]] = {}
+    brackets: dict[str, list[tuple[float, float]]] = {}
     for i, (name, (_, ps)) in enumerate(wanted.items()):
         if not total[name]:
             answer.update({(name, p): None for p in ps})
-            continue
-        whole = Range(name, sized[f"a{i}"], sized[f"z{i}"], 0, total[name])
-        few = min(total[name], 2 * sized[f"d{i}"]) <= limit
-        (direct if few else search)[whole] = list(ps)
-    while search:
-        search, found = _narrow(df, values, search, total)
-        answer.update(found)
-        for r in [r for r in search if r.inside <= limit]:
-            direct[r] = search.pop(r)
+        elif min(total[name], 2 * sized[f"d{i}"]) <= limit:
+            direct[Range(name, sized[f"a{i}"], sized[f"z{i}"], 0, total[name])] = list(ps)
+        else:
+            brackets[name] = _apart(list(zip(sized[f"e{i}"][::2], sized[f"e{i}"][1::2])))
     if direct:
         answer.update(_pick(df, values, direct, total))
+    while brackets:
+        answer_now, missed = _settle(df, values, brackets, {n: wanted[n][1] for n in brackets}, total, limit)
+        answer.update(answer_now)
+        # A bracket misses its rank only if the sketch is not as good as it promises: then all values are counted.
+        brackets = {n: [(sized[f"a{i}"], sized[f"z{i}"])] for i, n in enumerate(wanted) if n in missed}
     restore = {LARGEST: math.inf, -LARGEST: -math.inf}
     return {name: [restore.get(answer[(name, p)], answer[(name, p)]) for p in ps]
             for name, (_, ps) in wanted.items()}
 
 
+def _apart(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Sorted spans, those that touch made one."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _settle(df: DataFrame, values: dict[str, Column], brackets: dict[str, list[tuple[float, float]]], wanted: dict[str, list[float]],
+            total: dict[str, int], limit: int) -> tuple[dict[tuple[str, float], float], set[str]]:
+    """The counted scan: quantiles found inside the brackets, and columns of which a rank lies outside."""
+    names = list(brackets)
+    # Even zones lie between brackets, odd ones are brackets; only there values are kept apart.
+    zones = ", ".join("array({})".format(", ".join(f"{lit(x)}" for span in brackets[n] for x in span)) for n in names)
+    widest = max(map(len, brackets.values()))
+    zone = " + ".join(f"if(v >= get(e, {2 * k}), 1, 0) + if(v > get(e, {2 * k + 1}), 1, 0)" for k in range(widest))
+    placed = cells(df, [(i, values[n]) for i, n in enumerate(names)]).selectExpr("r", "v", f"array({zones})[r] as e").selectExpr(
+        "r", "v", f"{zone} as zone")
+    counted = cut_lineage(placed.selectExpr("r", "zone", "if(zone % 2 = 1, v, null) as v").groupBy("r", "zone", "v").agg(F.count("*").alias("n")))
+    sizes = {(r["r"], r["zone"]): (r["n"], r["d"]) for r in counted.groupBy("r", "zone").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
+    few: dict[Range, list[float]] = {}
+    many: dict[Range, list[float]] = {}
+    missed = set()
+    for i, n in enumerate(names):
+        at, found = 0, {}
+        for zone in range(2 * len(brackets[n]) + 1):
+            inside, distinct = sizes.get((i, zone), (0, 0))
+            if zone % 2:
+                lo, hi = brackets[n][zone // 2]
+                for p in wanted[n]:
+                    position = p * (total[n] - 1)
+                    if at <= math.floor(position) and math.ceil(position) < at + inside:
+                        found[p] = Range(n, lo, hi, at, inside), distinct
+            at += inside
+        if len(found) < len(set(wanted[n])):
+            missed.add(n)
+            continue
+        for p, (r, distinct) in found.items():
+            (few if distinct <= limit else many).setdefault(r, []).append(p)
+    answer: dict[tuple[str, float], float] = {}
+    while many:
+        many, done = _narrow(counted, names, many, total)
+        answer.update(done)
+        for r in [r for r in many if r.inside <= limit]:
+            few[r] = many.pop(r)
+    if few:
+        place = {n: i for i, n in enumerate(names)}
+        aggs, keys = [], []
+        for i, (r, ps) in enumerate(few.items()):
+            at = [min(1.0, max(0.0, (p * (total[r.name] - 1) - r.below) / max(r.inside - 1, 1))) for p in ps]
+            inside = (F.col("r") == place[r.name]) & (F.col("v") >= F.lit(r.lo)) & (F.col("v") <= F.lit(r.hi))
+            aggs.append(F.percentile(F.when(inside, F.col("v")), F.array(*[F.lit(float(a)) for a in at]), F.col("n")).alias(f"q{i}"))
+            keys.append([(r.name, p) for p in ps])
+        row = counted.agg(*aggs).first()
+        answer.update({key: x for i, group in enumerate(keys) for key, x in zip(group, row[i])})
+    return answer, missed
+
+
 def _pick(df: DataFrame, values: dict[str, Column], ranges: dict[Range, list[float]],
           total: dict[str, int]) -> dict[tuple[str, float], float]:
     """Interpolate inside ranges that hold few values; all in one scan."""
@@ -97,18 +161,15 @@ def _pick(df: DataFrame, values: dict[str, Column], ranges: dict[Range, list[flo
     return {key: q for i, group in enumerate(keys) for key, q in zip(group, row[i])}
 
 
-def _narrow(df: DataFrame, values: dict[str, Column], ranges: dict[Range, list[float]],
+def _narrow(counted: DataFrame, names: list[str], ranges: dict[Range, list[float]],
             total: dict[str, int]) -> tuple[dict[Range, list[float]], dict[tuple[str, float], float]]:
-    """One counting pass: smaller ranges for the ranks still open, and the ranks settled."""
+    """One pass over counted values: smaller ranges for the ranks still open, and the ranks settled."""
     order = list(ranges)
-    lo, hi = per_range([r.lo for r in order]), per_range([r.hi for r in order])
+    spans = ", ".join(f"struct({names.index(r.name)} as c, {i} as i, {lit(r.lo)} as low, {lit(r.hi)} as high)" for i, r in enumerate(order))
+    near = counted.where("v is not null").selectExpr("v", "n", f"inline(filter(array({spans}), x -> x.c = r and v between x.low and x.high))")
     # Halves keep the width finite; every step is monotone, so bins never mix ranks.
-    half = per_range([r.lo * 0.5 for r in order])
-    width = per_range([r.hi * 0.5 - r.lo * 0.5 for r in order])
-    counted = cells(df, [(i, values[r.name]) for i, r in enumerate(order)]).where(
-        f"v >= {lo} and v <= {hi}").selectExpr(
-        "r", "v", f"cast(floor((v * 0.5D - {half}) / {width} * {BINS}) as int) as bin").groupBy("r", "bin").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bins = near.selectExpr("i as r", "v", "n", f"cast(floor((v * 0.5D - low * 0.5D) / (high * 0.5D - low * 0.5D) * {BINS}) as int) as bin")
+    counted = bins.groupBy("r", "bin").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     rows: dict[int, list] = {i: [] for i in range(len(order))}
     for row in counted.collect():  # at most BINS + 1 rows per range
         rows[row["r"]].append((row["bin"], row["n"], row["lo"], row["hi"]))

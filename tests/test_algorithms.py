@@ -137,6 +137,27 @@ def test_quantiles_are_exact(spark, limit):
         assert np.allclose(got[c], want, rtol=1e-12), c
 
 
+def test_quantiles_read_the_table_twice(spark, monkeypatch):
+    draw = random.Random(3)
+    data = [(float(draw.choice([1e300, 1e-300, -1e-300, 5.0])) * draw.choice([1, 1, draw.random()]), float(i % 2)) for i in range(60_000)]
+    df = spark.createDataFrame(data, "a double, b double").repartition(6)
+    reads = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (reads.add(1), x)[1], "double").asNondeterministic()
+    ps = [0.1, 0.25, 0.5, 0.75, 0.9]
+    got = quantiles.fit_quantiles(df.select(seen("a").alias("a"), "b"), {c: (F.col(c), ps) for c in "ab"}, 40)
+    assert reads.value == 2 * len(data)
+    for i, c in enumerate("ab"):
+        assert np.allclose(got[c], np.quantile([r[i] for r in data], ps), rtol=1e-12), c
+
+
+@pytest.mark.parametrize("limit", [1_000, 3])
+def test_quantiles_are_exact_if_brackets_miss(spark, monkeypatch, limit):
+    df = spark.range(20_000).selectExpr("cast(pmod(id * 7919, 20011) as double) as a")
+    monkeypatch.setattr(quantiles, "_apart", lambda spans: [(hi, hi) for _, hi in sorted(spans)])
+    want = np.quantile([r["a"] for r in df.collect()], [0.3, 0.6])
+    assert np.allclose(quantiles.fit_quantiles(df, {"a": (F.col("a"), [0.3, 0.6])}, limit)["a"], want, rtol=1e-12)
+
+
 def test_sample_and_split_sizes(spark):
     df = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 11 as string)) as y")
     small = {r["id"] for r in sampling.sample(df, 700, "id").collect()}
