@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,10 @@ from prepwright.operators.quantiles import cells, fit_quantiles, per_range
 
 # Aggregates are split so one generated method never covers a very wide frame.
 COLUMNS_PER_PASS = 60
+# Column pairs whose sums a task holds at once (48 MB), cut into blocks of columns.
+PAIRS_PER_SCAN = 1 << 20
+COLUMNS_PER_BLOCK = 128
+PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
 NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -271,84 +274,88 @@ def outlier_counts(df: DataFrame, factor: float = 1.5) -> DataFrame:
 # ---- pairs ------------------------------------------------------------------------
 
 
-def _pair_sums(df: DataFrame, means: dict[str, float]) -> dict[tuple[int, int], tuple]:
-    """(n, x, xx, xy) of each ordered pair of columns over the rows where both are present, around the means.
+def _tiles(n: int) -> list[list[tuple[range, range]]]:
+    """Blocks of columns against blocks of columns, the upper triangle, in groups whose sums one task can hold."""
+    blocks = [range(i, min(i + COLUMNS_PER_BLOCK, n)) for i in range(0, n, COLUMNS_PER_BLOCK)]
+    tiles = [(a, b) for k, a in enumerate(blocks) for b in blocks[k:]]
+    return _batches(tiles, max(1, PAIRS_PER_SCAN // COLUMNS_PER_BLOCK ** 2))
 
-    One scan for all pairs: a batch of rows is a matrix and its mask, and the sums are products of
-    the two. Tasks add up their batches; the driver gets one row per pair.
+
+def _tile_sums(df: DataFrame, columns: list[str], centre: np.ndarray, tiles: list[tuple[range, range]]) -> DataFrame:
+    """(i, j, n, x, y, xx, yy, xy) of the tiles' column pairs, a row per pair and task, over rows where both are present.
+
+    A batch of rows is a matrix and its mask, and the sums are products of blocks of the two.
     """
-    columns = list(means)
-    centre = np.array(list(means.values()))
+    used = sorted({i for tile in tiles for side in tile for i in side})
+    at = {i: k for k, i in enumerate(used)}
+    middle = centre[used]
+    spans = [(slice(at[a[0]], at[a[-1]] + 1), slice(at[b[0]], at[b[-1]] + 1), a, b) for a, b in tiles]
 
     def run(batches):
-        total = None
+        total = [np.zeros((6, len(a), len(b))) for _, _, a, b in spans]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]).astype(float) - centre
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - middle
             there = ~np.isnan(x)
             x[~there] = 0.0
-            mask = there.astype(float)
-            sums = np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x], axis=-1)
-            total = sums if total is None else total + sums
-        if total is not None:
-            i, j = np.indices(total.shape[:2]).reshape(2, -1)
-            flat = total.reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(flat[:, k]) for k in range(4)]],
-                                             names=["i", "j", "n", "x", "xx", "xy"])
-    found = df.selectExpr(*[f"{num(c)} as c{k}" for k, c in enumerate(columns)]).mapInArrow(
-        run, "i int, j int, n double, x double, xx double, xy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")])
-    return {(r["i"], r["j"]): (int(r["n"]), r["x"], r["xx"], r["xy"]) for r in found.collect()}
-
-
-def _pair_frames(df: DataFrame, result, name: str, include_same: bool) -> DataFrame:
+            mask, square = there.astype(float), x * x
+            for sums, (a, b, _, _) in zip(total, spans):
+                sums += np.stack([mask[:, a].T @ mask[:, b], x[:, a].T @ mask[:, b], mask[:, a].T @ x[:, b],
+                                  square[:, a].T @ mask[:, b], mask[:, a].T @ square[:, b], x[:, a].T @ x[:, b]])
+        for sums, (_, _, a, b) in zip(total, spans):
+            i, j = (m.ravel() for m in np.meshgrid(np.array(a), np.array(b), indexing="ij"))
+            upper = np.flatnonzero((i <= j) & (sums[0].ravel() > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(i[upper], pa.int32()), pa.array(j[upper], pa.int32()), *[pa.array(m.ravel()[upper]) for m in sums]],
+                                             names=["i", "j", *PAIR_SUMS])
+    return df.selectExpr(*[f"{num(columns[k])} as c{k}" for k in used]).mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in PAIR_SUMS))
+
+
+def _pair_frames(df: DataFrame, result: str, name: str, include_same: bool) -> DataFrame:
     """One row per numeric column pair, from sums over the rows where both are present.
 
-    Two scans: the means, then all pairs at once. ``result`` maps (n, sxx, syy, sxy) to the value.
+    Two scans: the means, then all pairs, as many at once as a task's sums may take; the pairs stay distributed and
+    the driver holds a few numbers per column. ``result`` is SQL over n, sxx, syy and sxy.
     """
     df = kinds.nan_to_null(df)
-    columns = kinds.numeric(df)
-    pairs = ([(c, c) for c in columns] if include_same else []) + list(combinations(columns, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], f"col_a string, col_b string, {name} double, ord long")
-    means, spans = {}, {}
+    spark, columns = df.sparkSession, kinds.numeric(df)
+    if len(columns) < (1 if include_same else 2):
+        return spark.createDataFrame([], f"col_a string, col_b string, {name} double, ord long")
+    means, spans = [], []
     for batch in _batches(columns, COLUMNS_PER_PASS):
         row = df.selectExpr(*[f"{fn}({num(c)}) as {letter}{i}" for i, c in enumerate(batch)
                               for letter, fn in (("m", "avg"), ("a", "min"), ("z", "max"))]).first()
-        means.update({c: row[f"m{i}"] or 0.0 for i, c in enumerate(batch)})
-        spans.update({c: (row[f"z{i}"] or 0.0) - (row[f"a{i}"] or 0.0) for i, c in enumerate(batch)})
-    order = {c: i for i, c in enumerate(columns)}
-    around = _pair_sums(df, means)
-    sums: dict[tuple[str, str], tuple] = {}
-    for a, b in pairs:
-        n, x, xx, xy = around.get((order[a], order[b]), (0, 0.0, 0.0, 0.0))
-        _, y, yy, _ = around.get((order[b], order[a]), (0, 0.0, 0.0, 0.0))
-        sums[(a, b)] = (n, xx - x * x / n, yy - y * y / n, xy - x * y / n) if n else (0, 0.0, 0.0, 0.0)
-    rows = []
-    for a, b in pairs:
-        n, sxx, syy, sxy = sums[(a, b)]
-        # What rounding leaves of a constant counts as no spread.
-        spreads = [s if s and s > 1e-18 * spans[c] ** 2 * n else 0.0 for s, c in ((sxx, a), (syy, b))]
-        rows.append((a, b, result(n, *spreads, sxy), order[a] * len(columns) + order[b]))
-    return df.sparkSession.createDataFrame(rows, f"col_a string, col_b string, {name} double, ord long")
-
-
-def _pearson(n: int, sxx: float, syy: float, sxy: float) -> float | None:
-    return max(-1.0, min(1.0, sxy / (sxx ** 0.5 * syy ** 0.5))) if sxx and syy else None
-
-
-def _covariance(n: int, sxx: float, syy: float, sxy: float) -> float | None:
-    return None if n < 2 else sxy / (n - 1) if sxx and syy else 0.0
+        means += [row[f"m{i}"] or 0.0 for i in range(len(batch))]
+        spans += [(row[f"z{i}"] or 0.0) - (row[f"a{i}"] or 0.0) for i in range(len(batch))]
+    d = len(columns)
+    # Every pair has a row, also those that no row of the table has both of.
+    pairs = spark.range(d * d).selectExpr(f"cast(id div {d} as int) as i", f"cast(id % {d} as int) as j").where("i <= j" if include_same else "i < j")
+    sums = _union([_tile_sums(df, columns, np.array(means), group) for group in _tiles(d)])
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
+    listed = spark.createDataFrame(list(zip(range(d), columns, spans)), "k int, c string, span double")
+    # A row per column.
+    first, second = (F.broadcast(listed.selectExpr(f"k as {at}", f"c as col_{side}", f"span as span_{side}")) for at, side in (("i", "a"), ("j", "b")))
+    found = pairs.join(sums, ["i", "j"], "left").join(first, "i").join(second, "j").na.fill(0.0, list(PAIR_SUMS))
+    found = found.selectExpr("i", "j", "col_a", "col_b", "n", "span_a", "span_b", "if(n > 0, xx - x * x / n, 0D) as sxx",
+                             "if(n > 0, yy - y * y / n, 0D) as syy", "if(n > 0, xy - x * y / n, 0D) as sxy")
+    # What rounding leaves of a constant counts as no spread.
+    spread = lambda s, side: f"if({s} > 1e-18 * span_{side} * span_{side} * n, {s}, 0D) as {s}"
+    found = found.selectExpr("i", "j", "col_a", "col_b", "n", spread("sxx", "a"), spread("syy", "b"), "sxy")
+    return found.selectExpr("col_a", "col_b", f"{result} as {name}", f"cast(i as bigint) * {d} + j as ord")
+
+
+_PEARSON = "if(sxx > 0 and syy > 0, greatest(-1D, least(1D, sxy / (sqrt(sxx) * sqrt(syy)))), null)"
+_COVARIANCE = "case when n >= 2 and sxx > 0 and syy > 0 then sxy / (n - 1) when n >= 2 then 0D end"
 
 
 def correlations(df: DataFrame) -> DataFrame:
     """Pearson correlation of every column pair (upper triangle), NULL for constants."""
-    return _pair_frames(df, _pearson, "corr", False)
+    return _pair_frames(df, _PEARSON, "corr", False)
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
     """Upper triangle mirrored, with the diagonal."""
-    half = _pair_frames(df, _pearson, "corr", True).drop("ord")
+    half = _pair_frames(df, _PEARSON, "corr", True).drop("ord")
     return half.select(F.inline(F.when(
         F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b", "corr"))).otherwise(
         F.array(F.struct("col_a", "col_b", "corr"),
@@ -357,7 +364,7 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
 
 def covariances(df: DataFrame) -> DataFrame:
     """Sample covariance of every pair and of each column with itself."""
-    return _pair_frames(df, _covariance, "cov", True).drop("ord")
+    return _pair_frames(df, _COVARIANCE, "cov", True).drop("ord")
 
 
 def correlated_pairs(df: DataFrame, threshold: float = 0.9) -> DataFrame:
