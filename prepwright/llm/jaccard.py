@@ -24,8 +24,8 @@ PERCENT = 85
 FRAGMENTS = 8
 # Each fragment is cut into so many cells, whose sizes alone rule most unrelated pairs out, and each cell
 # into so many fine ones, which do so for longer texts.
-CELLS = 8
-FINE = 16
+CELLS = 32
+FINE = 4
 SEED = 42
 # The order is by the number of documents in so many classes of n-grams, then by hash.
 CLASS_BITS = 16
@@ -230,18 +230,23 @@ def verified(pairs: DataFrame, docs: DataFrame, shaped: DataFrame, order: Order,
 def _one_each(lists: DataFrame) -> DataFrame:
     """(a, b, set_id, other): for each set of some list one other of its lists, in like lists the same one.
 
-    Both steps are minima of a draw, so a list of any length is no more than a row per task; ``other`` has the smaller draw.
+    The other is the set with the most lists of them all: where sets are changed copies of one, that one has most, for
+    only its n-grams are all shared. Both steps are minima, so a list of any length is no more than a row per task. By
+    the order (number of lists, hash) the other always comes first.
     """
-    draw = F.struct(F.xxhash64(F.lit(SEED), "set_id").alias("draw"), F.col("set_id").alias("other"))
-    chosen = stored(lists.groupBy("token", "band").agg(F.min(draw).alias("chosen"), F.count("*").alias("n")).filter("n > 1").drop("n"), "jaccard-chosen")
-    pairs = lists.join(chosen, ["token", "band"]).groupBy("set_id").agg(F.min("chosen").alias("chosen")).filter("set_id <> chosen.other")
-    return pairs.select(F.least("set_id", "chosen.other").alias("a"), F.greatest("set_id", "chosen.other").alias("b"), "set_id", "chosen.other")
+    weights = lists.groupBy("set_id").agg((-F.count("*")).alias("rank"))
+    ranked = lists.join(weights, "set_id")
+    draw = F.struct("rank", F.xxhash64(F.lit(SEED), "set_id").alias("draw"), F.col("set_id").alias("other"))
+    chosen = ranked.groupBy("token", "band").agg(F.min(draw).alias("chosen"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = lists.join(stored(chosen, "jaccard-chosen"), ["token", "band"]).groupBy("set_id").agg(F.min("chosen").alias("chosen"))
+    return pairs.filter("set_id <> chosen.other").select(
+        F.least("set_id", "chosen.other").alias("a"), F.greatest("set_id", "chosen.other").alias("b"), "set_id", "chosen.other")
 
 
 def _roots(links: DataFrame) -> DataFrame:
     """(set_id, root) of linked sets: where two steps from a set to the other it was compared with lead.
 
-    Draws fall with each step, so steps make no circle; longer ways are left to what follows.
+    Each step leads to a set that comes before in the order of ``_one_each``, so steps make no circle; longer ways are left to what follows.
     """
     steps = links.select("set_id", F.col("other").alias("root"))
     for _ in range(2):
