@@ -26,6 +26,7 @@ FRAGMENTS = 8
 # into so many fine ones, which do so for longer texts.
 CELLS = 32
 FINE = 4
+FULL = 255
 SEED = 42
 # The order is by the number of documents in so many classes of n-grams, then by hash.
 CLASS_BITS = 16
@@ -33,8 +34,9 @@ REST_BITS = 64 - CLASS_BITS
 # Lists of so many sets are their pairs. Longer ones are cut into tiles of about so many sets, compared by cells.
 SHORT = 8
 TILE = 512
-# Pairs that leave a task at once.
-PAIRS = 1 << 18
+# Pairs whose fine cells are compared at once, and what a full one counts as.
+FINE_PAIRS = 1 << 12
+UNBOUNDED = 1 << 32
 
 
 # Odd numbers of the hash of neighbouring words, and of the one that mixes its bits.
@@ -126,6 +128,10 @@ class Order:
     def sizes(self, keys: np.ndarray) -> np.ndarray:
         return np.diff(self.fine(keys)[FINE - 1::FINE], prepend=0, append=len(keys)).astype(np.int32)
 
+    def packed(self, keys: np.ndarray) -> bytes:
+        """Sizes of the fine cells, a byte each; FULL stands for itself and all above."""
+        return np.minimum(np.diff(self.fine(keys), prepend=0, append=len(keys)), FULL).astype(np.uint8).tobytes()
+
     def fragments(self, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each fragment the keys and the sizes of its fine cells."""
         fine = self.fine(keys)
@@ -175,15 +181,15 @@ def prefixes(sets: DataFrame, order: Order, percent: int = PERCENT) -> DataFrame
 
 
 def shapes(sets: DataFrame, order: Order) -> DataFrame:
-    """(doc_id, text_hash, set_id, n, sizes): how many n-grams of each set lie in each cell."""
+    """(doc_id, text_hash, set_id, n, sizes, fine): how many n-grams of each set lie in each cell and fine cell."""
     keys = ["doc_id", "text_hash", "set_id", "n"]
 
     def run(batches):
         for batch in batches:
-            found = [order.sizes(order.keys(g)) for g in _arrays(batch.column("grams"))]
-            yield {c: batch.column(c) for c in keys} | {"sizes": _lists(found, np.int32)}
+            found = [order.keys(g) for g in _arrays(batch.column("grams"))]
+            yield {c: batch.column(c) for c in keys} | {"sizes": _lists([order.sizes(k) for k in found], np.int32), "fine": [order.packed(k) for k in found]}
     kind = sets.schema["doc_id"].dataType.simpleString()
-    return map_batches(sets.filter("n > 0").select(*keys, "grams"), run, f"doc_id {kind}, text_hash bigint, set_id bigint, n bigint, sizes array<int>")
+    return map_batches(sets.filter("n > 0").select(*keys, "grams"), run, f"doc_id {kind}, text_hash bigint, set_id bigint, n bigint, sizes array<int>, fine binary")
 
 
 def segments(texts: DataFrame, order: Order, shingle: int) -> DataFrame:
@@ -269,8 +275,8 @@ def _all_apart(lists: DataFrame, shaped: DataFrame, percent: int) -> DataFrame:
     # Sets that share many n-grams share many equal pairs.
     pairs = short.selectExpr("""inline(flatten(transform(m, x -> transform(filter(m, y -> y.set_id > x.set_id and y.root <> x.root),
                                                                        y -> struct(x.set_id as a, y.set_id as b)))))""")
-    dealt = apart.filter(f"n > {SHORT}").join(shaped.select("set_id", "sizes"), "set_id").withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int"))
-    member = F.struct("set_id", "root", "sizes")
+    dealt = apart.filter(f"n > {SHORT}").join(shaped.select("set_id", F.col("n").alias("grams"), "fine"), "set_id").withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int"))
+    member = F.struct("set_id", "root", "grams", "fine")
     tiles = stored(dealt.groupBy(*keys, "tiles", "tile").agg(F.array_sort(F.collect_list(member)).alias("members")), "jaccard-tiles")
     alone = tiles.filter("tiles = 1").select("members").distinct().select(F.col("members").alias("left"), F.col("members").alias("right"))
     several = tiles.filter("tiles > 1")
@@ -280,23 +286,33 @@ def _all_apart(lists: DataFrame, shaped: DataFrame, percent: int) -> DataFrame:
     def compare(batches):
         for batch in batches:
             for left, right in zip(batch.column("left"), batch.column("right")):
-                (a, a_root, a_sizes), (b, b_root, b_sizes) = map(_members, (left, right))
-                total = a_sizes.sum(axis=1)[:, None] + b_sizes.sum(axis=1)[None, :]
+                (a, a_root, a_n, a_fine), (b, b_root, b_n, b_fine) = map(_members, (left, right))
+                total = a_n[:, None] + b_n[None, :]
                 common = np.zeros(total.shape, np.int64)
-                for cell in range(a_sizes.shape[1]):
-                    common += np.minimum(a_sizes[:, cell, None], b_sizes[None, :, cell])
+                for x, y in zip(_coarse(a_fine), _coarse(b_fine)):
+                    common += np.minimum(x[:, None], y[None, :])
                 x, y = np.nonzero((common * (100 + percent) >= percent * total) & (a_root[:, None] != b_root[None, :]))
-                low, high = np.minimum(a[x], b[y]), np.maximum(a[x], b[y])
-                for at in range(0, len(low), PAIRS):
-                    yield {"a": pa.array(low[at:at + PAIRS]), "b": pa.array(high[at:at + PAIRS])}
+                for at in range(0, len(x), FINE_PAIRS):
+                    i, j = x[at:at + FINE_PAIRS], y[at:at + FINE_PAIRS]
+                    least = np.minimum(a_fine[i], b_fine[j])
+                    bound = least.sum(axis=1, dtype=np.int64) + (least == FULL).any(axis=1) * UNBOUNDED
+                    near = bound * (100 + percent) >= percent * total[i, j]
+                    i, j = i[near], j[near]
+                    yield {"a": pa.array(np.minimum(a[i], b[j])), "b": pa.array(np.maximum(a[i], b[j]))}
     longer = map_batches(alone.unionAll(met), compare, "a bigint, b bigint")
     return pairs.unionAll(longer).distinct()
 
 
-def _members(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _members(cell: pa.Scalar) -> tuple[np.ndarray, ...]:
     rows = cell.values
-    sizes = rows.field("sizes").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-    return rows.field("set_id").to_numpy(), rows.field("root").to_numpy(), sizes
+    fine = np.frombuffer(b"".join(rows.field("fine").to_pylist()), np.uint8).reshape(len(rows), -1)
+    return rows.field("set_id").to_numpy(), rows.field("root").to_numpy(), rows.field("grams").to_numpy(), fine
+
+
+def _coarse(fine: np.ndarray) -> np.ndarray:
+    """(cell, set): sizes of the cells; without bound where a fine cell is full."""
+    parts = fine.reshape(len(fine), -1, FINE)
+    return (parts.sum(axis=2, dtype=np.int64) + (parts == FULL).any(axis=2) * UNBOUNDED).T
 
 
 def near_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
