@@ -145,8 +145,10 @@ def snk_bi_schema(spark, sf):
 def snk_push_batches(spark, sf):
     batches = writers.push_batches(table(spark, sf, "orders").drop("o_orderdate"), 500)
     schema = "rows array<struct<o_orderkey: long, o_custkey: long, o_orderstatus: string, o_totalprice: double, o_orderpriority: string>>"
-    sent = F.from_json("payload", schema)["rows"]
-    return batches.select(((F.col("n") <= 500) & (F.size(sent) == F.col("n"))).alias("bounded"), F.inline(sent))
+    # A payload is checked once, before its rows part; behind them it would be read again for every one.
+    sent = batches.select("n", F.from_json("payload", schema)["rows"].alias("sent")).select(
+        ((F.col("n") <= 500) & (F.size("sent") == F.col("n"))).alias("bounded"), "sent")
+    return sent.select("bounded", F.inline("sent"))
 
 
 # ---- projections --------------------------------------------------------------------

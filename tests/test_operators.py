@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from prepwright.catalog import tables
 from prepwright.functions import text as words
 from prepwright.functions.numbers import parse_number, parse_timestamp
 from prepwright.models import training
@@ -286,3 +287,13 @@ def test_fingerprint_ignores_layout(spark):
     a = readers.table_fingerprint(df).first()
     assert a == readers.table_fingerprint(df.repartition(5, "v")).first()
     assert a != readers.table_fingerprint(df.where("id > 0")).first()
+
+
+def test_payloads_are_read_before_their_rows_part(spark, tmp_path):
+    spark.createDataFrame([(i, i % 3, "O", i * 1.5, None, "1-URGENT") for i in range(1200)],
+                          "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+                          ).write.parquet(str(tmp_path / "orders.parquet"))
+    out = tables.snk_push_batches(spark, str(tmp_path))
+    assert out.count() == 1200 and out.where("not bounded").isEmpty()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan[:plan.index("Generate")]
