@@ -74,6 +74,45 @@ def test_tree_attributions_are_exact(spark, kind):
         assert np.allclose(trees.contributions(tree, x, len(forest.used)), [_brute(tree, row, len(forest.used)) for row in x], atol=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["forest", "classes", "softmax"])
+def test_listed_outcomes_give_the_same_attributions(spark, kind, monkeypatch):
+    target = "y" if kind == "forest" else "three"
+    prepared = training.prepare(_table(spark).select("key", "a", "b", "c", target), target, "key")
+    model = {"forest": RandomForestRegressor(numTrees=2, maxDepth=9, seed=1), "classes": RandomForestClassifier(numTrees=2, maxDepth=6, seed=1),
+             "softmax": softmax.SoftmaxBoosting(3, rounds=2)}[kind].fit(prepared.train)
+    forest = trees.forest_of(spark, model)
+    x = np.array([r["x"] for r in prepared.test.select(vector_to_array("features").alias("x")).collect()])[:, forest.used]
+    plain = [trees.contributions(tree, x, len(forest.used)) for tree in forest.trees]
+    monkeypatch.setattr(trees, "LISTED_FROM", 1)
+    for most in (11, 4):   # of 4, some leaves have more
+        monkeypatch.setattr(trees, "DECISIONS", most)
+        for tree, expected in zip(forest.trees, plain):
+            assert np.allclose(trees.contributions(tree, x, len(forest.used)), expected, atol=1e-9)
+
+
+def test_outcomes_are_listed_per_decision_not_per_row(monkeypatch):
+    """Many rows of a deep tree cost a look-up per group of leaves, not a sum per leaf, place and point."""
+    rng = np.random.default_rng(4)
+    leaves = 64
+    at = np.arange(leaves)[:, None] >> np.arange(6) & 1
+    tree = trees.Tree(np.tile(np.arange(6), (leaves, 1)), np.where(at, 0.5, -np.inf), np.where(at, np.inf, 0.5), np.full((leaves, 6), 0.5), rng.normal(size=(leaves, 1)), {})
+    x = rng.random((trees.LISTED_FROM, 6))
+    expected = trees._summed(tree, x, 6)
+    monkeypatch.setattr(trees, "_summed", lambda *a: pytest.fail("summed leaf by leaf"))
+    assert np.allclose(trees.contributions(tree, x, 6), expected)
+
+
+def test_training_rows_of_one_file_are_spread(spark, monkeypatch, tmp_path):
+    _table(spark).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).select("key", "a", "b", "y")
+    before = training.prepare(df, "y", "key")
+    monkeypatch.setattr(training, "ROWS_PER_FILE", 50)
+    after = training.prepare(df, "y", "key")
+    assert before.train.rdd.getNumPartitions() == 1 < after.train.rdd.getNumPartitions()
+    for part in ("train", "test"):
+        assert [sorted(getattr(p, part).collect()) for p in (before,)] == [sorted(getattr(p, part).collect()) for p in (after,)]
+
+
 def test_listed_categories_are_followed(spark):
     tree = trees.Tree(np.zeros((2, 1), int), np.full((2, 1), -np.inf), np.full((2, 1), np.inf), np.array([[0.25], [0.75]]), np.array([[4.0], [0.0]]),
                       {(0, 0): np.array([True, False, True]), (1, 0): np.array([False, True, False])})
