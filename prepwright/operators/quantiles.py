@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepwright.kinds import lit, q
+from prepwright.kinds import lit
 from prepwright.session import attach, cut_lineage
 
 DIRECT_VALUES = 50_000
@@ -24,6 +24,9 @@ BINS = 1_000
 # A sketched rank is off by one row in so many at most.
 ACCURACY = 10_000
 LARGEST = sys.float_info.max
+# A group of no more rows is sorted whole, in tasks of about so many rows; a larger one is located by bins.
+WHOLE_GROUP = 10_000
+ROWS_PER_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -200,14 +203,43 @@ def fit_median(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | N
             fit_quantiles(df, {name: (v, [0.5]) for name, v in columns.items()}).items()}
 
 
+def _interpolated(ps: list[float], at) -> str:
+    """SQL array of the quantiles; ``at`` gives the SQL text of the value of a rank. NaN-free weights as in ``percentile``; equal ranks need none."""
+    def one(p: float) -> str:
+        x = f"({lit(p)} * (n - 1))"
+        low, high = at(f"floor({x})"), at(f"ceil({x})")
+        return f"if(floor({x}) = ceil({x}), {low}, (ceil({x}) - {x}) * {low} + ({x} - floor({x})) * {high})"
+    return f"array({', '.join(map(one, ps))})"
+
+
 def group_quantiles(df: DataFrame, key: str, value: str, ps: list[float]) -> DataFrame:
     """(key, q array) of every group, however many there are and however large one is.
 
+    A group of at most WHOLE_GROUP rows is sorted as one array; the tasks for these are as many as their rows need.
+    Ranks of larger groups are located by counting in bins.
+    """
+    rows = df.select(F.col(key).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    sizes = cut_lineage(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    total, large = sizes.agg(F.sum("n"), F.count_if(F.col("n") > WHOLE_GROUP)).first()
+    many = None
+    if large:
+        many = sizes.where(F.col("n") > WHOLE_GROUP)
+        marked = attach(rows, many.select("g", F.lit(True).alias("_large")), ["g"])
+        rows, apart = marked.where("_large is null").drop("_large"), marked.where("_large").drop("_large")
+    n = max(-(-(total or 0) // ROWS_PER_TASK), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = rows.repartition(n, "g").groupBy("g").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("v")).alias("s"))
+    found = whole.selectExpr("g", f"{_interpolated(ps, lambda k: f's[cast({k} as int)]')} as q")
+    if many is not None:
+        found = found.unionByName(_large_group_quantiles(apart, many, ps))
+    return found.withColumnRenamed("g", key)
+
+
+def _large_group_quantiles(rows: DataFrame, sizes: DataFrame, ps: list[float]) -> DataFrame:
+    """(g, q array) of the groups in ``sizes`` (g, n, lo, hi).
+
     As above, ranks are located by counting in bins, here by group and rank, and the state
     is a table with one row per group. The loop ends when every rank is one value.
     """
-    rows = df.select(F.col(key).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     ranks = ", ".join(f"floor({lit(p)} * (n - 1)), ceil({lit(p)} * (n - 1))" for p in ps)
     state = cut_lineage(sizes.selectExpr("g", "n", "lo", "hi", f"explode(array_distinct(array({ranks}))) as k").selectExpr(
         "g", "n", "k", "lo", "hi", "0L as below"))
@@ -225,8 +257,4 @@ def group_quantiles(df: DataFrame, key: str, value: str, ps: list[float]) -> Dat
         kept = state.where("lo = hi")
         state = cut_lineage(kept.unionByName(live.select("g", "n", "k").join(found, ["g", "k"]).select(*kept.columns)))
     at = state.groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("k", "lo"))).alias("m"))
-    # NaN-free weights as in ``percentile``; equal ranks need none.
-    def one(p: float) -> str:
-        x = f"({lit(p)} * (n - 1))"
-        return f"if(floor({x}) = ceil({x}), m[floor({x})], (ceil({x}) - {x}) * m[floor({x})] + ({x} - floor({x})) * m[ceil({x})])"
-    return at.selectExpr(f"g as {q(key)}", f"array({', '.join(one(p) for p in ps)}) as q")
+    return at.selectExpr("g", f"{_interpolated(ps, lambda k: f'm[{k}]')} as q")

@@ -116,6 +116,19 @@ def test_similar_pairs_are_complete_at_any_threshold(spark, threshold, monkeypat
                      if i < j and 200 * lcs(x, y) >= threshold * (len(x) + len(y)) - 1e-9 and len(x) + len(y)}
 
 
+def test_groups_are_sorted_whole_unless_large(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("hot" if i % 4 == 0 else f"g{i % 150}", rng.choice([rng.gauss(0, 1), float(rng.randint(0, 5))])) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    ps, met = [0.0, 0.25, 0.5, 0.9], []
+    by_bins = quantiles._large_group_quantiles
+    monkeypatch.setattr(quantiles, "WHOLE_GROUP", 100)
+    monkeypatch.setattr(quantiles, "_large_group_quantiles", lambda rows, sizes, ps: met.extend(r["g"] for r in sizes.collect()) or by_bins(rows, sizes, ps))
+    found = {r["k"]: r["q"] for r in quantiles.group_quantiles(df, "k", "v", ps).collect()}
+    assert met == ["hot"] and len(found) == len({k for k, _ in rows})
+    assert all(q == pytest.approx(np.quantile([v for k, v in rows if k == g], ps)) for g, q in found.items())
+
+
 def test_quantiles_by_group(spark):
     rng = random.Random(1)
     rows = [(f"g{i % 300}" if i % 3 else "hot", rng.choice([rng.gauss(0, 1), float(rng.randint(0, 5)), 1e12 * rng.random()])) for i in range(6_000)]
