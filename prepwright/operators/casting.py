@@ -67,8 +67,10 @@ def fit_types(df: DataFrame, share: float = 0.9) -> dict[str, str]:
     names = kinds.text(df)
     if not names:
         return {}
-    row = df.agg(F.count("*").alias("n"), *[a for i, c in enumerate(names) for a in (
-        F.count(parse_number(col(c))).alias(f"n{i}"), F.count(parse_timestamp(col(c))).alias(f"t{i}"))]).first()
+    # No number and no date is without a digit, and to look for one costs far less than all shapes.
+    likely = df.select(*[F.when(col(c).rlike("[0-9]"), col(c)).alias(f"w{i}") for i, c in enumerate(names)])
+    row = likely.agg(F.count("*").alias("n"), *[a for i in range(len(names)) for a in (
+        F.count(parse_number(F.col(f"w{i}"))).alias(f"n{i}"), F.count(parse_timestamp(F.col(f"w{i}"))).alias(f"t{i}"))]).first()
     if not row["n"]:
         return {}
     found = {}

@@ -173,6 +173,7 @@ def similar_pairs(left: DataFrame, threshold: float, strict: bool = False,
 
 def number_nodes(values: DataFrame) -> DataFrame:
     """(grp, value, txt, first) to (node, grp, value, txt), numbered by first appearance."""
+    values = cut_lineage(values)   # read twice
     keyed = values.withColumn("_id", F.struct("grp", "value"))
     codes = _numbered(keyed.select("_id", F.col("first").alias("_o")), "_o", "_id")
     numbered = codes.select(F.col("_id.grp").alias("grp"), F.col("_id.value").alias("value"),
