@@ -1,7 +1,12 @@
 """Scans compute no more than their results need."""
 
+import numpy as np
+import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from prepwright.models import softmax
 from prepwright.operators import casting, fuzzy, profile, quantiles
 
 
@@ -44,3 +49,18 @@ def test_values_are_computed_once_to_be_numbered(spark):
     nodes = {r["value"]: r["node"] for r in fuzzy.number_nodes(values).collect()}
     assert nodes == {str(i): 4 - i for i in range(5)}
     assert seen.value == 5
+
+
+def test_boosting_scans_equal_rows_once(spark):
+    rows = [(float(i % 4), 1.0, float(i % 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "a double, b double, label double").repartition(3)
+    features = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    boosting = softmax.SoftmaxBoosting(3, rounds=2)
+    edges = softmax.fit_edges(features, "features")
+    start = np.log(np.full(3, 1 / 3))
+    stored = boosting._stored(features.select(vector_to_array("features").alias("x"), "label"), edges, start).collect()
+    assert len(stored) == 12 and all(r["n"] == 10 for r in stored)
+    # Repeats of a row weigh as much as they are: a tree's counts are those of all rows.
+    model = boosting.fit(features)
+    assert all(t.count[0] == 120 for trees in model.rounds for t in trees)
+    assert model.losses[0] == pytest.approx(np.log(3))
