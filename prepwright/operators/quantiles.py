@@ -1,8 +1,8 @@
-"""Exact, linearly interpolated quantiles in a few scans whose memory does not grow with the data.
+"""Exact, linearly interpolated quantiles in two scans whose memory does not grow with the data.
 
 Spark's exact ``percentile`` keeps one counter per distinct value in a single task, so it is used only where
-an action has shown that few values take part. Otherwise one scan makes a mergeable sketch per column,
-whose rank error is known: its values a little below and above a wanted rank bracket it for certain. The next
+an action has shown that few values take part. Otherwise the first scan makes a mergeable sketch per column,
+whose rank error is known: its values a little below and above a wanted rank bracket it for certain. The second
 scan counts the rows below each bracket and stores the counted values inside it, a few rows in ten thousand; the
 rank is then found in that table, by bins if it is still large.
 """
@@ -60,28 +60,25 @@ def fit_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]],
     # Infinities take part as the largest finite numbers; least and greatest would drop NULL.
     values = {name: F.when(F.abs(v) <= LARGEST, v).when(v.isNotNull(), F.signum(v) * LARGEST)
               for name, (v, _) in wanted.items()}
+    edges = {name: [min(1.0, max(0.0, p + step / ACCURACY)) for p in ps for step in (-2, 2)] for name, (_, ps) in wanted.items()}
     # Each value is computed once a row for its aggregates.
     named = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])
-    sized = named.selectExpr(*[f"{fn}(v{i}) as {letter}{i}" for i in range(len(values)) for letter, fn in (
-        ("n", "count"), ("a", "min"), ("z", "max"), ("d", "approx_count_distinct"))]).first()
+    sized = named.agg(*[a for i, name in enumerate(wanted) for v in [F.col(f"v{i}")] for a in (
+        F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"), F.approx_count_distinct(v).alias(f"d{i}"),
+        F.percentile_approx(v, F.array(*map(F.lit, edges[name])), ACCURACY).alias(f"e{i}"))]).first()
     total = {name: sized[f"n{i}"] for i, name in enumerate(wanted)}
     answer: dict[tuple[str, float], float | None] = {}
     direct: dict[Range, list[float]] = {}
-    sketched: dict[str, list[float]] = {}
+    brackets: dict[str, list[tuple[float, float]]] = {}
     for i, (name, (_, ps)) in enumerate(wanted.items()):
         if not total[name]:
             answer.update({(name, p): None for p in ps})
         elif min(total[name], 2 * sized[f"d{i}"]) <= limit:
             direct[Range(name, sized[f"a{i}"], sized[f"z{i}"], 0, total[name])] = list(ps)
         else:
-            sketched[name] = [min(1.0, max(0.0, p + step / ACCURACY)) for p in ps for step in (-2, 2)]
+            brackets[name] = _apart(list(zip(sized[f"e{i}"][::2], sized[f"e{i}"][1::2])))
     if direct:
         answer.update(_pick(df, values, direct, total))
-    brackets: dict[str, list[tuple[float, float]]] = {}
-    if sketched:
-        # A sketch costs far more than the rest of a scan, so only columns that need one get it.
-        edges = df.agg(*[F.percentile_approx(values[name], F.array(*map(F.lit, at)), ACCURACY) for name, at in sketched.items()]).first()
-        brackets = {name: _apart(list(zip(e[::2], e[1::2]))) for name, e in zip(sketched, edges)}
     while brackets:
         answer_now, missed = _settle(df, values, brackets, {n: wanted[n][1] for n in brackets}, total, limit)
         answer.update(answer_now)
