@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepwright.llm.common import join_few, map_batches, release, stored, text_key
@@ -22,21 +22,20 @@ from prepwright.llm.components import components
 SHINGLE = 4
 PERCENT = 85
 FRAGMENTS = 8
-# Each fragment is cut into so many cells, whose sizes alone rule most unrelated pairs out, and each cell
-# into so many fine ones, which do so for longer texts.
+# Each fragment is cut into so many cells, and each cell into so many fine ones, whose sizes bound an overlap.
 CELLS = 32
 FINE = 4
-FULL = 255
+# Bytes that are kept of a hash where n-grams only name candidates.
+KEPT = 5
+# A sketch has about a bit for each n-gram of its set, 2 ** 6 at least and 2 ** 14 at most.
+LEAST_BITS, MOST_BITS = 6, 14
 SEED = 42
 # The order is by the number of documents in so many classes of n-grams, then by hash.
 CLASS_BITS = 16
 REST_BITS = 64 - CLASS_BITS
-# Lists of so many sets are their pairs. Longer ones are cut into tiles of about so many sets, compared by cells.
+# Lists of so many sets are their pairs. Longer ones are cut into tiles of about so many sets, compared by sketches.
 SHORT = 8
 TILE = 512
-# Pairs whose fine cells are compared at once, and what a full one counts as.
-FINE_PAIRS = 1 << 12
-UNBOUNDED = 1 << 32
 
 
 # Odd numbers of the hash of neighbouring words, and of the one that mixes its bits.
@@ -91,14 +90,54 @@ def _lists(arrays: list[np.ndarray], kind=np.uint64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if kind is np.uint64 else values))
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The first KEPT bytes of each hash."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
 def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The n-grams of each set; packed ones end in zeros."""
+    if pa.types.is_binary(column.type):
+        found = []
+        for kept in column.to_pylist():
+            whole = np.zeros((len(kept) // KEPT, 8), np.uint8)
+            whole[:, :KEPT] = np.frombuffer(kept, np.uint8).reshape(-1, KEPT)
+            found.append(whole.view(">u8").ravel().astype(np.uint64))
+        return found
     values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
     cuts = column.offsets.to_numpy()
     return [values[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def gram_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, n (n-grams), set_id (a 64-bit hash of the whole set; missing if it is empty) and grams."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit per cell of hashes: whether the cell holds an odd number of them.
+
+    An n-gram that only one of two sets has flips one bit, so differing bits never exceed such n-grams. Folding a sketch
+    (half against half) gives the sketch of half as many cells.
+    """
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, len(hashes).bit_length()))
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """(sketch, word): the sketches in ``size`` bytes each."""
+    found = np.empty((len(sketches), size // 8), np.uint64)
+    for i, s in enumerate(sketches):
+        found[i] = np.frombuffer(s, np.uint64) if len(s) == size else np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), axis=0)
+    return found
+
+
+def _may_be_near(flips: np.ndarray, a_n: np.ndarray, b_n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes, whose sketches differ in so many bits, can be similar enough."""
+    return (flips * np.int64(100 + percent) <= (100 - percent) * (a_n + b_n)) & (100 * np.minimum(a_n, b_n) >= percent * np.maximum(a_n, b_n))
+
+
+def gram_sets(docs: DataFrame, shingle: int = SHINGLE, packed: bool = False) -> DataFrame:
+    """doc_id, text_hash, n (n-grams), set_id (a 64-bit hash of the whole set; missing if it is empty), sketch and grams.
+
+    ``packed`` grams are their first KEPT bytes, which do to find candidates: where two n-grams of a set become one, it counts twice.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -106,8 +145,10 @@ def gram_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = [grams(t, shingle) for t in batch.column("text").to_pylist()]
             ids = [xxhash.xxh3_64_intdigest(g.tobytes()) for g in found]
             yield {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": [len(g) for g in found],
-                   "set_id": [i - (i >> 63 << 64) if len(g) else None for i, g in zip(ids, found)], "grams": _lists(found)}
-    return map_batches(docs.select(*text_key(), "text"), run, f"doc_id {kind}, text_hash bigint, n bigint, set_id bigint, grams array<bigint>")
+                   "set_id": [i - (i >> 63 << 64) if len(g) else None for i, g in zip(ids, found)],
+                   "sketch": [sketch(g) for g in found], "grams": [_packed(g) for g in found] if packed else _lists(found)}
+    return map_batches(docs.select(*text_key(), "text"), run, f"doc_id {kind}, text_hash bigint, n bigint, set_id bigint, sketch binary, "
+                       f"grams {'binary' if packed else 'array<bigint>'}")
 
 
 @dataclass(frozen=True)
@@ -117,9 +158,17 @@ class Order:
     places: np.ndarray
     cuts: np.ndarray
 
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The n-grams as numbers, whose order is the global one."""
+        return self.places[hashes >> np.uint64(REST_BITS)] << np.uint64(REST_BITS) | hashes & np.uint64((1 << REST_BITS) - 1)
+
     def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """The n-grams as ascending numbers, whose order is the global one."""
-        return np.sort(self.places[hashes >> np.uint64(REST_BITS)] << np.uint64(REST_BITS) | hashes & np.uint64((1 << REST_BITS) - 1))
+        """The numbers of the n-grams, ascending."""
+        return np.sort(self.numbers(hashes))
+
+    def firsts(self, hashes: np.ndarray, count: int) -> np.ndarray:
+        """The first so many numbers, in no order."""
+        return np.partition(self.numbers(hashes), count - 1)[:count]
 
     def fine(self, keys: np.ndarray) -> np.ndarray:
         """At which of the keys the fine cells after the first begin."""
@@ -128,10 +177,6 @@ class Order:
     def sizes(self, keys: np.ndarray) -> np.ndarray:
         return np.diff(self.fine(keys)[FINE - 1::FINE], prepend=0, append=len(keys)).astype(np.int32)
 
-    def packed(self, keys: np.ndarray) -> bytes:
-        """Sizes of the fine cells, a byte each; FULL stands for itself and all above."""
-        return np.minimum(np.diff(self.fine(keys), prepend=0, append=len(keys)), FULL).astype(np.uint8).tobytes()
-
     def fragments(self, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each fragment the keys and the sizes of its fine cells."""
         fine = self.fine(keys)
@@ -148,7 +193,7 @@ def order_of(sets: DataFrame, fragments: int = FRAGMENTS) -> Order:
     def run(batches):
         counts = np.zeros(1 << CLASS_BITS, np.int64)
         for batch in batches:
-            values = batch.column("grams").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            values = np.concatenate([*_arrays(batch.column("grams")), np.empty(0, np.uint64)])
             counts += np.bincount((values >> np.uint64(REST_BITS)).astype(np.int64), minlength=len(counts))
         at = np.flatnonzero(counts)
         yield {"class": at, "n": counts[at]}
@@ -170,26 +215,15 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def prefixes(sets: DataFrame, order: Order, percent: int = PERCENT) -> DataFrame:
-    """(token, set_id): so many of a set's first n-grams that similar sets share one of them."""
+    """(token, set_id, n): so many of a set's first n-grams that similar sets share one of them."""
     def run(batches):
         for batch in batches:
-            firsts = [order.keys(g)[:len(g) - least_overlap(len(g), percent) + 1] for g in _arrays(batch.column("grams"))]
+            firsts = [order.firsts(g, len(g) - least_overlap(len(g), percent) + 1) for g in _arrays(batch.column("grams"))]
             counts = [len(f) for f in firsts]
             yield {"token": pa.array(np.concatenate([*firsts, np.empty(0, np.uint64)]).view(np.int64)),
-                   "set_id": pa.array(np.repeat(batch.column("set_id").to_numpy(), counts))}
-    return map_batches(sets.filter("n > 0").select("set_id", "grams"), run, "token bigint, set_id bigint")
-
-
-def shapes(sets: DataFrame, order: Order) -> DataFrame:
-    """(doc_id, text_hash, set_id, n, sizes, fine): how many n-grams of each set lie in each cell and fine cell."""
-    keys = ["doc_id", "text_hash", "set_id", "n"]
-
-    def run(batches):
-        for batch in batches:
-            found = [order.keys(g) for g in _arrays(batch.column("grams"))]
-            yield {c: batch.column(c) for c in keys} | {"sizes": _lists([order.sizes(k) for k in found], np.int32), "fine": [order.packed(k) for k in found]}
-    kind = sets.schema["doc_id"].dataType.simpleString()
-    return map_batches(sets.filter("n > 0").select(*keys, "grams"), run, f"doc_id {kind}, text_hash bigint, set_id bigint, n bigint, sizes array<int>, fine binary")
+                   "set_id": pa.array(np.repeat(batch.column("set_id").to_numpy(), counts)),
+                   "n": pa.array(np.repeat(batch.column("n").to_numpy(), counts))}
+    return map_batches(sets.filter("n > 0").select("set_id", "n", "grams"), run, "token bigint, set_id bigint, n bigint")
 
 
 def segments(texts: DataFrame, order: Order, shingle: int) -> DataFrame:
@@ -203,20 +237,33 @@ def segments(texts: DataFrame, order: Order, shingle: int) -> DataFrame:
     return map_batches(texts.select("set_id", "text"), run, "set_id bigint, fragment int, cells array<int>, grams array<bigint>")
 
 
-def _may_be_near(percent: int) -> str:
-    """SQL: what the cells have in common at most is enough for both sizes."""
-    return ("aggregate(zip_with(a_sizes, b_sizes, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) "
-            f"* {100 + percent} >= {percent} * (a_n + b_n)")
+def likely_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs, given with a_n, a_sketch, b_n and b_sketch, that the sketches do not rule out, without the sketches."""
+    schema = pairs.drop("a_sketch", "b_sketch").schema
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            sides = [batch.column(c).to_pylist() for c in ("a_sketch", "b_sketch")]
+            flips = np.zeros(batch.num_rows, np.int64)
+            sizes = np.array([min(len(a), len(b)) for a, b in zip(*sides)], np.int64)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                a, b = (_folded([side[i] for i in at], size) for side in sides)
+                flips[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            near = pa.array(_may_be_near(flips, batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy(), percent))
+            yield {c: batch.column(c).filter(near) for c in names}
+    return map_batches(pairs, run, schema)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shaped: DataFrame, order: Order, shingle: int, percent: int) -> DataFrame:
     """Those of the pairs that are similar: 100 * intersection >= percent * union. Columns beside a and b stay.
 
-    Pairs whose cells cannot have enough in common go first. The sets of the others are made anew from their texts and
+    Pairs whose sketches differ too much go first. The sets of the others are made anew from their texts and
     cut. Each fragment's overlap is bounded by its fine cells, then counted, by itself, and summed per pair.
     """
-    shape = lambda side: shaped.selectExpr(f"set_id as {side}", f"n as {side}_n", f"sizes as {side}_sizes")
-    likely = stored(pairs.join(shape("a"), "a").join(shape("b"), "b").filter(_may_be_near(percent)).drop("a_sizes", "b_sizes"), "jaccard-likely")
+    shape = lambda side: shaped.selectExpr(f"set_id as {side}", f"n as {side}_n", f"sketch as {side}_sketch")
+    likely = stored(likely_pairs(pairs.join(shape("a"), "a").join(shape("b"), "b"), percent), "jaccard-likely")
     wanted = likely.selectExpr("explode(array(a, b)) as set_id").distinct().join(shaped, "set_id").select("doc_id", "text_hash", "set_id")
     # A text may stand in repeated rows; it is taken once.
     texts = join_few(docs.select(*text_key(), "text"), stored(wanted, "jaccard-wanted"), "inner").dropDuplicates(["set_id"])
@@ -233,18 +280,23 @@ def verified(pairs: DataFrame, docs: DataFrame, shaped: DataFrame, order: Order,
     return found
 
 
-def _one_each(lists: DataFrame) -> DataFrame:
+def _banded(lists: DataFrame, percent: int) -> DataFrame:
+    """Each list once for each of its bands of sizes: similar sets lie in the same band or in neighbouring ones, and so meet in one."""
+    width = math.log(100 / (percent - 1))
+    return lists.withColumn("band", F.explode(F.expr(f"array(cast(floor(ln(n) / {width}) as int), cast(floor(ln(n) / {width}) as int) + 1)"))).drop("n")
+
+
+def _one_each(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b, set_id, other): for each set of some list one other of its lists, in like lists the same one.
 
     The other is the set with the most lists of them all: where sets are changed copies of one, that one has most, for
     only its n-grams are all shared. Both steps are minima, so a list of any length is no more than a row per task. By
-    the order (number of lists, hash) the other always comes first.
+    the order (number of lists, set_id, itself a hash) the other always comes first.
     """
-    weights = lists.groupBy("set_id").agg((-F.count("*")).alias("rank"))
-    ranked = lists.join(weights, "set_id")
-    draw = F.struct("rank", F.xxhash64(F.lit(SEED), "set_id").alias("draw"), F.col("set_id").alias("other"))
-    chosen = ranked.groupBy("token", "band").agg(F.min(draw).alias("chosen"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = lists.join(stored(chosen, "jaccard-chosen"), ["token", "band"]).groupBy("set_id").agg(F.min("chosen").alias("chosen"))
+    banded = _banded(lists, percent)
+    draw = F.struct("rank", F.col("set_id").alias("other"))
+    chosen = banded.groupBy("token", "band").agg(F.min(draw).alias("chosen"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = banded.drop("rank").join(stored(chosen, "jaccard-chosen"), ["token", "band"]).groupBy("set_id").agg(F.min("chosen").alias("chosen"))
     return pairs.filter("set_id <> chosen.other").select(
         F.least("set_id", "chosen.other").alias("a"), F.greatest("set_id", "chosen.other").alias("b"), "set_id", "chosen.other")
 
@@ -262,10 +314,10 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def _all_apart(lists: DataFrame, shaped: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of all sets that share a list and are not linked so far, but for those that cells rule out.
+    """Pairs (a, b) of all sets that share a list and are not linked so far, but for those that sketches rule out.
 
     Lists of SHORT sets at most are their pairs, which ``verified`` looks at. Longer ones are dealt into tiles of
-    about TILE sets, whose pairs are compared by the sizes of cells in numpy; only those that may be near leave the task.
+    about TILE sets, whose pairs are compared by their sketches in numpy; only those that may be near leave the task.
     """
     keys = ["token", "band"]
     sizes = lists.groupBy(*keys).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -275,8 +327,8 @@ def _all_apart(lists: DataFrame, shaped: DataFrame, percent: int) -> DataFrame:
     # Sets that share many n-grams share many equal pairs.
     pairs = short.selectExpr("""inline(flatten(transform(m, x -> transform(filter(m, y -> y.set_id > x.set_id and y.root <> x.root),
                                                                        y -> struct(x.set_id as a, y.set_id as b)))))""")
-    dealt = apart.filter(f"n > {SHORT}").join(shaped.select("set_id", F.col("n").alias("grams"), "fine"), "set_id").withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int"))
-    member = F.struct("set_id", "root", "grams", "fine")
+    dealt = apart.filter(f"n > {SHORT}").join(shaped.select("set_id", F.col("n").alias("grams"), "sketch"), "set_id").withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles").cast("int"))
+    member = F.struct("set_id", "root", "grams", "sketch")
     tiles = stored(dealt.groupBy(*keys, "tiles", "tile").agg(F.array_sort(F.collect_list(member)).alias("members")), "jaccard-tiles")
     alone = tiles.filter("tiles = 1").select("members").distinct().select(F.col("members").alias("left"), F.col("members").alias("right"))
     several = tiles.filter("tiles > 1")
@@ -286,33 +338,20 @@ def _all_apart(lists: DataFrame, shaped: DataFrame, percent: int) -> DataFrame:
     def compare(batches):
         for batch in batches:
             for left, right in zip(batch.column("left"), batch.column("right")):
-                (a, a_root, a_n, a_fine), (b, b_root, b_n, b_fine) = map(_members, (left, right))
-                total = a_n[:, None] + b_n[None, :]
-                common = np.zeros(total.shape, np.int64)
-                for x, y in zip(_coarse(a_fine), _coarse(b_fine)):
-                    common += np.minimum(x[:, None], y[None, :])
-                x, y = np.nonzero((common * (100 + percent) >= percent * total) & (a_root[:, None] != b_root[None, :]))
-                for at in range(0, len(x), FINE_PAIRS):
-                    i, j = x[at:at + FINE_PAIRS], y[at:at + FINE_PAIRS]
-                    least = np.minimum(a_fine[i], b_fine[j])
-                    bound = least.sum(axis=1, dtype=np.int64) + (least == FULL).any(axis=1) * UNBOUNDED
-                    near = bound * (100 + percent) >= percent * total[i, j]
-                    i, j = i[near], j[near]
-                    yield {"a": pa.array(np.minimum(a[i], b[j])), "b": pa.array(np.maximum(a[i], b[j]))}
+                (a, a_root, a_n, a_sketch), (b, b_root, b_n, b_sketch) = map(_members, (left, right))
+                size = min(map(len, a_sketch + b_sketch))
+                flips = np.zeros((len(a), len(b)), np.int64)
+                for x, y in zip(_folded(a_sketch, size).T, _folded(b_sketch, size).T):
+                    flips += np.bitwise_count(x[:, None] ^ y[None, :])
+                x, y = np.nonzero(_may_be_near(flips, a_n[:, None], b_n[None, :], percent) & (a_root[:, None] != b_root[None, :]))
+                yield {"a": pa.array(np.minimum(a[x], b[y])), "b": pa.array(np.maximum(a[x], b[y]))}
     longer = map_batches(alone.unionAll(met), compare, "a bigint, b bigint")
     return pairs.unionAll(longer).distinct()
 
 
-def _members(cell: pa.Scalar) -> tuple[np.ndarray, ...]:
+def _members(cell: pa.Scalar) -> tuple:
     rows = cell.values
-    fine = np.frombuffer(b"".join(rows.field("fine").to_pylist()), np.uint8).reshape(len(rows), -1)
-    return rows.field("set_id").to_numpy(), rows.field("root").to_numpy(), rows.field("grams").to_numpy(), fine
-
-
-def _coarse(fine: np.ndarray) -> np.ndarray:
-    """(cell, set): sizes of the cells; without bound where a fine cell is full."""
-    parts = fine.reshape(len(fine), -1, FINE)
-    return (parts.sum(axis=2, dtype=np.int64) + (parts == FULL).any(axis=2) * UNBOUNDED).T
+    return *(rows.field(c).to_numpy() for c in ("set_id", "root", "grams")), rows.field("sketch").to_pylist()
 
 
 def near_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
@@ -328,21 +367,20 @@ def near_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, shingle: in
     shared = firsts.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
     shared = stored(shared.filter("low <> high").select("token"), "jaccard-shared")
     postings = join_few(firsts, shared, "inner", ("token",)).distinct()
-    # Similar sets lie in the same band of sizes or in neighbouring ones, and so have a list in common.
-    width = math.log(100 / (percent - 1))
-    lists = postings.join(classes.select("set_id", "n"), "set_id").selectExpr(
-        "token", "set_id", f"explode(array(cast(floor(ln(n) / {width}) as int), cast(floor(ln(n) / {width}) as int) + 1)) as band")
+    lists = postings.withColumn("rank", -F.count("*").over(Window.partitionBy("set_id")))   # a set has no more lists than n-grams
     lists = stored(lists, "jaccard-postings")
     wanted = stored(lists.select("set_id").distinct().join(classes, "set_id").select("own.doc_id", "own.text_hash"), "jaccard-wanted")
-    shaped = stored(join_few(shapes(sets, order), wanted, "inner").dropDuplicates(["set_id"]), "jaccard-shapes")
+    shapes = sets.filter("n > 0").select("doc_id", "text_hash", "set_id", "n", "sketch")
+    shaped = stored(join_few(shapes, wanted, "inner").dropDuplicates(["set_id"]), "jaccard-shapes")
     release(shared, wanted, sets)
 
-    compared = stored(_one_each(lists), "jaccard-pairs")
+    compared = stored(_one_each(lists, percent), "jaccard-pairs")
     links = verified(compared, docs, shaped, order, shingle, percent)
-    known = lists.join(_roots(links), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    rest = _all_apart(known, shaped, percent).join(compared, ["a", "b"], "left_anti")
+    known = stored(lists.drop("rank").join(_roots(links), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "jaccard-known")
+    release(lists)
+    rest = _all_apart(_banded(known, percent), shaped, percent).join(compared, ["a", "b"], "left_anti")
     found = verified(stored(rest, "jaccard-pairs"), docs, shaped, order, shingle, percent)
-    release(lists, shaped)
+    release(known, shaped)
     return links.select("a", "b").unionAll(found)
 
 
@@ -356,7 +394,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     is smaller than none: a group of such rows alone has a missing component_id. Other columns are not looked at;
     an empty table gives no rows.
     """
-    sets = stored(gram_sets(docs, shingle), "jaccard-sets")
+    sets = stored(gram_sets(docs, shingle, packed=True), "jaccard-sets")
     slim = stored(sets.select("doc_id", "text_hash", "n", "set_id"), "jaccard-documents")
     full = slim.filter("n > 0")
     classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("own"), F.min("n").alias("n")),

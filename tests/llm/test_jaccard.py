@@ -112,3 +112,24 @@ def test_fragments_cut_every_set(spark):
         parts = [p for p, _ in parts]
         assert len(parts) == 5 and (np.concatenate(parts) == keys).all() and len(set(keys.tolist())) == row["n"]
     sets.unpersist()
+
+
+def test_sketches_bound_what_differs():
+    rng = np.random.default_rng(4)
+    for n, changed in ((3, 1), (60, 5), (700, 40), (700, 700), (40_000, 900)):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, rng.integers(0, 2 * changed), np.uint64)]))
+        if not len(b):
+            continue
+        size = min(len(jaccard.sketch(a)), len(jaccard.sketch(b)))
+        x, y = jaccard._folded([jaccard.sketch(a), jaccard.sketch(b)], size)
+        assert 8 <= size <= 2048 and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        assert jaccard._folded([jaccard.sketch(a)], 8)[0, 0] == np.bitwise_xor.reduce(jaccard._folded([jaccard.sketch(a)], size)[0])
+
+
+def test_candidates_move_few_bytes(spark):
+    df = spark.createDataFrame(families(7), "doc_id bigint, text string")
+    for whole, brief in zip(*(jaccard.gram_sets(df, packed=p).orderBy("doc_id").collect() for p in (False, True))):
+        assert len(brief["grams"]) == 5 * whole["n"] and len(brief["sketch"]) <= max(8, whole["n"] / 4)
+        kept = jaccard._arrays(jaccard.pa.array([bytes(brief["grams"])]))[0]
+        assert (kept >> np.uint64(24) == np.array(whole["grams"], np.int64).view(np.uint64) >> np.uint64(24)).all()
