@@ -22,8 +22,11 @@ from prepwright.llm.common import map_batches, texts_of
 
 SPACE = "▁"
 UNKNOWN = " ⁇ "
-# Encoded units kept by a Python worker, which lives on after a task; a full store is emptied.
-KEPT_UNITS = 200_000
+# Encoded units and judged pairs of pieces kept by a Python worker, which lives on after a task; a full store is emptied.
+# Longer units, as of scripts without spaces, are encoded anew.
+KEPT_UNITS, KEPT_PAIRS, KEPT_LENGTH = 100_000, 200_000, 32
+# Bytes of a batch whose texts, ids and decoded texts a worker holds at a time, about.
+PORTION = 1 << 20
 
 
 class Pieces:
@@ -92,7 +95,7 @@ class Pieces:
     def compatible(self, left: str, right: str) -> bool:
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) > KEPT_UNITS:
+            if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             found = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return found
@@ -167,9 +170,11 @@ class _Units(dict):
         self.model = model
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= KEPT_UNITS:
-            self.clear()
-        found = self[unit] = np.array(self.model.encode_unit(unit), np.int32).tobytes()
+        found = np.array(self.model.encode_unit(unit), np.int32).tobytes()
+        if len(unit) <= KEPT_LENGTH:
+            if len(self) >= KEPT_UNITS:
+                self.clear()
+            self[unit] = found
         return found
 
 
@@ -216,4 +221,4 @@ def round_trips(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("doc
                 "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))),
                 "decoded": [model.decode(i) for i in ids]}
     schema = StructType([*docs.select(*carry).schema.fields, *StructType.fromDDL("ids array<int>, decoded string").fields])
-    return map_batches(docs.select(*dict.fromkeys([*carry, "text"])), run, schema)
+    return map_batches(docs.select(*dict.fromkeys([*carry, "text"])), run, schema, PORTION)

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from prepwright.llm import sentencepieces
+from prepwright.llm import common, sentencepieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -68,3 +68,19 @@ def test_documents(spark, library):
     wanted = [(str(i), library.encode(t or ""), library.decode(library.encode(t or ""))) for i, t, *_ in rows]
     assert sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in found) == sorted(wanted)
     assert sentencepieces.round_trips(cases.frame(spark, []), PATH).count() == 0
+
+
+def test_a_worker_keeps_short_units_and_short_batches_only(spark, mine):
+    word = "long" * sentencepieces.KEPT_LENGTH
+    mine.encode(f"short {word}")
+    assert "▁short" in mine.units and not any(word in unit for unit in mine.units)
+
+    def sizes(batches):
+        for batch in batches:
+            yield {"n": [batch.num_rows], "size": [batch.nbytes]}
+    docs = spark.range(3_000, numPartitions=1).selectExpr("repeat('x', 1000) as text")
+    found = common.map_batches(docs, sizes, "n bigint, size bigint", sentencepieces.PORTION).collect()
+    assert sum(r.n for r in found) == 3_000 and all(r.size < 1.1 * sentencepieces.PORTION for r in found)
+    assert common.map_batches(docs, sizes, "n bigint, size bigint").count() < len(found)
+    kept = sentencepieces.round_trips(docs, PATH, carry=()).selectExpr("sum(length(decoded)) as n", "count(*) as rows").first()
+    assert (kept.n, kept.rows) == (3_000_000, 3_000)
