@@ -133,11 +133,16 @@ def _may_be_near(flips: np.ndarray, a_n: np.ndarray, b_n: np.ndarray, percent: i
     return (flips * np.int64(100 + percent) <= (100 - percent) * (a_n + b_n)) & (100 * np.minimum(a_n, b_n) >= percent * np.maximum(a_n, b_n))
 
 
-def gram_sets(docs: DataFrame, shingle: int = SHINGLE, packed: bool = False) -> DataFrame:
+def gram_sets(docs: DataFrame, shingle: int = SHINGLE, packed: bool = False, order: Order | None = None, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n (n-grams), set_id (a 64-bit hash of the whole set; missing if it is empty), sketch and grams.
 
     ``packed`` grams are their first KEPT bytes, which do to find candidates: where two n-grams of a set become one, it counts twice.
+    With an ``order`` they are packed numbers in it, and only so many of the first that similar sets share one of them.
     """
+    def form(found):
+        if order is not None:
+            return [_packed(order.firsts(g, len(g) - least_overlap(len(g), percent) + 1)) if len(g) else b"" for g in found]
+        return [_packed(g) for g in found] if packed else _lists(found)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -146,9 +151,9 @@ def gram_sets(docs: DataFrame, shingle: int = SHINGLE, packed: bool = False) ->
             ids = [xxhash.xxh3_64_intdigest(g.tobytes()) for g in found]
             yield {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": [len(g) for g in found],
                    "set_id": [i - (i >> 63 << 64) if len(g) else None for i, g in zip(ids, found)],
-                   "sketch": [sketch(g) for g in found], "grams": [_packed(g) for g in found] if packed else _lists(found)}
+                   "sketch": [sketch(g) for g in found], "grams": form(found)}
     return map_batches(docs.select(*text_key(), "text"), run, f"doc_id {kind}, text_hash bigint, n bigint, set_id bigint, sketch binary, "
-                       f"grams {'binary' if packed else 'array<bigint>'}")
+                       f"grams {'binary' if packed or order is not None else 'array<bigint>'}")
 
 
 @dataclass(frozen=True)
@@ -184,20 +189,24 @@ class Order:
         return list(zip(np.split(keys, fine[CELLS * FINE - 1::CELLS * FINE]), sizes))
 
 
-def order_of(sets: DataFrame, fragments: int = FRAGMENTS) -> Order:
+def order_of(rows: DataFrame, fragments: int = FRAGMENTS, shingle: int = SHINGLE) -> Order:
     """Classes by the number of documents that hold an n-gram of theirs, cut into fine cells of like numbers of n-grams;
-    FINE of them are a cell, and CELLS cells a fragment.
+    FINE of them are a cell, and CELLS cells a fragment. ``rows`` have grams, or else the text they are made of.
 
     Any order gives the same links; rare first gives few candidates. The driver gets a number per class (65,536).
     """
+    column = "grams" if "grams" in rows.columns else "text"
+
     def run(batches):
         counts = np.zeros(1 << CLASS_BITS, np.int64)
         for batch in batches:
-            values = np.concatenate([*_arrays(batch.column("grams")), np.empty(0, np.uint64)])
+            found = batch.column(column)
+            found = _arrays(found) if column == "grams" else [grams(t, shingle) for t in found.to_pylist()]
+            values = np.concatenate([*found, np.empty(0, np.uint64)])
             counts += np.bincount((values >> np.uint64(REST_BITS)).astype(np.int64), minlength=len(counts))
         at = np.flatnonzero(counts)
         yield {"class": at, "n": counts[at]}
-    found = map_batches(sets.select("grams"), run, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
+    found = map_batches(rows.select(column), run, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << CLASS_BITS, np.int64)
     counts[found["class"]] = found["n"]
     ordered = np.argsort(counts, kind="stable")
@@ -214,11 +223,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefixes(sets: DataFrame, order: Order, percent: int = PERCENT) -> DataFrame:
-    """(token, set_id, n): so many of a set's first n-grams that similar sets share one of them."""
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(token, set_id, n): a row for each of the n-grams that ``gram_sets`` has kept by an order."""
     def run(batches):
         for batch in batches:
-            firsts = [order.firsts(g, len(g) - least_overlap(len(g), percent) + 1) for g in _arrays(batch.column("grams"))]
+            firsts = _arrays(batch.column("grams"))
             counts = [len(f) for f in firsts]
             yield {"token": pa.array(np.concatenate([*firsts, np.empty(0, np.uint64)]).view(np.int64)),
                    "set_id": pa.array(np.repeat(batch.column("set_id").to_numpy(), counts)),
@@ -354,16 +363,14 @@ def _members(cell: pa.Scalar) -> tuple:
     return *(rows.field(c).to_numpy() for c in ("set_id", "root", "grams")), rows.field("sketch").to_pylist()
 
 
-def near_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
-               fragments: int = FRAGMENTS) -> DataFrame:
-    """Links (a, b) of set_ids that connect just what pairs of similar sets connect. ``sets`` is a stored table and goes.
+def near_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, order: Order, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) of set_ids that connect just what pairs of similar sets connect. ``sets``, made by the order, is a stored table and goes.
 
     Sets of a token's list whose sizes allow it are candidates. First each set is compared with one other of its
     lists; a dense group is mostly linked by then. Then all pairs of sets that share a list and are not linked yet are
     looked at, so no link that matters is lost and a group of m copies does not make m * m pairs.
     """
-    order = order_of(sets, fragments)
-    firsts = prefixes(sets, order, percent)
+    firsts = prefixes(sets)
     shared = firsts.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
     shared = stored(shared.filter("low <> high").select("token"), "jaccard-shared")
     postings = join_few(firsts, shared, "inner", ("token",)).distinct()
@@ -394,12 +401,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     is smaller than none: a group of such rows alone has a missing component_id. Other columns are not looked at;
     an empty table gives no rows.
     """
-    sets = stored(gram_sets(docs, shingle, packed=True), "jaccard-sets")
+    # Texts are cut into words once for the order and once for what it puts first: stored, all n-grams take more disk than the texts.
+    order = order_of(docs.select("text"), fragments, shingle)
+    sets = stored(gram_sets(docs, shingle, order=order, percent=percent), "jaccard-sets")
     slim = stored(sets.select("doc_id", "text_hash", "n", "set_id"), "jaccard-documents")
     full = slim.filter("n > 0")
     classes = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("own"), F.min("n").alias("n")),
                      "jaccard-classes")
-    links = near_links(docs, sets, classes, shingle, percent, fragments)
+    links = near_links(docs, sets, classes, order, shingle, percent)
     repeats = (full.filter("doc_id is not null").groupBy("doc_id")
                .agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).filter("b <> top").select("doc_id", "b"))
     linked = full.join(repeats, "doc_id").select(F.col("set_id").alias("a"), "b").filter("a <> b").distinct()

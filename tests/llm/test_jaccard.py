@@ -133,3 +133,18 @@ def test_candidates_move_few_bytes(spark):
         assert len(brief["grams"]) == 5 * whole["n"] and len(brief["sketch"]) <= max(8, whole["n"] / 4)
         kept = jaccard._arrays(jaccard.pa.array([bytes(brief["grams"])]))[0]
         assert (kept >> np.uint64(24) == np.array(whole["grams"], np.int64).view(np.uint64) >> np.uint64(24)).all()
+
+
+def test_only_first_n_grams_are_stored(spark):
+    df = spark.createDataFrame(families(8) + [(9_001, None), (9_002, " ")], "doc_id bigint, text string")
+    whole = jaccard.gram_sets(df).cache()
+    order = jaccard.order_of(df.select("text"))
+    assert (order.places == jaccard.order_of(whole).places).all() and (order.cuts == jaccard.order_of(whole).cuts).all()
+    kept = {r["doc_id"]: r for r in jaccard.gram_sets(df, order=order).collect()}
+    for row in whole.collect():
+        keys = order.keys(np.array(row["grams"], np.int64).view(np.uint64))
+        count = row["n"] - jaccard.least_overlap(row["n"], jaccard.PERCENT) + 1 if row["n"] else 0
+        found = jaccard._arrays(jaccard.pa.array([bytes(kept[row["doc_id"]]["grams"])]))[0]
+        assert sorted((found >> np.uint64(24)).tolist()) == (keys[:count] >> np.uint64(24)).tolist()
+        assert all(kept[row["doc_id"]][c] == row[c] for c in ("text_hash", "n", "set_id", "sketch"))
+    whole.unpersist()
