@@ -24,7 +24,7 @@ SPACE = "▁"
 UNKNOWN = " ⁇ "
 # Encoded units and judged pairs of pieces kept by a Python worker, which lives on after a task; a full store is emptied.
 # Longer units, as of scripts without spaces, are encoded anew.
-KEPT_UNITS, KEPT_PAIRS, KEPT_LENGTH = 100_000, 200_000, 32
+KEPT_UNITS, KEPT_PAIRS, KEPT_LENGTH = 200_000, 200_000, 32
 # Bytes of a batch whose texts, ids and decoded texts a worker holds at a time, about.
 PORTION = 1 << 20
 
