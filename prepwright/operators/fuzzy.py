@@ -2,8 +2,10 @@
 
 Two texts match when 200 * LCS / (|a| + |b|) reaches the threshold. Candidates come from
 an equi-join that loses no match. Above two thirds a match allows fewer changes than the
-shorter text has characters: cut into at least D + 1 pieces, one piece occurs unchanged in
-the longer text, near the same position. Down to any lower threshold a match still shares
+shorter text has characters. With few changes the text is cut into so few parts that one
+differs by one at most, and keys of the parts meet (``functions/parts.py``). With more it is
+cut into at least D + 1 pieces, one of which occurs unchanged in the longer text, near the
+same position. Down to any lower threshold a match still shares
 characters: with the characters of a text in a common order, rarest first, the first few of
 the two texts must overlap. Only hashes travel; texts are fetched once per candidate pair.
 
@@ -21,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepwright import kinds
+from prepwright.functions import parts
 from prepwright.functions.indel import indel_ratio
 from prepwright.functions.text import normal_form, sorted_tokens, strip
 from prepwright.kinds import col
-from prepwright.operators.bitmaps import bitmap, bits_for, possible
+from prepwright.operators.bitmaps import bitmap, bits_for, possible, sent
 from prepwright.operators.columns import map_by_table
 from prepwright.operators.encode import _numbered
 from prepwright.session import attach, cut_lineage
@@ -35,6 +38,12 @@ FIRST_PREFIX = 5_000
 PREFIX_GROWTH = 4
 # Comparisons of one key that a task makes, about; a key with more is dealt to several tasks.
 COMPARISONS_PER_TASK = 2_000_000
+# Texts that the driver looks at to choose where texts are cut, which decides the work and not the result.
+TEXTS_FOR_CUTS = 5_000
+# Texts whose parts less a character are stored all; those of more are first held against a bitmap.
+FEW_TEXTS = 10_000
+# With so many times fewer texts on the other side, all keys of those are a bitmap. About so many keys they have, and of parts less a character.
+MUCH_FEWER, PROBE_KEYS, END_KEYS = 50, 256, 8
 
 # One bit per character class: whether it occurs an odd number of times. An insertion or a
 # deletion flips exactly one bit, so differing bits never exceed the changes of a match.
@@ -117,54 +126,93 @@ def _dealt(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     if tasks.isEmpty():
         return a.withColumn("salt", F.lit(0)), b.withColumn("salt", F.lit(0))
     a = attach(a, tasks, ["key"]).withColumn("salt", F.explode(F.expr("sequence(0, coalesce(tasks, 1) - 1)")))
-    b = attach(b, tasks, ["key"]).withColumn("salt", F.expr("cast(pmod(xxhash64(node, at), coalesce(tasks, 1)) as int)"))
+    b = attach(b, tasks, ["key"]).withColumn("salt", F.expr("cast(pmod(xxhash64(node), coalesce(tasks, 1)) as int)"))
     return a.drop("tasks"), b.drop("tasks")
 
 
+def _matching(nodes: DataFrame, threshold: float, strict: bool) -> parts.Matching:
+    """The matches that are wanted, and cuts for the given nodes (node, txt)."""
+    matching = parts.Matching(threshold, strict)
+    some = nodes.where(F.length("txt").between(1, matching.longest())).select("txt", F.xxhash64("node").alias("_h")).orderBy("_h", "txt").limit(TEXTS_FOR_CUTS)
+    return parts.Matching(threshold, strict, parts.choose_cuts([r["txt"] for r in some.collect()], matching))
+
+
+def _by_parts(index: DataFrame, probe: DataFrame, matching: parts.Matching) -> tuple[DataFrame, DataFrame]:
+    """Stored keys (node, n, m, key) of both sides of texts that are cut into parts."""
+    longest = matching.longest()
+    index = index.where(F.col("n") <= longest)
+
+    def made(nodes: DataFrame, kind: str, held=None) -> DataFrame:
+        rows = nodes.select("node", F.xxhash64("grp").alias("g"), "txt", "n", "m")
+        return rows.mapInArrow(parts.key_maker(matching, longest, kind, held), parts.SCHEMA)
+    held, few, many = None, probe.count(), index.count()
+    if few * MUCH_FEWER < many:
+        held = sent(made(probe, "probe"), "key", bits_for(few * PROBE_KEYS))
+    elif many > FEW_TEXTS:
+        held = sent(made(probe, "ends"), "key", bits_for(few * END_KEYS))
+    a = cut_lineage(made(index, "some" if few * MUCH_FEWER < many else "index", held))
+    bits = bits_for(a.count())
+    return a, cut_lineage(made(probe, "probe", sent(a, "key", bits)))
+
+
+def _sized(nodes: DataFrame) -> DataFrame:
+    """Stored nodes (node, grp, txt) with length and parity; those that have them stay as they are."""
+    if {"n", "m"} <= set(nodes.columns):
+        return nodes
+    return cut_lineage(nodes.where("txt is not null").select("node", "grp", "txt", F.length("txt").alias("n"), F.expr(PARITY).alias("m")))
+
+
 def similar_pairs(left: DataFrame, threshold: float, strict: bool = False,
-                  right: DataFrame | None = None) -> DataFrame:
+                  right: DataFrame | None = None, matching: parts.Matching | None = None) -> DataFrame:
     """(u, v, score) for similar nodes of the same group, u before v.
 
-    Nodes are (node, grp, txt). With ``right`` only left-right pairs are compared, and
-    every left node must precede every right node.
+    Nodes are (node, grp, txt), or stored ones with n and m (``_sized``). With ``right`` only
+    left-right pairs are compared, and every left node must precede every right node.
     """
     share = _share(threshold)
     by_pieces = threshold > PIECES_ABOVE
 
-    def sized(nodes: DataFrame) -> DataFrame:
-        return cut_lineage(nodes.select("node", "grp", "txt", F.length("txt").alias("n"), F.expr(PARITY).alias("m")))
-
-    def joined(index: DataFrame, probe: DataFrame, distinct_sets: bool) -> DataFrame:
-        """Pairs of which the index side is the shorter text, or as long."""
-        a = cut_lineage(_pieces(index, share) if by_pieces else _characters(index, share))
-        if by_pieces:
-            # Most substrings equal no piece; a bitmap of the pieces drops them before they are stored or moved.
-            bits = bits_for(a.count())
-            b = possible(_occurrences(probe, share), "key", cut_lineage(bitmap(a, "key", bits)), bits)
-        else:
-            b = _characters(probe, share)
-        a, b = (side.alias(name) for name, side in zip("ab", _dealt(a, cut_lineage(b))))
+    def met(a: DataFrame, b: DataFrame, distinct_sets: bool) -> DataFrame:
+        """Pairs of equal keys of which the first side is the shorter text, or as long."""
+        placed = "at" in a.columns
+        a, b = (side.alias(name) for name, side in zip("ab", _dealt(a, b)))
         na, nb = F.col("a.n"), F.col("b.n")
         total = F.floor(F.lit(1 - share) * (na + nb) + F.lit(1e-9))
         longer = nb >= na if distinct_sets else (nb > na) | ((nb == na) & (F.col("a.node") < F.col("b.node")))
         flips = F.bit_count(F.col("a.m").bitwiseXOR(F.col("b.m")))
         fits = longer & (nb - na <= total) & (flips <= total)
-        if by_pieces:
+        if placed and by_pieces:
             shift = F.col("b.at") - F.col("a.at")
             fits = fits & (2 * shift <= total + nb - na) & (-2 * shift <= total - nb + na)
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.grp") == F.col("b.grp")) & fits)
-        return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & fits)
+        return pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
 
-    left = sized(left)
+    def joined(index: DataFrame, probe: DataFrame, distinct_sets: bool) -> DataFrame:
+        if not by_pieces:
+            return met(cut_lineage(_characters(index, share)), cut_lineage(_characters(probe, share)), distinct_sets)
+        pairs = met(*_by_parts(index, probe, matching), distinct_sets)
+        index, probe = (side.where(F.col("n") > matching.longest()) for side in (index, probe))
+        if index.isEmpty():
+            return pairs
+        a = cut_lineage(_pieces(index, share))
+        # Most substrings equal no piece; a bitmap of the pieces drops them before they are stored or moved.
+        bits = bits_for(a.count())
+        b = possible(_occurrences(probe, share), "key", cut_lineage(bitmap(a, "key", bits)), bits)
+        return pairs.unionByName(met(a, cut_lineage(b), distinct_sets))
+
+    left = _sized(left)
+    if by_pieces and matching is None:
+        matching = _matching(left, threshold, strict)
     if right is None:
         both, candidates = left, joined(left, left, False)
     else:
-        right = sized(right)
+        right = _sized(right)
         both = left.unionByName(right)
-        candidates = joined(left, right, True).unionByName(joined(right, left, True)).distinct()
-    texts = both.select("node", "txt")
-    full = candidates.join(texts.select(F.col("node").alias("u"), F.col("txt").alias("_a")), "u").join(
-        texts.select(F.col("node").alias("v"), F.col("txt").alias("_b")), "v")
+        candidates = joined(left, right, True).unionByName(joined(right, left, True))
+    candidates = candidates.distinct()
+    texts = both.select("node", "grp", "txt")
+    full = candidates.join(texts.select(F.col("node").alias("u"), F.col("grp").alias("_g"), F.col("txt").alias("_a")), "u").join(
+        texts.select(F.col("node").alias("v"), F.col("grp").alias("_h"), F.col("txt").alias("_b")), "v").where("_g = _h")
     # The banded distance on the JVM side leaves few pairs to the exact ratio.
     near = full.where(F.expr(f"levenshtein(_a, _b, cast(floor({1 - share!r}D * (length(_a) + length(_b)) + 1e-9D) as int)) >= 0"))
     scored = near.select("u", "v", indel_ratio(F.col("_a"), F.col("_b")).alias("score"))
@@ -204,8 +252,9 @@ def _first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def greedy_leaders(nodes: DataFrame, threshold: float, strict: bool = False,
                    first_prefix: int = FIRST_PREFIX) -> DataFrame:
     """(node, leader) for every node, leaders pointing at themselves."""
-    open_nodes, size = nodes.select("node", "grp", "txt"), first_prefix
-    parts: list[DataFrame] = []
+    open_nodes, size = _sized(nodes.select("node", "grp", "txt")), first_prefix
+    matching = _matching(open_nodes, threshold, strict) if threshold > PIECES_ABOVE else None
+    found: list[DataFrame] = []
     while True:
         total = open_nodes.count()
         if total > 2 * size:
@@ -213,24 +262,21 @@ def greedy_leaders(nodes: DataFrame, threshold: float, strict: bool = False,
             prefix, rest = open_nodes.where(F.col("node") <= cut), open_nodes.where(F.col("node") > cut)
         else:
             prefix, rest = open_nodes, None
-        edges = cut_lineage(similar_pairs(prefix, threshold, strict).select("u", "v"))
+        edges = cut_lineage(similar_pairs(prefix, threshold, strict, matching=matching).select("u", "v"))
         chosen = cut_lineage(_first_independent(prefix, edges))
-        parts.append(chosen.select("node", F.col("node").alias("leader")))
+        found.append(chosen.select("node", F.col("node").alias("leader")))
         followers = edges.join(chosen.withColumnRenamed("node", "u"), "u", "left_semi").groupBy(
             F.col("v").alias("node")).agg(F.min("u").alias("leader"))
-        parts.append(followers)
+        found.append(followers)
         if rest is None:
             break
-        leaders = prefix.join(chosen, "node", "left_semi")
-        hits = cut_lineage(similar_pairs(leaders, threshold, strict, right=rest).groupBy(
+        leaders = cut_lineage(prefix.join(chosen, "node", "left_semi"))
+        hits = cut_lineage(similar_pairs(leaders, threshold, strict, rest, matching).groupBy(
             F.col("v").alias("node")).agg(F.min("u").alias("leader")))
-        parts.append(hits)
+        found.append(hits)
         open_nodes = cut_lineage(rest.join(hits, "node", "left_anti"))
         size *= PREFIX_GROWTH
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return cut_lineage(out)
+    return cut_lineage(reduce(DataFrame.unionByName, found))
 
 
 # ---- category values ----------------------------------------------------------------
