@@ -1,5 +1,7 @@
 """Scans compute no more than their results need."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -54,3 +56,24 @@ def test_boosting_scans_equal_rows_once(spark):
     model = boosting.fit(features)
     assert all(t.count[0] == 120 for trees in model.rounds for t in trees)
     assert model.losses[0] == pytest.approx(np.log(3))
+
+
+def test_few_rows_are_boosted_without_a_job_per_level(spark, monkeypatch):
+    rng = random.Random(3)   # no splits of equal gain
+    rows = [(float(rng.randrange(9)), rng.random(), float(rng.choice([0, 0, 0, 1, 1, 2]))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "a double, b double, label double").repartition(3)
+    features = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    boosting = softmax.SoftmaxBoosting(3, rounds=12)
+    spark.sparkContext.setJobGroup("boosted", "")
+    model = boosting.fit(features)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 3 * 12
+    # Trees are those of rows in several files, which take a job per level.
+    monkeypatch.setattr(softmax, "ROWS_PER_FILE", 50)
+    monkeypatch.setattr(softmax, "STORE_EVERY", 5)
+    other = boosting.fit(features)
+    assert model.losses == pytest.approx(other.losses)
+    for mine, theirs in zip(model.rounds, other.rounds):
+        for x, y in zip(mine, theirs):
+            assert list(x.feature) == list(y.feature) and list(x.cut) == list(y.cut) and np.allclose(x.value, y.value)
